@@ -77,3 +77,13 @@ def stage_table(df: DataFrame, name: str) -> DataFrame:
     path = stage_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
+    """Hint a broadcast only after counting that ``df`` has at most ``max_rows``.
+
+    Otherwise the frame is returned as it is, and the join shuffles.
+    """
+    from pyspark.sql.functions import broadcast
+
+    return broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
