@@ -33,17 +33,19 @@ MAX_ROW_BYTES = 64 * 1024 * 1024
 BLOCK_LINES = 65_536
 
 
-def _po_options(reader):
-    return reader.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.po")
+def _po_options(reader, glob: str):
+    return reader.option("recursiveFileLookup", "true").option("pathGlobFilter", glob)
 
 
-def read_po_files(spark: SparkSession, root: str, max_bytes: int = MAX_ROW_BYTES) -> DataFrame:
+def read_po_files(
+    spark: SparkSession, root: str, max_bytes: int = MAX_ROW_BYTES, glob: str = "*.po"
+) -> DataFrame:
     """``(filepath, content)`` of every ``*.po`` below ``root`` up to ``max_bytes``.
 
     Each file is decoded as UTF-8, or as ISO-8859-1 where it is not valid UTF-8.
     """
     return (
-        _po_options(spark.read.format("binaryFile"))
+        _po_options(spark.read.format("binaryFile"), glob)
         .load(root)
         .filter(F.col("length") <= max_bytes)
         .select(F.col("path").alias("filepath"), T.decode_text(F.col("content")).alias("content"))
@@ -51,7 +53,7 @@ def read_po_files(spark: SparkSession, root: str, max_bytes: int = MAX_ROW_BYTES
 
 
 def read_large_po_lines(
-    spark: SparkSession, root: str, min_bytes: int = MAX_ROW_BYTES
+    spark: SparkSession, root: str, min_bytes: int = MAX_ROW_BYTES, glob: str = "*.po"
 ) -> DataFrame:
     """Lines of the ``*.po`` files over ``min_bytes``, in splittable form.
 
@@ -59,7 +61,7 @@ def read_large_po_lines(
     and ``ln`` grows with the lines of a split.
     """
     return (
-        _po_options(spark.read.option("lineSep", "\n"))
+        _po_options(spark.read.option("lineSep", "\n"), glob)
         .text(root)
         .filter(F.col("_metadata.file_size") > min_bytes)
         .select(
