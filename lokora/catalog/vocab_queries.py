@@ -16,7 +16,7 @@ from lokora.plans.evaluation import plain_hypotheses, score_report
 from lokora.plans.splits import split_matrix
 from lokora.session import stage_table
 
-MERGES = 300
+MERGES = 100
 
 
 def sql_chain(text: str, rules) -> str:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lokora.functions.once import let
+
 # --- Fixed values ----------------------------------------------------------
 # Whitespace as Python's str.rstrip() understands it (Java's \s is ASCII only).
 UNICODE_SPACE = r"[\s\x{0B}\x{1C}-\x{1F}\x{85}\p{Z}]"
@@ -47,8 +49,11 @@ def clean_text(text: Column) -> Column:
 
 def is_kept_text(text: Column, max_chars: int = MAX_CHARS) -> Column:
     """Neither blank, nor over ``max_chars``, nor the credits placeholder."""
-    bare = strip(text)
-    return (bare != "") & (F.char_length(bare) <= max_chars) & (bare != CREDITS_ENTRY)
+
+    def usable(bare: Column) -> Column:
+        return (bare != "") & (F.char_length(bare) <= max_chars) & (bare != CREDITS_ENTRY)
+
+    return let(strip(text), usable)
 
 
 def replace_punct(text: Column) -> Column:

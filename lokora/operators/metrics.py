@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lokora.functions.tokens import tokens_13a
+from lokora.session import spread
 
 # --- Fixed values ----------------------------------------------------------
 BLEU_ORDER = 4
@@ -40,7 +41,7 @@ def ngram_matches(
     """
     by, key = list(by), list(key)
     row = [*by, *key]
-    placed = pairs.select(*row, "hyp", "ref").repartition(*row)
+    placed = spread(pairs.select(*row, "hyp", "ref"), *row)
     sided = placed.select(*row, tokens(F.col("hyp")).alias("h"), tokens(F.col("ref")).alias("r"))
 
     def grams(side: str, n: int) -> Column:
@@ -62,7 +63,8 @@ def ngram_matches(
 
     all_grams = F.concat(*[grams(side, n) for side in "hr" for n in range(1, order + 1)])
     counted = (
-        sided.select(*row, F.inline(all_grams))
+        sided.select(*row, F.inline_outer(all_grams))
+        .filter(F.col("n").isNotNull())
         .groupBy(*row, "n", "gram")
         .agg(F.sum("in_hyp").alias("h"), F.sum("in_ref").alias("r"))
     )
@@ -119,16 +121,24 @@ def corpus_bleu(
     )
 
 
-def character_edit_rate(pairs: DataFrame, by: Sequence[str]) -> DataFrame:
+def character_edit_rate(
+    pairs: DataFrame, by: Sequence[str], key: Sequence[str] = ("row_id",)
+) -> DataFrame:
     """Character edits per hypothesis character: over the corpus, and row mean.
 
     Edits are insertions, deletions and substitutions.  An empty hypothesis for a
-    non-empty reference counts as rate 1.
+    non-empty reference counts as rate 1.  The edit distance is quadratic in the
+    length of a text, so rows are first spread over all tasks, longest texts too.
     """
-    edits = F.levenshtein(F.col("hyp"), F.col("ref"))
-    size = F.char_length("hyp")
+    placed = spread(pairs.select(*by, *key, "hyp", "ref"), *by, *key)
+    measured = placed.select(
+        *by,
+        F.levenshtein("hyp", "ref").alias("edits"),
+        F.char_length("hyp").alias("size"),
+    )
+    edits, size = F.col("edits"), F.col("size")
     rate = F.when(size > 0, edits / size).otherwise(F.when(edits > 0, 1.0).otherwise(0.0))
-    return pairs.groupBy(*by).agg(
+    return measured.groupBy(*by).agg(
         F.sum(edits).alias("edits"),
         F.sum(size).alias("hyp_chars"),
         F.round(F.sum(edits) / F.nullif(F.sum(size), F.lit(0)), SCORE_DIGITS).alias("edit_rate"),

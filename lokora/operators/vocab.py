@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from lokora.functions.tokens import words
 from lokora.operators.ordering import global_index
-from lokora.session import broadcast_if_small, stage_table
+from lokora.session import broadcast_if_small, spread, stage_table
 
 # Ship the helpers below with their UDFs, so workers need no installed package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -26,13 +26,15 @@ UNKNOWN_ID = 3
 EOS_ID = 2
 NUM_MERGES = 30_000
 MIN_PAIR_COUNT = 2
-MERGE_BATCH = 256
+MERGE_BATCH = 64
 # ---------------------------------------------------------------------------
 
 # More merges than this are refused rather than shipped to every task.
 MAX_MERGES = 200_000
 # A dictionary up to this many tokens is broadcast; a larger one is joined.
 MAX_BROADCAST_TOKENS = 500_000
+# Merge rounds between two writes of the word-type table.
+ROUNDS_PER_STAGE = 12
 # Words remembered per task while segmenting.
 CACHE_WORDS = 200_000
 
@@ -45,7 +47,8 @@ def language_lines(df: DataFrame, columns: Sequence[str] = ("src", "tgt")) -> Da
 def token_counts(df: DataFrame, column: str = "line") -> DataFrame:
     """``(token, cnt)`` of blank-separated text; counted in the map tasks first."""
     return (
-        df.select(F.explode(words(F.col(column))).alias("token"))
+        df.select(F.explode_outer(F.split(F.col(column), " ", -1)).alias("token"))
+        .filter(F.col("token") != "")
         .groupBy("token")
         .agg(F.count(F.lit(1)).alias("cnt"))
     )
@@ -62,14 +65,14 @@ def start_symbols(counts: DataFrame) -> DataFrame:
 
 def pair_counts(state: DataFrame) -> DataFrame:
     """Adjacent symbol pairs weighted by word count."""
-    symbols = F.split("symbols", " ")
+    words = state.select("cnt", F.split("symbols", " ").alias("s"))
     pairs = F.arrays_zip(
-        F.slice(symbols, F.lit(1), F.size(symbols) - 1).alias("l"),
-        F.slice(symbols, F.lit(2), F.size(symbols) - 1).alias("r"),
+        F.slice("s", F.lit(1), F.size("s") - 1).alias("l"),
+        F.slice("s", F.lit(2), F.size("s") - 1).alias("r"),
     )
     return (
-        state.filter(F.size(symbols) > 1)
-        .select("cnt", F.inline(pairs).alias("left", "right"))
+        words.filter(F.size("s") > 1)
+        .select("cnt", F.inline_outer(pairs).alias("left", "right"))
         .groupBy("left", "right")
         .agg(F.sum("cnt").alias("cnt"))
     )
@@ -78,29 +81,43 @@ def pair_counts(state: DataFrame) -> DataFrame:
 def _take_batch(leading: Sequence, batch: int, made: set[str], complete: bool) -> list[tuple[str, str]]:
     """The leading pairs that can be merged in one round with the same outcome.
 
-    A merge changes only pairs that touch its symbols, and a new pair is never
-    more frequent than the pair it came from.  So the next pair keeps its turn
-    unless it, or a pair of equal count, touches a symbol in use.  A merge that
+    Merging (a, b) changes only pairs that end in a or start with b, and a pair
+    it creates is never more frequent than the one it came from.  So the next
+    pair keeps its count and its turn unless it, or a pair of equal count, meets
+    a chosen pair that way or involves a symbol just created.  A merge that
     yields a symbol made before may raise other pairs: it ends the round.
     ``complete`` tells that ``leading`` holds all pairs there are.
     """
     chosen: list[tuple[str, str]] = []
-    used: set[str] = set()
+    starts: set[str] = set()
+    ends: set[str] = set()
+    created: set[str] = set()
+
+    def meets(pair) -> bool:
+        left, right = pair.left, pair.right
+        return (
+            left in ends
+            or right in starts
+            or bool(created & {left, right})
+            or left + right in starts | ends | created
+        )
+
     for row in leading:
         if chosen:
             if not complete and row.cnt == leading[-1].cnt:
                 break  # pairs of equal count may lie beyond the list
-            rivals = [r for r in leading if r.cnt == row.cnt]
-            if any(used & {r.left, r.right, r.left + r.right} for r in rivals):
+            if any(meets(rival) for rival in leading if rival.cnt == row.cnt):
                 break
         chosen.append((row.left, row.right))
-        used |= {row.left, row.right, row.left + row.right}
+        starts.add(row.left)
+        ends.add(row.right)
+        created.add(row.left + row.right)
         if len(chosen) == batch or row.left + row.right in made:
             break
     return chosen
 
 
-def _join_pair(symbols: list[str], pairs: set[tuple[str, str]]) -> list[str]:
+def _join_pairs(symbols: list[str], pairs: set[tuple[str, str]]) -> list[str]:
     """One left-to-right pass that joins every listed pair."""
     out: list[str] = []
     joined = False
@@ -127,17 +144,19 @@ def learn_subwords(
     unchanged, up to ``batch``; ``batch=1`` is one merge per round.
 
     The corpus is read once, for ``counts``.  A round is one aggregation over the
-    word-type table, which is written per round to keep the lineage short; the
-    driver sees the leading pairs only.
+    word-type table; words that are down to one symbol leave it.  The table is
+    written every few rounds to keep the lineage short.  The driver sees the
+    leading pairs only.
     """
     spark = counts.sparkSession
-    state = stage_table(start_symbols(counts), "subword-state")
+    state = stage_table(spread(start_symbols(counts), "token"), "subword-state")
+    pending: list[set[tuple[str, str]]] = []
     merges: list[tuple[str, str]] = []
     made: set[str] = set()
     look = 4 * batch + 1
     while len(merges) < num_merges:
         leading = (
-            pair_counts(state)
+            pair_counts(_apply_rounds(state, pending))
             .filter(F.col("cnt") >= min_count)
             .orderBy(F.desc("cnt"), F.desc("left"), F.desc("right"))
             .limit(look)
@@ -150,20 +169,37 @@ def learn_subwords(
             break
         merges.extend(chosen)
         made.update(left + right for left, right in chosen)
-        if len(merges) < num_merges:
-            state = stage_table(_apply_round(state, chosen), "subword-state")
+        pending.append(set(chosen))
+        if len(pending) == ROUNDS_PER_STAGE:
+            state = stage_table(
+                spread(_apply_rounds(state, pending), "token"), "subword-state"
+            )
+            pending = []
     rows = [(rank, left, right) for rank, (left, right) in enumerate(merges)]
     return spark.createDataFrame(rows, "rank int, left string, right string")
 
 
-def _apply_round(state: DataFrame, chosen: list[tuple[str, str]]) -> DataFrame:
-    pairs = set(chosen)
+def _apply_rounds(state: DataFrame, rounds: list[set[tuple[str, str]]]) -> DataFrame:
+    """The word-type table after some rounds of merges, one-symbol words left out."""
+    if not rounds:
+        return state
+
+    # Most words hold none of a round's pairs: a plain substring test tells.
+    marks = [(pairs, [f"{left} {right}" for left, right in pairs]) for pairs in rounds]
+
+    def merged(word: str) -> str:
+        for pairs, texts in marks:
+            if any(text in word for text in texts):
+                word = " ".join(_join_pairs(word.split(" "), pairs))
+        return word
 
     @F.pandas_udf("string")
-    def join_round(symbols: pd.Series) -> pd.Series:
-        return symbols.map(lambda s: " ".join(_join_pair(s.split(" "), pairs)))
+    def join_rounds(words: pd.Series) -> pd.Series:
+        return words.map(merged)
 
-    return state.withColumn("symbols", join_round("symbols"))
+    return state.withColumn("symbols", join_rounds("symbols")).filter(
+        F.col("symbols").contains(" ")
+    )
 
 
 def _segment(word: str, ranks: dict[tuple[str, str], int]) -> str:
@@ -173,7 +209,7 @@ def _segment(word: str, ranks: dict[tuple[str, str], int]) -> str:
         best = min(zip(symbols, symbols[1:]), key=lambda p: ranks.get(p, MAX_MERGES))
         if best not in ranks:
             break
-        symbols = _join_pair(symbols, {best})
+        symbols = _join_pairs(symbols, {best})
     symbols[-1] = symbols[-1].removesuffix(WORD_END)
     return f"{JOINER} ".join(symbols)
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lokora.functions import text as T
+from lokora.functions.once import with_columns_once
 from lokora.operators.corpus import dedup_pairs, length_filter
 
 
@@ -13,8 +14,9 @@ def translated_rows(raw: DataFrame) -> DataFrame:
     """Rows with text on both sides, then normalised (emptiness is tested first)."""
     src = F.coalesce(F.col("src"), F.lit(""))
     tgt = F.coalesce(F.col("tgt"), F.lit(""))
-    return raw.filter((src != "") & (tgt != "")).withColumns(
-        {"src": T.normalise_text(src), "tgt": T.normalise_text(tgt)}
+    return with_columns_once(
+        raw.filter((src != "") & (tgt != "")),
+        {"src": T.normalise_text(src), "tgt": T.normalise_text(tgt)},
     )
 
 

@@ -25,5 +25,5 @@ def score_report(
 ) -> DataFrame:
     """BLEU and character edit rate of every configuration in one query."""
     bleu = corpus_bleu(pairs, by, key, smooth=smooth)
-    rate = character_edit_rate(pairs, by)
+    rate = character_edit_rate(pairs, by, key)
     return rate.join(bleu.select(*by, "bleu"), list(by), "left")

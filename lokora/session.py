@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Runtime SQL settings the jobs rely on.  They are safe to set on a session
 # that somebody else created: none of them is a static setting.
@@ -84,6 +85,22 @@ def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
 
     Otherwise the frame is returned as it is, and the join shuffles.
     """
-    from pyspark.sql.functions import broadcast
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
-    return broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+def spread(df: DataFrame, *key: str) -> DataFrame:
+    """Place rows by key over all shuffle partitions, for work that is heavy per row.
+
+    The number is given, so AQE does not merge the partitions by their small size.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *key)
+
+
+def fill_cores(df: DataFrame, *key: str) -> DataFrame:
+    """Spread a scan that has fewer splits than there are cores; else leave it.
+
+    One small file is one task, however heavy the work on its rows.  A large
+    input has more splits than cores and gets no extra shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *key) if df.rdd.getNumPartitions() < cores else df

@@ -1,5 +1,9 @@
 """PO file sources and entry extraction.
 
+Explodes here are the outer kind with a null filter behind them: for the inner
+kind the optimizer repeats the exploded expression in a filter below it, and the
+expressions here are the costly part.
+
 A PO file normally arrives as one row, and all its entries are cut out of that
 row by column expressions: no shuffle, no Python.  Files too large for one row
 are scanned line by line instead; Spark splits them, and only the state carried
@@ -12,17 +16,22 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lokora.functions import text as T
+from lokora.functions.once import let, with_columns_once
 
 # --- Fixed values: the published PO line format ------------------------------
 _OBSOLETE = r"(?:#~[ \t]*)?"
 _QUOTED = r'"[^\n]*"[ \t]*(?:\n|\z)'
 _MORE = rf"(?:{_OBSOLETE}{_QUOTED})*+"
 _MSGSTR = rf"^{_OBSOLETE}msgstr(?:\[\d+\])?[ \t]*{_QUOTED}{_MORE}"
-_ENTRY = rf"(?dm)[\s\S]*?(?:{_MSGSTR})++"
+# Lines up to a msgstr, then all msgstr blocks in a row.  \G ties each entry to
+# the end of the one before, so text behind the last entry is looked at once.
+_ENTRY = rf"(?dm)\G(?:(?!{_OBSOLETE}msgstr)[^\n]*+\n)*+(?:{_MSGSTR})++"
 _STRING = r'"(?:[^"\\\n]|\\[^\n])*+'
 _KEYWORD = r"(?:msgctxt|msgid_plural|msgid|msgstr(?:\[\d+\])?)[ \t]*"
-_GOOD_LINE = rf'(?:#[^\n]*|(?:{_KEYWORD})?{_STRING}"[ \t]*)'
-_BAD_LINE = rf"(?dm)^(?!{_GOOD_LINE}$|#~[ \t]*(?:{_KEYWORD})?\")[^\n]+$"
+_COMMENT = rf'#(?!~[ \t]*(?:{_KEYWORD})?")[^\n]*+'
+_GOOD_LINE = rf'(?:{_COMMENT}|{_OBSOLETE}(?:{_KEYWORD})?{_STRING}"[ \t]*)'
+_READABLE = rf"(?d)\A(?:{_GOOD_LINE}(?:\n|\z))*+\z"
+_HAS_ENTRY = r"(?dm)^(?:#~[ \t]*)?msgid"
 _OPEN_STRING = rf"(?dm)^{_OBSOLETE}(?:{_KEYWORD})?{_STRING}$"
 _OLD_BLOCK = "#:([^#]*)"
 # ---------------------------------------------------------------------------
@@ -76,25 +85,27 @@ def read_large_po_lines(
 def po_lines(files: DataFrame, block_lines: int = BLOCK_LINES) -> DataFrame:
     """The line form of ``(filepath, content)`` rows."""
     return files.select(
-        "filepath", F.posexplode(F.split("content", "\n", -1)).alias("ln", "value")
-    ).select("filepath", F.expr(f"bigint(ln div {block_lines})").alias("blk"), "ln", "value")
+        "filepath", F.posexplode_outer(F.split("content", "\n", -1)).alias("ln", "value")
+    ).filter(F.col("value").isNotNull()).select("filepath", F.expr(f"bigint(ln div {block_lines})").alias("blk"), "ln", "value")
 
 
 def _unquote(block: Column) -> Column:
     """The text of a quoted block: pieces joined, escapes resolved."""
     joined = F.regexp_replace(block, r'"[ \t]*\n(?:#~[ \t]*)?"', "")
-    inner = F.regexp_extract(joined, r'(?s)\A"(.*)"\s*\z', 1)
-    # Double backslashes separate the pieces, so no placeholder is needed.
-    pieces = F.split(inner, r"\\\\", -1)
 
     def resolve(piece: Column) -> Column:
         for escape, char in (("\\n", "\n"), ("\\t", "\t"), ("\\r", "\r"), ('\\"', '"')):
             piece = F.replace(piece, F.lit(escape), F.lit(char))
         return piece
 
-    return F.when(~inner.contains("\\"), inner).otherwise(
-        F.array_join(F.transform(pieces, resolve), "\\")
-    )
+    def unescape(inner: Column) -> Column:
+        # Double backslashes separate the pieces, so no placeholder is needed.
+        pieces = F.split(inner, r"\\\\", -1)
+        return F.when(~inner.contains("\\"), inner).otherwise(
+            F.array_join(F.transform(pieces, resolve), "\\")
+        )
+
+    return let(F.regexp_extract(joined, r'(?s)\A"(.*)"\s*\z', 1), unescape)
 
 
 def _field(entry: Column, keyword: str) -> Column:
@@ -128,50 +139,54 @@ def _entry_fields(rows: DataFrame) -> DataFrame:
     plural = rf"(?dm)^{_OBSOLETE}msgstr\[\d+\][ \t]*({_QUOTED}{_MORE})"
     flags = F.array_join(F.regexp_extract_all(entry, F.lit(r"(?dm)^#,(.*)$"), F.lit(1)), ",")
     has_context = entry.rlike(rf'(?dm)^{_OBSOLETE}msgctxt[ \t]*"')
-    return rows.select(
-        "filepath",
-        "entry_no",
-        F.when(has_context, _field(entry, "msgctxt")).alias("msgctxt"),
-        _field(entry, "msgid").alias("msgid"),
-        _field(entry, "msgid_plural").alias("msgid_plural"),
-        _field(entry, "msgstr").alias("msgstr"),
-        F.transform(F.regexp_extract_all(entry, F.lit(plural), F.lit(1)), _unquote).alias(
-            "msgstr_plural"
+    fields = {
+        "msgctxt": F.when(has_context, _field(entry, "msgctxt")),
+        "msgid": _field(entry, "msgid"),
+        "msgid_plural": _field(entry, "msgid_plural"),
+        "msgstr": _field(entry, "msgstr"),
+        "msgstr_plural": F.transform(
+            F.regexp_extract_all(entry, F.lit(plural), F.lit(1)), _unquote
         ),
-        F.filter(F.transform(F.split(flags, ","), lambda f: F.trim(f)), lambda f: f != "").alias("flags"),
-        entry.rlike(r"(?dm)^#~[ \t]*msg").alias("obsolete"),
-        _occurrences(entry).alias("occurrences"),
-    )
+        "flags": F.filter(
+            F.transform(F.split(flags, ","), lambda f: F.trim(f)), lambda f: f != ""
+        ),
+        "obsolete": entry.rlike(r"(?dm)^#~[ \t]*msg"),
+        "occurrences": _occurrences(entry),
+    }
+    return with_columns_once(rows, fields).select("filepath", "entry_no", *fields)
+
+
+def _tidied(files: DataFrame) -> DataFrame:
+    tidy = _tidy(F.coalesce(F.col("content"), F.lit("")))
+    return with_columns_once(files, {"_tidy": tidy})
 
 
 def parse_po_entries(files: DataFrame) -> DataFrame:
-    """All entries of ``(filepath, content)`` rows, header included. Map-only."""
-    entries = F.regexp_extract_all(_tidy(F.col("content")), F.lit(_ENTRY), F.lit(0))
+    """All entries of ``(filepath, content)`` rows, header included. Map-only.
+
+    A file that cannot be read gives no rows; ``po_problems`` tells why.
+    """
+    readable = _tidied(files).filter(F.col("_tidy").rlike(_READABLE))
+    entries = F.regexp_extract_all("_tidy", F.lit(_ENTRY), F.lit(0))
     return _entry_fields(
-        files.select("filepath", F.posexplode(entries).alias("_no", "entry")).select(
-            "filepath", F.col("_no").cast("bigint").alias("entry_no"), "entry"
-        )
+        readable.select("filepath", F.posexplode_outer(entries).alias("_no", "entry"))
+        .filter(F.col("entry").isNotNull())
+        .select("filepath", F.col("_no").cast("bigint").alias("entry_no"), "entry")
     )
 
 
 def po_problems(files: DataFrame) -> DataFrame:
-    """Files that cannot be parsed, with the reason."""
-    tidy = _tidy(F.col("content"))
+    """The quarantine: files that give no entries, with the reason."""
+    tidy = F.col("_tidy")
     reason = (
-        F.when(~tidy.rlike(r"(?dm)^(?:#~[ \t]*)?msgid"), F.lit("no entries"))
+        F.when(~tidy.rlike(_HAS_ENTRY), F.lit("no entries"))
+        .when(tidy.rlike(_READABLE), F.lit(None))
         .when(tidy.rlike(_OPEN_STRING), F.lit("unterminated string"))
-        .when(tidy.rlike(_BAD_LINE), F.lit("unexpected line"))
-    )
-    return files.select("filepath", reason.alias("reason")).filter(F.col("reason").isNotNull())
-
-
-def split_readable(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``(readable files, quarantine)``, both in one pass over the same rows."""
-    tidy = _tidy(F.col("content"))
-    bad = (
-        ~tidy.rlike(r"(?dm)^(?:#~[ \t]*)?msgid") | tidy.rlike(_OPEN_STRING) | tidy.rlike(_BAD_LINE)
+        .otherwise(F.lit("unexpected line"))
     )
-    return files.filter(~bad), po_problems(files)
+    return with_columns_once(_tidied(files), {"reason": reason}).filter(
+        F.col("reason").isNotNull()
+    ).select("filepath", "reason")
 
 
 def po_lines_to_entries(lines: DataFrame) -> DataFrame:
@@ -185,19 +200,20 @@ def po_lines_to_entries(lines: DataFrame) -> DataFrame:
     """
     keys = ["filepath", "blk"]
     value = F.col("value")
-    raw = lines.withColumn("_utf8", F.is_valid_utf8(value))
-    # Keywords, quotes and comment marks are ASCII: the line class does not
+    trimmed = with_columns_once(
+        lines, {"_line": F.regexp_replace(value, r"\A\s+|\s+\z", "")}
+    ).filter(F.col("_line") != "")
+    # Keywords, quotes and comment marks are ASCII: the class of a line does not
     # depend on the encoding.
-    line = F.regexp_replace(value, r"\A\s+|\s+\z", "")
+    line = F.col("_line")
     keyword = F.regexp_extract(line, rf'\A{_OBSOLETE}({_KEYWORD})"', 1)
-    kind = F.when(keyword != "", F.regexp_replace(keyword, r"[ \t]+\z", "")).when(
-        line.startswith("#") & ~line.rlike(r'\A#~[ \t]*"'), F.lit("#")
-    )
-    rows = (
-        raw.withColumn("_kind", kind)
-        .withColumn("_bad", (line.rlike(_OPEN_STRING) | line.rlike(_BAD_LINE)))
-        .filter(line != "")
-    )
+    kind = F.when(
+        line.startswith("#") & ~line.rlike(r'\A#~[ \t]*(?:"|msg)'), F.lit("#")
+    ).otherwise(F.nullif(F.rtrim(keyword), F.lit("")))
+    rows = with_columns_once(
+        trimmed,
+        {"_kind": kind, "_bad": ~line.rlike(_READABLE), "_utf8": F.is_valid_utf8(value)},
+    ).drop("_line")
 
     def opens(kind: Column, previous: Column) -> Column:
         return F.coalesce(
@@ -310,18 +326,19 @@ def parse_po_blocks(files: DataFrame) -> DataFrame:
         return F.struct(F.array_join(heads, "").alias("cxt"), F.get(blocks, at).alias("block"))
 
     cut = files.select(
-        "filepath", F.posexplode(F.transform("_full", with_prefix)).alias("block_no", "_e")
-    )
+        "filepath", F.posexplode_outer(F.transform("_full", with_prefix)).alias("block_no", "_e")
+    ).filter(F.col("block_no").isNotNull())
     block = F.col("_e.block")
     source = F.regexp_extract(block, r"(?s)msgid(.*?)msgstr", 1)
-    rows = cut.select(
-        "filepath",
-        F.col("block_no").cast("bigint").alias("block_no"),
-        T.clean_text(T.strip(F.col("_e.cxt"))).alias("cxt"),
-        # The character in front of the closing keyword goes too.
-        T.clean_text(F.regexp_replace(source, r"(?s).\z", "")).alias("src"),
-        T.clean_text(F.regexp_extract(block, r"(?s)msgstr(.*)\z", 1)).alias("tgt"),
-    )
+    rows = with_columns_once(
+        cut,
+        {
+            "cxt": T.clean_text(T.strip(F.col("_e.cxt"))),
+            # The character in front of the closing keyword goes too.
+            "src": T.clean_text(F.regexp_replace(source, r"(?s).\z", "")),
+            "tgt": T.clean_text(F.regexp_extract(block, r"(?s)msgstr(.*)\z", 1)),
+        },
+    ).select("filepath", F.col("block_no").cast("bigint").alias("block_no"), "cxt", "src", "tgt")
     kept = F.lit(True)
     for name in ("src", "tgt", "cxt"):
         kept = kept & T.is_kept_text(F.col(name))
