@@ -429,4 +429,4 @@ SCORES_SQL = BLEU_SQL.replace(
 )
 def full_score_report(spark: SparkSession, sf: str) -> DataFrame:
     """Both scores of every configuration, on the same folded text."""
-    return score_report(_folded(_pairs(spark, sf)), BY)
+    return score_report(stage_table(_folded(_pairs(spark, sf)), "pairs"), BY)

@@ -8,6 +8,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lokora.functions.once import let, with_columns_once
 from lokora.functions.tokens import tokens_13a
 from lokora.session import spread
 
@@ -16,6 +17,8 @@ BLEU_ORDER = 4
 SCORE_DIGITS = 4
 # ---------------------------------------------------------------------------
 
+EDIT_BANDS = (64, 512)
+
 
 def align_hypotheses(
     hypotheses: DataFrame,
@@ -43,38 +46,58 @@ def ngram_matches(
     row = [*by, *key]
     placed = spread(pairs.select(*row, "hyp", "ref"), *row)
     sided = placed.select(*row, tokens(F.col("hyp")).alias("h"), tokens(F.col("ref")).alias("r"))
-
-    def grams(side: str, n: int) -> Column:
-        toks = F.col(side)
-        starts = F.when(F.size(toks) >= n, F.sequence(F.lit(1), F.size(toks) - n + 1)).otherwise(
-            F.array().cast("array<int>")
-        )
-        mine, other = ("in_hyp", "in_ref") if side == "h" else ("in_ref", "in_hyp")
-        flags = {mine: F.lit(1), other: F.lit(0)}
-        return F.transform(
-            starts,
-            lambda i: F.struct(
-                F.lit(n).alias("n"),
-                F.array_join(F.slice(toks, i, F.lit(n)), " ").alias("gram"),
-                flags["in_hyp"].alias("in_hyp"),
-                flags["in_ref"].alias("in_ref"),
-            ),
-        )
-
-    all_grams = F.concat(*[grams(side, n) for side in "hr" for n in range(1, order + 1)])
-    counted = (
-        sided.select(*row, F.inline_outer(all_grams))
-        .filter(F.col("n").isNotNull())
-        .groupBy(*row, "n", "gram")
-        .agg(F.sum("in_hyp").alias("h"), F.sum("in_ref").alias("r"))
+    listed = sided.select(
+        *row, _ngrams(F.col("h"), order).alias("h"), _ngrams(F.col("r"), order).alias("r")
+    )
+    grams = listed.select(
+        *row, F.size("h").alias("_nh"), F.posexplode_outer(F.concat("h", "r")).alias("_i", "gram")
+    ).filter(F.col("gram").isNotNull())
+    # Tokens hold no blank, so the blanks of an n-gram tell its n.
+    n = F.length("gram") - F.length(F.replace("gram", F.lit(" "), F.lit(""))) + 1
+    counted = grams.groupBy(*row, "gram").agg(
+        F.count_if(F.col("_i") < F.col("_nh")).alias("h"),
+        F.count_if(F.col("_i") >= F.col("_nh")).alias("r"),
     )
-    return counted.groupBy(*by, "n").agg(
+    return counted.groupBy(*by, n.alias("n")).agg(
         F.sum(F.least("h", "r")).alias("matches"),
         F.sum("h").alias("hyp_ngrams"),
         F.sum("r").alias("ref_ngrams"),
     )
 
 
+def _ngrams(tokens: Column, order: int) -> Column:
+    """All n-grams up to ``order``; each n extends the (n-1)-grams by one token."""
+    lists = [tokens]
+    for n in range(2, order + 1):
+        size = F.greatest(F.size(tokens) - (n - 1), F.lit(0))
+        lists.append(
+            F.zip_with(
+                F.slice(lists[-1], F.lit(1), size),
+                F.slice(tokens, F.lit(n), size),
+                lambda gram, token: F.concat(gram, F.lit(" "), token),
+            )
+        )
+    return F.concat(*lists)
+
+
+def edit_distance(left: Column, right: Column) -> Column:
+    """Exact edit distance; close texts are settled in a narrow band first.
+
+    A band of width t costs t times the length instead of its square, and answers
+    only when the distance is at most t.
+    """
+    distance = F.levenshtein(left, right)
+    for band in sorted(EDIT_BANDS, reverse=True):
+        distance = _within_band(left, right, band, distance)
+    return distance
+
+
+def _within_band(left: Column, right: Column, band: int, otherwise: Column) -> Column:
+    return let(
+        F.levenshtein(left, right, band), lambda d: F.when(d >= 0, d).otherwise(otherwise)
+    )
+
+
 def corpus_bleu(
     pairs: DataFrame,
     by: Sequence[str],
@@ -131,10 +154,12 @@ def character_edit_rate(
     length of a text, so rows are first spread over all tasks, longest texts too.
     """
     placed = spread(pairs.select(*by, *key, "hyp", "ref"), *by, *key)
-    measured = placed.select(
-        *by,
-        F.levenshtein("hyp", "ref").alias("edits"),
-        F.char_length("hyp").alias("size"),
+    measured = with_columns_once(
+        placed,
+        {
+            "edits": edit_distance(F.col("hyp"), F.col("ref")),
+            "size": F.char_length("hyp"),
+        },
     )
     edits, size = F.col("edits"), F.col("size")
     rate = F.when(size > 0, edits / size).otherwise(F.when(edits > 0, 1.0).otherwise(0.0))
