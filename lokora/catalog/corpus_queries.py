@@ -20,6 +20,7 @@ from lokora.sinks import writers as W
 
 # Share of training rows used by the split queries; the rest is evaluation.
 SHARE = 0.6
+# Tables too small for any eligible group give empty held-out sets (strict=False).
 WITH_ENTRIES = f"with {V.ENTRIES_SQL}"
 ROW_ID = "file_ord * 100000 + pos"
 
@@ -254,7 +255,7 @@ chosen as (
 
 
 def _chosen(spark: SparkSession, sf: str) -> DataFrame:
-    return S.holdout_groups(C.repo_counts(V.stored_entries(spark, sf)), SHARE)
+    return S.holdout_groups(C.repo_counts(V.stored_entries(spark, sf)), SHARE, strict=False)
 
 
 @query("held_out_groups", f"with {COUNTS_SQL} select repo, cnt, cum, split from chosen")
@@ -460,7 +461,7 @@ labelled as (
 
 
 def labelled_entries(spark: SparkSession, sf: str) -> DataFrame:
-    return assign_splits(V.stored_entries(spark, sf), SHARE)
+    return assign_splits(V.stored_entries(spark, sf), SHARE, strict=False)
 
 
 @query("assigned_splits", f"with {SPLITS_SQL} select filepath, pos, split from labelled")

@@ -177,13 +177,10 @@ def locate_pairs(
     """First row id in ``full`` of every row of ``part``.
 
     ``strict`` fails the query on an unmatched row; otherwise its id is null.
+    ``full`` is aggregated before the join: a pair with very many copies is
+    down to one row per map task when it is shuffled.
     """
-    wanted = part.select(*keys).distinct()
-    first = (
-        full.join(wanted, list(keys), "left_semi")
-        .groupBy(*keys)
-        .agg(F.min(row_id).alias("found_id"))
-    )
+    first = full.groupBy(*keys).agg(F.min(row_id).alias("found_id"))
     located = part.join(first, list(keys), "left")
     if strict:
         missing = F.raise_error(F.concat(F.lit("pair not found: "), F.concat_ws(" | ", *keys)))
