@@ -80,7 +80,10 @@ def hash_partition(
     In the order of a seeded hash of ``key`` (a unique row key) the first
     ``sizes[0]`` rows form part 0, the next ``sizes[1]`` rows part 1, and so on;
     the rest get null.  A size is a number or a scalar-subquery column.
-    ``df`` is read three times, so pass a stored table.
+
+    The counting pass runs here, once, over the key columns; where the cuts fall
+    is kept as a one-row table.  After that a row's part is decided in place,
+    but for the rows of the few prefixes that hold a cut.
     """
     cols = df.columns
     hashed = df.withColumn("_hash", seeded_hash(seed, *[F.col(k) for k in key])).withColumn(
@@ -105,8 +108,9 @@ def hash_partition(
             F.max(F.when(F.col("_upto") < end, F.col("_upto"))).alias(f"b{i}")
             for i, end in enumerate(ends)
         ],
+        *[F.first(end).alias(f"e{i}") for i, end in enumerate(ends)],
     )
-    cut = cuts.select(F.struct("*")).scalar()
+    cut = stage_table(cuts, "sample-cuts").select(F.struct("*")).scalar()
     n = range(len(ends))
     is_cut = F.lit(False)
     for i in n:
@@ -119,7 +123,7 @@ def hash_partition(
         inside = F.coalesce(F.col("_bucket") < cut[f"c{i}"], F.lit(True))
         whole = F.when(inside, F.lit(i)).otherwise(whole)
         at_cut = F.coalesce(F.col("_bucket") == cut[f"c{i}"], F.lit(False))
-        taken = F.when(at_cut, F.col("_rank") + F.coalesce(cut[f"b{i}"], F.lit(0)) <= ends[i]).otherwise(inside)
+        taken = F.when(at_cut, F.col("_rank") + F.coalesce(cut[f"b{i}"], F.lit(0)) <= cut[f"e{i}"]).otherwise(inside)
         ranked = F.when(taken, F.lit(i)).otherwise(ranked)
     in_bucket = Window.partitionBy("_bucket").orderBy("_hash", *key)
     outside = hashed.filter(~is_cut).withColumn(out, whole)

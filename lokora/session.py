@@ -24,11 +24,17 @@ RUNTIME_CONF = {
     "spark.sql.parquet.inferTimestampNTZ.enabled": "true",
 }
 
+SHUFFLE_PARTITIONS = "spark.sql.shuffle.partitions"
+
 
 def tune(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings to an existing session."""
     for key, value in RUNTIME_CONF.items():
         spark.conf.set(key, value)
+    context = spark.sparkContext
+    # The stock 200 shuffle partitions only make sense on a cluster.
+    if context.master.startswith("local") and spark.conf.get(SHUFFLE_PARTITIONS) == "200":
+        spark.conf.set(SHUFFLE_PARTITIONS, str(context.defaultParallelism))
     return spark
 
 
@@ -39,7 +45,7 @@ def local_session(cores: str = "8", app: str = "lokora") -> SparkSession:
         .appName(app)
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "12g")
-        .config("spark.sql.shuffle.partitions", cores if cores.isdigit() else "8")
+        .config(SHUFFLE_PARTITIONS, cores if cores.isdigit() else "8")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

@@ -261,11 +261,10 @@ def po_lines_to_entries(lines: DataFrame) -> DataFrame:
         .withColumn("entry_no", F.col("_before") + F.sum(opened).over(upto))
         .groupBy("filepath", "entry_no")
         .agg(F.array_sort(F.collect_list(F.struct("blk", "ln", text.alias("text")))).alias("_l"))
-        .select(
-            "filepath", "entry_no", _tidy(F.array_join(F.col("_l.text"), "\n")).alias("entry")
-        )
-        .filter(F.col("entry").rlike(rf"(?dm){_MSGSTR}"))
     )
+    entries = with_columns_once(
+        entries, {"entry": _tidy(F.array_join(F.col("_l.text"), "\n"))}
+    ).filter(F.col("entry").rlike(rf"(?dm){_MSGSTR}"))
     return _entry_fields(entries)
 
 
