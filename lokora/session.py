@@ -38,14 +38,19 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def local_session(cores: str = "8", app: str = "lokora") -> SparkSession:
+def local_session(
+    cores: str = "8", app: str = "lokora", partitions: int | None = None, java_options: str = ""
+) -> SparkSession:
     """A local session for tests and the benchmark."""
+    if partitions is None:
+        partitions = int(cores) if cores.isdigit() else 8
     spark = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "12g")
-        .config(SHUFFLE_PARTITIONS, cores if cores.isdigit() else "8")
+        .config("spark.driver.extraJavaOptions", java_options)
+        .config(SHUFFLE_PARTITIONS, str(partitions))
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

@@ -10,6 +10,7 @@ from lokora.session import local_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session("4", "lokora-tests")
+    # Tests are many tiny jobs: compile quickly rather than well.
+    session = local_session("4", "lokora-tests", 3, "-XX:TieredStopAtLevel=1")
     yield session
     session.stop()
