@@ -28,14 +28,14 @@ def po_corpus_rows(
 ) -> tuple[DataFrame, DataFrame]:
     """Pairs of every PO file below ``root``, and the quarantine.
 
-    Files up to ``max_bytes`` are parsed as rows, larger ones by lines.  The
-    quarantine lists the row-sized files that cannot be read; a large unreadable
-    file gives no pairs.
+    Files up to ``max_bytes`` are parsed as rows, larger ones by lines.  A file that
+    cannot be read gives no pairs and a reason in the quarantine.
     """
     files = po.read_po_files(spark, root, max_bytes)
     lines = po.read_large_po_lines(spark, root, max_bytes)
     entries = po.parse_po_entries(files).unionByName(po.po_lines_to_entries(lines))
-    return po.po_pairs(entries), po.po_problems(files)
+    problems = po.po_problems(files).unionByName(po.po_line_problems(lines))
+    return po.po_pairs(entries), problems
 
 
 def build_corpus(

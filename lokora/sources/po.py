@@ -189,6 +189,26 @@ def po_problems(files: DataFrame) -> DataFrame:
     ).select("filepath", "reason")
 
 
+def po_line_problems(lines: DataFrame) -> DataFrame:
+    """The quarantine of files in line form; one flag row per task and file moves."""
+    checked = with_columns_once(
+        lines, {"_line": F.regexp_replace("value", r"\A\s+|\s+\z", "")}
+    )
+    line = F.col("_line")
+    flags = checked.groupBy("filepath").agg(
+        F.bool_or(line.rlike(_HAS_ENTRY)).alias("_any"),
+        F.bool_or(line.rlike(_OPEN_STRING)).alias("_open"),
+        F.bool_or(~line.rlike(_READABLE)).alias("_bad"),
+    )
+    reason = (
+        F.when(~F.col("_any"), F.lit("no entries"))
+        .when(~F.col("_bad"), F.lit(None))
+        .when(F.col("_open"), F.lit("unterminated string"))
+        .otherwise(F.lit("unexpected line"))
+    )
+    return flags.select("filepath", reason.alias("reason")).filter(F.col("reason").isNotNull())
+
+
 def po_lines_to_entries(lines: DataFrame) -> DataFrame:
     """All entries of a file given as ``(filepath, blk, ln, value)`` lines.
 

@@ -29,7 +29,9 @@ def test_end_to_end(spark, tmp_path):
     b = spark.read.parquet(str(out / "b" / "entries"))
     assert a.count() == 320 and a.exceptAll(b.select(a.columns)).count() == 0
     assert a.select("repo").distinct().count() == 8 and a.first().repo.startswith("owner/app")
-    assert spark.read.parquet(str(out / "a" / "quarantine")).first().reason == "unterminated string"
+    for name in "ab":
+        listed = spark.read.parquet(str(out / name / "quarantine")).collect()
+        assert [r.reason for r in listed] == ["unterminated string"]
 
     entries = str(out / "a" / "entries")
     jobs.main(["subwords", "--entries", entries, "--out", str(out / "merges"), "--num_merges", "20"])

@@ -104,6 +104,8 @@ def test_quarantine(spark):
     }
     by_row = po.parse_po_entries(bad).select("filepath").distinct().collect()
     assert [r.filepath for r in by_row] == ["f3.po"]
+    lines = po.po_lines(bad, 2)
+    assert {r.filepath: r.reason for r in po.po_line_problems(lines).collect()} == got
     by_line = po.po_lines_to_entries(po.po_lines(bad, 2)).select("filepath").distinct().collect()
     assert [r.filepath for r in by_line] == ["f3.po"]
 
