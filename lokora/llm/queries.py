@@ -6,12 +6,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lokora.llm import bpe
+from lokora.llm import bpe, packing
 from lokora.llm.registry import QUERIES, SQL, query, table
 
 __all__ = ["QUERIES", "SQL"]
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
 @query("op2_byte_bpe")
@@ -25,3 +26,10 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2("bytes", 256).alias("decoded_sha256"),
     )
+
+
+@query("op10_pattern_packing")
+def op10_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packs all documents into sequences of at most 2048 tokens."""
+    pieces = packing.cut_documents(table(spark, sf_dir, "documents"), WORD_TOKENIZER, 2048, 0)
+    return packing.pack(pieces, 2048)
