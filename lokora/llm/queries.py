@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lokora.llm import bpe, packing
+from lokora.llm import bpe, packing, substrings
 from lokora.llm.registry import QUERIES, SQL, query, table
 
 __all__ = ["QUERIES", "SQL"]
@@ -33,3 +33,12 @@ def op10_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Packs all documents into sequences of at most 2048 tokens."""
     pieces = packing.cut_documents(table(spark, sf_dir, "documents"), WORD_TOKENIZER, 2048, 0)
     return packing.pack(pieces, 2048)
+
+
+@query("op1_substring_dedup")
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cuts passages that an earlier document holds out of every whole text."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return substrings.deduplicate(docs).select(
+        "doc_id", "text", F.char_length("text").cast("long").alias("n_chars"), "removed_bytes", "removed_spans", "changed"
+    )
