@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lokora.llm import bpe, packing, substrings
+from lokora.llm import bpe, langid, packing, substrings
 from lokora.llm.registry import QUERIES, SQL, query, table
 
 __all__ = ["QUERIES", "SQL"]
@@ -42,3 +42,9 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.deduplicate(docs).select(
         "doc_id", "text", F.char_length("text").cast("long").alias("n_chars"), "removed_bytes", "removed_spans", "changed"
     )
+
+
+@query("op4_language_id")
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learns from four fifths of the labelled documents, and predicts every whole text."""
+    return langid.identify(table(spark, sf_dir, "documents"))
