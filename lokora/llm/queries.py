@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lokora.llm import bpe, langid, packing, substrings
+from lokora.llm import bpe, langid, neardup, packing, substrings
 from lokora.llm.registry import QUERIES, SQL, query, table
 
 __all__ = ["QUERIES", "SQL"]
@@ -48,3 +48,9 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Learns from four fifths of the labelled documents, and predicts every whole text."""
     return langid.identify(table(spark, sf_dir, "documents"))
+
+
+@query("op7_chosen_path_join")
+def op7_chosen_path_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose sets of three-word shingles are 0.85 alike."""
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), 3, 85)
