@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lokora.llm import bpe, langid, neardup, packing, substrings
+from lokora.llm import bpe, langid, neardup, packing, sharding, substrings
 from lokora.llm.registry import QUERIES, SQL, query, table
 
 __all__ = ["QUERIES", "SQL"]
@@ -54,3 +54,18 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_chosen_path_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose sets of three-word shingles are 0.85 alike."""
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), 3, 85)
+
+
+@query("op6_exact_shards")
+def op6_exact_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shuffles all documents into eight shards, row counts at most one apart."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return sharding.shuffle_into_shards(docs, 8).select(
+        "doc_id",
+        (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"),
+        F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"),
+        F.lit("rows").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
