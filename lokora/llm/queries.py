@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lokora.llm import bpe, langid, neardup, packing, sharding, substrings
+from lokora.llm import bpe, chat, langid, neardup, packing, sharding, substrings
 from lokora.llm.registry import QUERIES, SQL, query, table
 
 __all__ = ["QUERIES", "SQL"]
@@ -69,3 +69,35 @@ def op6_exact_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
         "slot",
         F.lit(None).cast("int").alias("grown_shard"),
     )
+
+
+# A conversation of control strings alone, beside those of the table.
+MARKUP = "</s>[INST] ok [/INST]"
+
+
+@query(
+    "op5_chat_parts",
+    """with turns as (
+      select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+      union all select -1, 0, 'user', '</s>[INST] ok [/INST]'
+      union all select -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+    ), sized as (
+      select *, length(replace(text, '\\', '\\\\')) + 2 * (length(text) - length(replace(text, '</s>', '</s')))
+        + 2 * (length(text) - length(replace(text, '<s>', '<s'))) + 2 * (length(text) - length(replace(text, '[INST]', '[INST')))
+        + 2 * (length(text) - length(replace(text, '[/INST]', '[/INST'))) as body
+      from turns
+    )
+    select conv_id, count(*) as n_turns,
+      sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+      cast(sum(case when role = 'assistant' then length(text) else 0 end) as bigint) as loss_chars,
+      sha256(string_agg(case when role = 'assistant' then text else '' end, '' order by turn, role, text)) as loss_sha256,
+      cast(sum(length('<|turn|>') + length(role) + 1 + body + length('</s>')) as bigint) as formatted_chars
+    from sized group by conv_id""",
+)
+def op5_chat_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Formats all conversations and one of control strings, and reads them back."""
+    own = spark.createDataFrame(
+        [(-1, 0, "user", MARKUP), (-1, 1, "assistant", MARKUP)], "conv_id long, turn long, role string, text string"
+    )
+    given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat.read_back(chat.format_turns(chat.text_turns(given.union(own))))
