@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lokora.llm import bpe, chat, langid, neardup, packing, sharding, substrings
+from lokora.llm import bpe, chat, langid, neardup, packing, sharding, substrings, warc
 from lokora.llm.registry import QUERIES, SQL, query, table
 
 __all__ = ["QUERIES", "SQL"]
@@ -101,3 +101,23 @@ def op5_chat_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     return chat.read_back(chat.format_turns(chat.text_turns(given.union(own))))
+
+
+_BASE32 = """array_to_string(list_transform(range(32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+      1 + ((cast('0x' || substr(digest, cast(5 * (k // 4) + 1 as bigint), 5) as int) >> cast(15 - 5 * (k % 4) as int)) & 31), 1)), '')"""
+
+
+@query(
+    "op8_warc_archive",
+    f"""with payloads as (
+      select page_id, strlen(coalesce(html, '')) as payload_bytes, sha1(coalesce(html, '')) as digest from pages
+    ), kept as (select digest, max(page_id) as keep from payloads group by digest)
+    select page_id, payload_bytes, {_BASE32} as payload_digest,
+      case when page_id = keep then 'response' else 'revisit' end as record_type,
+      case when page_id = keep then null else keep end as refers_to
+    from payloads join kept using (digest)""",
+)
+def op8_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes all pages to archives, and reads these back in byte ranges."""
+    files = warc.archive(table(spark, sf_dir, "pages"), 0)
+    return warc.read_archives(files).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
