@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lokora.llm import bpe, chat, langid, neardup, packing, sharding, substrings, warc
+from lokora.llm import bpe, chat, fingerprints, langid, neardup, packing, sharding, substrings, warc
 from lokora.llm.registry import QUERIES, SQL, query, table
 
 __all__ = ["QUERIES", "SQL"]
@@ -121,3 +121,15 @@ def op8_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Writes all pages to archives, and reads these back in byte ranges."""
     files = warc.archive(table(spark, sf_dir, "pages"), 0)
     return warc.read_archives(files).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op9_minhash_fingerprints")
+def op9_minhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all texts and of their edited texts."""
+    return fingerprints.fingerprint_with_next(table(spark, sf_dir, "documents"))
+
+
+@query("op9b_similar_documents")
+def op9b_similar_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that share a signature band with an earlier one, Jaccard verified."""
+    return fingerprints.similar_documents(table(spark, sf_dir, "documents"))
