@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lokora.llm import bpe, chat, fingerprints, langid, neardup, packing, sharding, substrings, warc
+from lokora.llm import balltree, bpe, chat, fingerprints, langid, neardup, packing, sharding, substrings, warc
 from lokora.llm.registry import QUERIES, SQL, query, table
 
 __all__ = ["QUERIES", "SQL"]
@@ -133,3 +133,21 @@ def op9_minhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9b_similar_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that share a signature band with an earlier one, Jaccard verified."""
     return fingerprints.similar_documents(table(spark, sf_dir, "documents"))
+
+
+@query(
+    "op3_ball_tree",
+    """with v as (
+      select vec_id, list_transform(embedding, lambda x: floor(256 * cast(x as double))) as v from embeddings
+      where vec_id is not null and embedding is not null
+        and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+    ), scored as (
+      select q.vec_id as query_id, c.vec_id, cast(list_inner_product(q.v, c.v) as bigint) as score
+      from v q join v c on q.vec_id <> c.vec_id and len(q.v) = len(c.v) where q.vec_id % 50 = 0
+    ), ranked as (
+      select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from scored
+    ) select query_id, rank, vec_id, score from ranked where rank <= 5""",
+)
+def op3_ball_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best other vectors for every fiftieth vector."""
+    return balltree.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
