@@ -16,30 +16,41 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lokora.llm.common import pick, stage
 
 # Words a worker remembers with their ids; over it the memory fills up again.
-REMEMBERED_WORDS = 600_000
+REMEMBERED_WORDS = 500_000
 REMEMBERED_CHARS = 64
 # Second lengths tried for each longest length of a three-document pattern.
 TRIPLE_CHOICES = 8
 NNLS_STEPS = 400
 # Rows of one length that are numbered in one group.
-GROUP_ROWS = 50_000
+GROUP_ROWS = 5_000
 
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 class WordTokens:
-    """Ids of whole texts by a tokenizer that never joins across a blank or line end."""
+    """Ids of whole texts by a tokenizer that never joins across a blank or line end.
+
+    Words are remembered with their ids, and so are the lower-case letter runs,
+    digits and signs that words of Latin script consist of: the tokenizer itself
+    only sees what neither memory holds.
+    """
+
+    # The tokenizer's own splitting; it lower-cases first.  Fixed value.
+    SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+    LATIN = "\u0250"  # below: letters that composing and lower-casing keep one by one
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs one task per core
@@ -47,20 +58,36 @@ class WordTokens:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {"": b""}
+        self.split = regex.compile(self.SPLIT).findall
+        self.words: dict[str, bytes] = {"": b""}
+        self.parts: dict[str, bytes] = {}
+
+    def _encoded(self, strings: list[str]) -> Iterator[bytes]:
+        for ids in self.tokenizer.encode_batch_fast(strings, add_special_tokens=False):
+            yield array("I", ids.ids).tobytes()
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
-        if len(self.known) > REMEMBERED_WORDS:
-            self.known = {"": b""}
-        for text in texts:
-            words = text.replace("\n", " ").split(" ")
-            new = list(set(words).difference(self.known))
-            fresh = {}
-            if new:
-                for word, ids in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-                    (self.known if len(word) <= REMEMBERED_CHARS else fresh)[word] = np.array(ids.ids, "<u4").tobytes()
-            look = {**fresh, **{w: self.known[w] for w in words if w in self.known}} if fresh else self.known
-            yield b"".join(map(look.__getitem__, words))
+        """The ids of each text as little-endian unsigned 32-bit integers."""
+        for memory in (self.words, self.parts):
+            if len(memory) > REMEMBERED_WORDS:
+                memory.clear()
+        self.words[""] = b""
+        split = [text.replace("\n", " ").split(" ") for text in texts]
+        new = set().union(*split).difference(self.words)
+        latin = {w: self.split(w.lower()) for w in new if max(w) < self.LATIN}
+        unknown = list(set().union(*latin.values()).difference(self.parts))
+        fresh = dict(zip(unknown, self._encoded(unknown), strict=True))
+        other = [w for w in new if w not in latin]
+        look = dict(zip(other, self._encoded(other), strict=True))
+        self.parts.update(fresh)
+        for word, parts in latin.items():
+            look[word] = b"".join([self.parts[p] for p in parts])
+        self.words.update(look)
+        for words in split:
+            yield b"".join(map(self.words.__getitem__, words))
+        for memory in (self.words, self.parts):
+            for long in [w for w in (look if memory is self.words else fresh) if len(w) > REMEMBERED_CHARS]:
+                del memory[long]
 
 
 @cache
@@ -146,31 +173,40 @@ def _least_squares(patterns: np.ndarray, counts: np.ndarray, capacity: int) -> n
     return x
 
 
-def plan(counts: np.ndarray, capacity: int) -> list[tuple[int, list[tuple[int, int]]]]:
+Plan = list[tuple[int, list[tuple[int, int]]]]
+# Parts of the fitted repeats that are tried; what they leave is packed by best fit.
+FIT_SHARES = (1.0, 0.9, 0.5, 0.0)
+
+
+def plan(counts: np.ndarray, capacity: int) -> Plan:
     """``(repeats, [(length, how many of it), …])`` for each pattern used.
 
     ``counts[l]`` is the number of pieces of length l; the plan holds each once.
+    The fitted repeats are used in several shares, and the plan of fewest
+    sequences is kept: where pieces of one length are few, best fit may do better
+    with more of them.
     """
     left = counts.astype(np.int64).copy()
     left[0] = 0
-    used: list[tuple[int, list[tuple[int, int]]]] = []
-    if left[capacity]:
-        used.append((int(left[capacity]), [(capacity, 1)]))
-        left[capacity] = 0
-
+    full: Plan = [(int(left[capacity]), [(capacity, 1)])] if left[capacity] else []
+    left[capacity] = 0
     patterns = _patterns(left, capacity)
-    if len(patterns):
-        repeats = np.floor(_least_squares(patterns, left, capacity)).astype(np.int64)
-        for j in np.argsort(-patterns.sum(1), kind="stable"):
-            if repeats[j] <= 0:
-                continue
-            lengths, many = np.unique(patterns[j][patterns[j] > 0], return_counts=True)
-            if capacity - lengths @ many > capacity // 100:
-                continue  # what is left packs better one by one
-            times = int(min(repeats[j], (left[lengths] // many).min()))
-            if times > 0:
-                left[lengths] -= times * many
-                used.append((times, [(int(a), int(b)) for a, b in zip(lengths[::-1], many[::-1], strict=True)]))
+    fitted = _least_squares(patterns, left, capacity) if len(patterns) else np.zeros(0)
+    plans = [_rounded(left.copy(), patterns, fitted * share, capacity) for share in FIT_SHARES]
+    return full + min(plans, key=lambda p: sum(times for times, _ in p))
+
+
+def _rounded(left: np.ndarray, patterns: np.ndarray, fitted: np.ndarray, capacity: int) -> Plan:
+    """Whole repeats of the patterns, best filled first, then the residuals."""
+    used: Plan = []
+    repeats = np.floor(fitted).astype(np.int64)
+    wanted = np.flatnonzero((repeats > 0) & (patterns.sum(1) >= capacity - capacity // 100))
+    for j in wanted[np.argsort(-patterns[wanted].sum(1), kind="stable")]:
+        lengths, many = np.unique(patterns[j][patterns[j] > 0], return_counts=True)
+        times = int(min(repeats[j], (left[lengths] // many).min()))
+        if times > 0:
+            left[lengths] -= times * many
+            used.append((times, [(int(a), int(b)) for a, b in zip(lengths[::-1], many[::-1], strict=True)]))
 
     # Residuals: fill each sequence with the longest piece that still fits, in bulk.
     while left.any():
@@ -193,7 +229,7 @@ class Places:
     """Where the r-th piece of a length goes.  The number of intervals is bounded by the
     number of patterns, not by the number of pieces."""
 
-    def __init__(self, used: list[tuple[int, list[tuple[int, int]]]]) -> None:
+    def __init__(self, used: Plan) -> None:
         taken: dict[int, int] = {}
         rows, sequence = [], 0
         for times, runs in used:
