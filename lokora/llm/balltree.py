@@ -88,7 +88,7 @@ class Tree:
         self.ids = np.frombuffer(ids, np.int64)
         self.vectors = np.frombuffer(vectors, np.int64).reshape(len(self.ids), dim)
         self.nodes = np.frombuffer(nodes, np.int64).reshape(-1, 4).tolist()
-        self.centres = np.frombuffer(centres, float).reshape(-1, dim)
+        self.centres = np.frombuffer(centres, float).reshape(len(self.nodes), dim)
         self.radii = np.frombuffer(radii, float)
         self.largest = int(np.abs(self.vectors).max(initial=0))
 
