@@ -20,7 +20,7 @@ def components(edges: DataFrame) -> DataFrame:
         # Large star: hang each larger neighbour on the smallest one.
         both = now.union(now.select("v", "u"))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         # Small star: hang a node and its smaller neighbours on the smallest of them.
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u")
@@ -28,8 +28,7 @@ def components(edges: DataFrame) -> DataFrame:
             small.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         )
         now = stage(small.distinct(), "edges")
-        roots = now.select(F.col("v").alias("u")).distinct()
-        if now.join(roots, "u", "left_semi").isEmpty():
+        if now.join(now.select(F.col("v").alias("u")), "u", "left_semi").isEmpty():
             break
     return now.select(F.col("u").alias("node"), F.col("v").alias("label")).union(
         now.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct()

@@ -11,10 +11,10 @@ once in some 10**9.
 
 Comparing is cheap first (sizes, 128-bit minwise sketches at almost five
 deviations below the threshold) and exact then: links are confirmed on full
-sets.  Links only matter between documents that are not connected yet.  So each
-round first tests the best partner of every class, joins components, and only
-then tests all pairs of different components in a node; nodes and branches
-within one component are dropped.  A large group of mutual near copies thereby
+sets.  Links only matter between documents that are not connected yet.  So the
+best partner of every class is tested first and components are joined; only then
+are the other pairs tested whose ends are still in different components, and
+nodes and branches within one component are dropped.  A large group of mutual near copies thereby
 costs a few tests a member instead of all pairs.
 
 Defined cases: documents without words, or with a null text, have an empty set
@@ -33,15 +33,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lokora.llm.common import Rows, mix, pick, signed, stage
+from lokora.llm.common import Rows, mix, pick, signed, stage, stage_bucketed
 from lokora.llm.components import components
 
 SKETCH_BITS = 128
 MINWISE = 64  # tokens kept to choose paths by
-TREES, BRANCHES, DEPTH = 12, 3, 4
+TREES, BRANCHES, DEPTH = 12, 2, 4
 LEAF = 24
-# Trees whose nodes give the first partners, before anything is joined.
-FIRST_TREES = 2
 DEVIATIONS = 4.7
 REMEMBERED_WORDS = 500_000
 
@@ -149,16 +147,13 @@ class _Search:
 
     def __init__(self, classes: DataFrame, percent: int) -> None:
         self.classes, self.percent = classes, percent
-        self.labels = stage(classes.select("rep", F.col("rep").alias("label")).distinct(), "labels")
+        self.labels = classes.select("rep", F.col("rep").alias("label"))
         self.tested: DataFrame | None = None
         s = percent / 100
         agree = (1 + s) / 2
         cut = SKETCH_BITS * agree - DEVIATIONS * (SKETCH_BITS * agree * (1 - agree)) ** 0.5
         self.most_bits = SKETCH_BITS - int(cut)
 
-    def known(self) -> DataFrame:
-        return self.classes.select("rep", "n_shingles", "s1", "s2").join(self.labels, "rep")
-
     def _alike(self, a: str, b: str) -> Column:
         return F.expr(
             f"{a}.label <> {b}.label"
@@ -166,51 +161,67 @@ class _Search:
             f" and bit_count({a}.s1 ^ {b}.s1) + bit_count({a}.s2 ^ {b}.s2) <= {self.most_bits}"
         )
 
-    def candidates(self, nodes: DataFrame) -> DataFrame:
-        """``(a, b, bits)``: pairs of different components that may be links."""
-        members = nodes.join(self.known(), "rep")
+    def candidates(self, nodes: DataFrame, known: DataFrame) -> DataFrame:
+        """``(a, b, bits, la, lb)``: pairs of different components that may be links.
+
+        ``known`` has size, sketch and label of each class.
+        """
+        members = nodes.join(known, "rep")
         small = members.filter(f"size <= {LEAF}")
-        bits = F.expr("bit_count(x.s1 ^ y.s1) + bit_count(x.s2 ^ y.s2)").alias("bits")
         within = small.alias("x").join(
             small.alias("y"), F.expr("x.path = y.path and x.rep < y.rep") & self._alike("x", "y")
         )
         large = members.filter(f"size > {LEAF} and rep <> pivot")
         to_pivot = large.alias("x").join(
-            self.known().alias("y"), (F.col("x.pivot") == F.col("y.rep")) & self._alike("x", "y")
+            known.alias("y"), (F.col("x.pivot") == F.col("y.rep")) & self._alike("x", "y")
         )
-        ends = [F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b"), bits]
-        return within.select(*ends).union(to_pivot.select(*ends))
+        bits = F.expr("bit_count(x.s1 ^ y.s1) + bit_count(x.s2 ^ y.s2)").alias("bits")
+        ends = ["x.rep as a", "y.rep as b", "x.label as la", "y.label as lb"]
+        pairs = within.select(*map(F.expr, ends), bits).union(to_pivot.select(*map(F.expr, ends), bits))
+        smaller = F.col("a") < F.col("b")
+        ordered = pairs.select(
+            F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "bits",
+            F.when(smaller, F.col("la")).otherwise(F.col("lb")).alias("la"),
+            F.when(smaller, F.col("lb")).otherwise(F.col("la")).alias("lb"),
+        )
+        return stage(ordered.distinct(), "candidates")
 
-    def connect(self, pairs: DataFrame, sets: DataFrame) -> None:
-        """Test pairs on full sets, and join the components of those that are links."""
-        pairs = pairs.select("a", "b").distinct()
+    def apart(self, pairs: DataFrame) -> DataFrame:
+        """Pairs not tested yet whose ends are in different components by now."""
         if self.tested is not None:
             pairs = pairs.join(self.tested, ["a", "b"], "left_anti")
-        pairs = stage(pairs, "pairs")
+        for end in ("a", "b"):
+            pairs = pairs.drop(f"l{end}").join(
+                self.labels.select(F.col("rep").alias(end), F.col("label").alias(f"l{end}")), end
+            )
+        return pairs.filter("la <> lb")
+
+    def connect(self, pairs: DataFrame, sets: DataFrame) -> None:
+        """Test ``(a, b, la, lb)`` on full sets, and join the components of links."""
+        pairs = stage(pairs.select("a", "b", "la", "lb"), "pairs")
         if pairs.isEmpty():
             return
-        self.tested = pairs if self.tested is None else self.tested.union(pairs)
+        done = pairs.select("a", "b")
+        self.tested = done if self.tested is None else self.tested.union(done)
         left = sets.select(F.col("rep").alias("a"), F.col("shingles").alias("_a"))
         right = sets.select(F.col("rep").alias("b"), F.col("shingles").alias("_b"))
         shared = F.size(F.array_intersect("_a", "_b"))
         total = F.size("_a") + F.size("_b")
         links = pairs.join(left, "a").join(right, "b").filter(shared * (100 + self.percent) >= total * self.percent)
-        ends = links.select("a", "b")
-        for end in ("a", "b"):
-            ends = ends.join(self.labels.select(F.col("rep").alias(end), F.col("label").alias(f"l{end}")), end)
-        new = components(ends.select(F.col("la").alias("a"), F.col("lb").alias("b")))
+        new = components(links.select(F.col("la").alias("a"), F.col("lb").alias("b")))
         new = new.select(F.col("label").alias("_new"), F.col("node").alias("label"))
         moved = self.labels.join(new, "label", "left")
         self.labels = stage(moved.select("rep", F.coalesce("_new", "label").alias("label")), "labels")
 
 
 def best_partners(pairs: DataFrame) -> DataFrame:
-    """Of each end, the pair whose sketches differ least."""
+    """Of each class, the pair whose sketches differ least, before anything is joined."""
     ends = pairs.select(F.col("a").alias("own"), F.col("b").alias("other"), "bits").union(
         pairs.select("b", "a", "bits")
     )
     best = ends.groupBy("own").agg(F.min_by("other", "bits").alias("other"))
-    return best.select(F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"))
+    best = best.select(F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b")).distinct()
+    return best.select("a", "b", F.col("a").alias("la"), F.col("b").alias("lb"))
 
 
 def _child_paths(rows: DataFrame) -> DataFrame:
@@ -241,28 +252,34 @@ def near_duplicates(
         "classes",
     )
     search = _Search(classes, percent)
+    sketches = classes.select("rep", "n_shingles", "s1", "s2")
 
     first = F.expr(f"transform(sequence(0, {TREES - 1}), t -> struct(t as tree, xxhash64(t, mins[t * 5]) as path))")
-    tree_rows = classes.select("rep", "copies", F.col("rep").alias("label"), F.inline(first))
-    nodes = _nodes(tree_rows)
-    pairs = search.candidates(nodes)
+    nodes = _nodes(classes.select("rep", "copies", F.col("rep").alias("label"), F.inline(first)))
+    pairs = search.candidates(nodes, sketches.withColumn("label", F.col("rep")))
     # Only these documents can take part in a link; their sets are computed once.
     needed = (
-        pairs.select("a").union(pairs.select("b"))
+        pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))
         .union(nodes.filter(f"size > {LEAF}").select("rep"))
-        .distinct().withColumnRenamed("a", "doc_id")
+        .distinct()
     )
-    sets = stage(full_sets(rows.join(needed, "doc_id", "left_semi"), width), "sets")
-
-    search.connect(best_partners(search.candidates(nodes.filter(f"tree < {FIRST_TREES}"))), sets)
-    for depth in range(1, DEPTH + 1):
-        search.connect(best_partners(search.candidates(nodes)), sets)
-        search.connect(search.candidates(nodes), sets)
-        large = nodes.filter(f"size > {LEAF}").select("path", "tree", "rep")
-        if depth == DEPTH or large.isEmpty():
-            break
-        grown = large.join(classes.select("rep", "copies", "mins"), "rep").join(search.labels, "rep")
+    sets = stage_bucketed(full_sets(rows.join(needed, "doc_id", "left_semi"), width), "sets", "rep")
+
+    search.connect(best_partners(pairs), sets)
+    search.connect(search.apart(pairs), sets)
+    for _ in range(1, DEPTH):
+        # Only nodes that still hold several components branch on.
+        large = stage(nodes.filter(f"size > {LEAF}").select("path", "tree", "rep").join(search.labels, "rep"), "large")
+        alive = large.groupBy("path").agg(F.min("label").alias("_low"), F.max("label").alias("_high"))
+        alive = alive.filter("_low <> _high").select("path")
+        grown = large.join(alive, "path").join(classes.select("rep", "copies", "mins"), "rep")
         nodes = _nodes(_child_paths(grown))
+        if nodes.isEmpty():
+            break
+        pairs = search.candidates(nodes, sketches.join(search.labels, "rep"))
+        if search.tested is not None:
+            pairs = pairs.join(search.tested, ["a", "b"], "left_anti")
+        search.connect(pairs, sets)
 
     by_set = classes.select("hi", "lo", "rep").join(search.labels, "rep").select("hi", "lo", "label")
     out = found.select("doc_id", "n_shingles", "hi", "lo").join(by_set, ["hi", "lo"], "left")
