@@ -263,7 +263,9 @@ def near_duplicates(
         .union(nodes.filter(f"size > {LEAF}").select("rep"))
         .distinct()
     )
-    sets = stage_bucketed(full_sets(rows.join(needed, "doc_id", "left_semi"), width), "sets", "rep")
+    # The plan is the same at every size: texts meet their ids by a sorted merge.
+    wanted = rows.join(needed.hint("merge"), "doc_id", "left_semi")
+    sets = stage_bucketed(full_sets(wanted, width), "sets", "rep")
 
     search.connect(best_partners(pairs), sets)
     search.connect(search.apart(pairs), sets)
