@@ -26,7 +26,7 @@ from lokora.llm.common import Rows, stage
 # Partitions drawn one after the other in one row.
 CHUNK_PARTITIONS = 512
 # Rows of a shard that are permuted and numbered in one group.
-GROUP_ROWS = 50_000
+GROUP_ROWS = 4_000
 
 
 def unit(*parts: Column | str | int) -> Column:
