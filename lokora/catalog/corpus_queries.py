@@ -15,14 +15,16 @@ from lokora.operators.context import add_context, neighbour_context
 from lokora.operators.ordering import global_index
 from lokora.plans.corpus import translated_rows
 from lokora.plans.splits import assign_splits, split_matrix
-from lokora.session import stage_path
+from lokora.session import stage_path, stage_table
 from lokora.sinks import writers as W
+from lokora.sources.lines import read_aligned
 
 # Share of training rows used by the split queries; the rest is evaluation.
 SHARE = 0.6
 # Tables too small for any eligible group give empty held-out sets (strict=False).
 WITH_ENTRIES = f"with {V.ENTRIES_SQL}"
-ROW_ID = "file_ord * 100000 + pos"
+# A position is an index into one text, so it is under 2**31.
+ROW_ID = "file_ord * 2147483648 + pos"
 
 
 def _with_row_id(df: DataFrame) -> DataFrame:
@@ -96,8 +98,8 @@ def repository_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "document_stream",
-    WITH_ENTRIES + """, apps as (select repo, min(file_ord * 100000 + pos) as app_ord from entries group by repo)
-    select app_ord, file_ord * 100000 + pos as seq, src as line from entries join apps using (repo)
+    WITH_ENTRIES + """, apps as (select repo, min(file_ord * 2147483648 + pos) as app_ord from entries group by repo)
+    select app_ord, file_ord * 2147483648 + pos as seq, src as line from entries join apps using (repo)
     union all select app_ord, 9223372036854775807 as seq, '<d>' as line from apps
     union all select -1 as app_ord, 0 as seq, '<d>' as line""",
 )
@@ -108,9 +110,9 @@ def document_stream(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "document_stream_order",
-    WITH_ENTRIES + """, apps as (select repo, min(file_ord * 100000 + pos) as app_ord from entries group by repo),
+    WITH_ENTRIES + """, apps as (select repo, min(file_ord * 2147483648 + pos) as app_ord from entries group by repo),
     stream as (
-      select app_ord, file_ord * 100000 + pos as seq, src as line from entries join apps using (repo)
+      select app_ord, file_ord * 2147483648 + pos as seq, src as line from entries join apps using (repo)
       union all select app_ord, 9223372036854775807 as seq, '<d>' as line from apps
       union all select -1 as app_ord, 0 as seq, '<d>' as line)
     select row_number() over (order by app_ord, seq) - 1 as line_no, line from stream""",
@@ -124,16 +126,13 @@ def document_stream_order(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "ambiguous_terms",
     f"""with {V.ENTRIES_SQL}, words as (
-      select filepath, lower(string_split(src, ' ')[1]) as term, string_split(tgt, ' ')[1] as tgt from norm),
+      select filepath, lower(src) as term, tgt from norm),
     targets as (select term, tgt, count(*) as uses, count(distinct filepath) as files from words group by term, tgt),
     terms as (select term, count(*) as n_targets from targets group by term having count(*) >= 2)
     select * from targets join terms using (term)""",
 )
 def ambiguous_terms(spark: SparkSession, sf: str) -> DataFrame:
-    """Leading words as terms: the tables hold sentences, not menu entries."""
-    rows = translated_rows(V.raw_entries(spark, sf))
-    first = rows.withColumns({c: F.split_part(c, F.lit(" "), F.lit(1)) for c in ("src", "tgt")})
-    return C.ambiguous_terms(first)
+    return C.ambiguous_terms(translated_rows(V.raw_entries(spark, sf)))
 
 
 # --- Contexts ----------------------------------------------------------------
@@ -541,8 +540,6 @@ directed as (
     f"with {MATRIX_SQL} select filepath, pos, cxt_type, direction, eval_set, split, input, output from directed",
 )
 def full_split_matrix(spark: SparkSession, sf: str) -> DataFrame:
-    from lokora.session import stage_table
-
     labelled = stage_table(labelled_entries(spark, sf), "labelled")
     return split_matrix(labelled).select(
         "filepath", "pos", "cxt_type", "direction", "eval_set", "split", "input", "output"
@@ -557,8 +554,6 @@ def full_split_matrix(spark: SparkSession, sf: str) -> DataFrame:
 )
 def split_matrix_written(spark: SparkSession, sf: str) -> DataFrame:
     """The matrix as the sink lays it out, read back by partition."""
-    from lokora.session import stage_table
-
     path = stage_path(spark, "matrix")
     labelled = stage_table(labelled_entries(spark, sf), "labelled")
     W.write_splits(labelled, path, "en", "de")
@@ -567,3 +562,30 @@ def split_matrix_written(spark: SparkSession, sf: str) -> DataFrame:
         F.sum(F.char_length("input").cast("bigint")).alias("input_chars"),
         F.sum(F.char_length("output").cast("bigint")).alias("output_chars"),
     )
+
+
+@query(
+    "exported_sets",
+    f"""with {MATRIX_SQL}, lines as (
+      select cxt_type, direction, eval_set, split, input, output,
+        row_number() over (partition by cxt_type, direction, eval_set, split order by filepath, pos) - 1 as row_id
+      from directed)
+    select *, case when split = 'test' then output end as ref from lines""",
+)
+def exported_sets(spark: SparkSession, sf: str) -> DataFrame:
+    """Exported line files read back by line number, with the references of their rows."""
+    path = stage_path(spark, "exported")
+    labelled = stage_table(labelled_entries(spark, sf), "labelled")
+    W.write_exported_sets(split_matrix(labelled), path)
+    sets = spark.read.parquet(f"{path}/rows").select(*W.SET).distinct().collect()  # a few dozen
+    texts = None
+    for key in sets:
+        folder = "/".join(f"{name}={key[name]}" for name in W.SET)
+        own = read_aligned(spark, {c: f"{path}/{c}/{folder}" for c in ("input", "output")})
+        own = own.select(*[F.lit(key[name]).alias(name) for name in W.SET], "row_id", "input", "output")
+        texts = own if texts is None else texts.unionByName(own)
+    if texts is None:
+        return spark.createDataFrame([], "cxt_type string, direction string, eval_set string, split string, "
+                                     "row_id bigint, input string, output string, ref string")
+    refs = spark.read.parquet(f"{path}/references").withColumn("split", F.lit("test"))
+    return texts.join(refs, ["direction", "eval_set", "split", "row_id"], "left")

@@ -274,13 +274,13 @@ def occurrence_context(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "decode_fallback",
-    """select doc_id, md5(text) as digest from documents
-    where regexp_full_match(text, '[\\x{00}-\\x{FF}]*')""",
+    "select doc_id, md5(text) as digest from documents",
 )
 def decode_fallback(spark: SparkSession, sf: str) -> DataFrame:
-    """Every second text arrives as ISO-8859-1 bytes, the others as UTF-8."""
-    docs = V.table(spark, sf, "documents").filter(F.col("text").rlike(r"\A[\x{00}-\x{FF}]*\z"))
-    content = F.when(F.col("doc_id") % 2 == 0, F.encode("text", "ISO-8859-1")).otherwise(
+    """Every second text that has an ISO-8859-1 form arrives in it, the others as UTF-8."""
+    docs = V.table(spark, sf, "documents")
+    narrow = (F.col("doc_id") % 2 == 0) & F.col("text").rlike(r"\A[\x{00}-\x{FF}]*\z")
+    content = F.when(narrow, F.encode("text", "ISO-8859-1")).otherwise(
         F.encode("text", "UTF-8")
     )
     return docs.select("doc_id", F.md5(T.decode_text(content)).alias("digest"))
@@ -310,7 +310,7 @@ ORDER = ("repo", "filepath", "pos")
 def aligned_files(spark: SparkSession, sf: str) -> DataFrame:
     """Corpus columns written as line files in corpus order and zipped again."""
     path = stage_path(spark, "aligned")
-    rows = V.stored_entries(spark, sf)
+    rows = V.entries(spark, sf)
     W.write_aligned(rows, {"src": "en", "tgt": "de", "filepath": "path"}, path, "full", ORDER)
     return L.read_aligned(
         spark, {"src": f"{path}/full.en", "tgt": f"{path}/full.de", "filepath": f"{path}/full.path"}
@@ -326,7 +326,7 @@ def attached_columns(spark: SparkSession, sf: str) -> DataFrame:
     from lokora.operators.ordering import global_index
 
     path = stage_path(spark, "attached")
-    rows = V.stored_entries(spark, sf)
+    rows = V.entries(spark, sf)
     changed = rows.withColumns({c: F.concat(F.lit("* "), c) for c in ("src", "tgt")})
     W.write_aligned(changed, {"src": "en", "tgt": "de"}, path, "tok", ORDER)
     aligned = L.read_aligned(spark, {"src": f"{path}/tok.en", "tgt": f"{path}/tok.de"})
@@ -340,7 +340,7 @@ def attached_columns(spark: SparkSession, sf: str) -> DataFrame:
 )
 def entries_csv(spark: SparkSession, sf: str) -> DataFrame:
     path = stage_path(spark, "csv")
-    rows = V.stored_entries(spark, sf).withColumn("name", F.col("filepath"))
+    rows = V.entries(spark, sf).withColumn("name", F.col("filepath"))
     W.write_entries_csv(rows, path, L.ENTRY_COLUMNS)
     read = L.read_entries_csv(spark, path)
     return read.select(*[F.coalesce(c, F.lit("")).alias(c) for c in L.ENTRY_COLUMNS])
@@ -348,11 +348,16 @@ def entries_csv(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "disambiguation_scan",
-    f"with {V.ENTRIES_SQL} select src, tgt, filepath as url from entries where not contains(src || tgt, '''')",
+    f"""with {V.ENTRIES_SQL}, lines as (
+      select '''' || src || ''', ''' || tgt || ''', ''' || filepath || '''' as line from entries
+    ), fields as (select line, $$'(.*)', '(.*)', '(.*)'$$ as form from lines)
+    select regexp_extract(line, form, 1) as src, regexp_extract(line, form, 2) as tgt,
+      regexp_extract(line, form, 3) as url from fields""",
 )
 def disambiguation_scan(spark: SparkSession, sf: str) -> DataFrame:
     path = stage_path(spark, "disambiguation")
-    rows = V.stored_entries(spark, sf).filter(~F.concat("src", "tgt").contains("'"))
+    """Texts with apostrophes too: the fields are what the greedy pattern reads."""
+    rows = V.entries(spark, sf)
     line = F.concat(F.lit("'"), F.concat_ws("', '", "src", "tgt", "filepath"), F.lit("'"))
     W.write_lines(rows.select(line.alias("line")), "line", path)
     return L.read_disambiguation(spark, path)
@@ -379,7 +384,7 @@ def hypothesis_scan(spark: SparkSession, sf: str) -> DataFrame:
 )
 def per_repository_output(spark: SparkSession, sf: str) -> DataFrame:
     path = stage_path(spark, "by-repo")
-    W.write_entries(V.stored_entries(spark, sf), path, ["repo"])
+    W.write_entries(V.entries(spark, sf), path, ["repo"])
     return spark.read.parquet(path).groupBy("repo").agg(
         F.count(F.lit(1)).alias("cnt"), F.min("src").alias("low"), F.max("tgt").alias("high")
     )
@@ -393,7 +398,7 @@ def per_repository_output(spark: SparkSession, sf: str) -> DataFrame:
 def grouped_overwrite(spark: SparkSession, sf: str) -> DataFrame:
     """Some repositories are written again; the others stay as they were."""
     path = stage_path(spark, "overwrite")
-    rows = V.stored_entries(spark, sf).select("repo", "filepath", "pos", "src")
+    rows = V.entries(spark, sf).select("repo", "filepath", "pos", "src")
     W.overwrite_files(rows, path, ["repo"])
     again = rows.filter(F.col("repo").like("%5/%")).withColumn("src", F.concat(F.lit("* "), "src"))
     W.overwrite_files(again, path, ["repo"])
@@ -407,7 +412,7 @@ def grouped_overwrite(spark: SparkSession, sf: str) -> DataFrame:
 )
 def count_list(spark: SparkSession, sf: str) -> DataFrame:
     path = stage_path(spark, "counts")
-    W.write_counts(V.stored_entries(spark, sf), path)
+    W.write_counts(V.entries(spark, sf), path)
     return L.numbered_lines(spark, path, "cnt")
 
 

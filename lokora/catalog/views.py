@@ -11,22 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lokora.plans.corpus import build_corpus
-from lokora.session import fill_cores, stage_table
+from lokora.session import stage_table
 
 SPACE = r"[\s\x0B\x1C-\x1F\x{85}\p{Z}]"
 
 
-ROW_KEYS = {
-    "documents": ["doc_id"],
-    "conversations": ["conv_id", "turn"],
-    "pages": ["page_id"],
-    "benchmark": ["item_id"],
-    "labels": ["doc_id"],
-}
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return fill_cores(spark.read.parquet(f"{sf_dir}/{name}.parquet"), *ROW_KEYS[name])
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def sql_rstrip(text: str) -> str:
@@ -89,15 +80,9 @@ def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return build_corpus(raw_entries(spark, sf_dir))
 
 
-_STORED: dict[tuple[str, str], DataFrame] = {}
-
-
 def stored_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The corpus table as later jobs read it: written once per session."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _STORED:
-        _STORED[key] = stage_table(entries(spark, sf_dir), "entries")
-    return _STORED[key]
+    """The corpus table as later jobs read it, for queries with several branches."""
+    return stage_table(entries(spark, sf_dir), "entries")
 
 
 DOC_SQL = f"""
@@ -224,7 +209,7 @@ po_files as (
 # A changed target, on one line, with subword marks.
 _CHANGED = "replace(replace(replace(tgt, chr(10), ' '), 'en ', 'em '), 'ch', 'ch@@ ')"
 LOG_ROWS = f"""
-  select file_ord * 100 + pos as row_id, src, tgt, {_CHANGED} as out_text from {{conv}}
+  select file_ord * 2147483648 + pos as row_id, src, tgt, {_CHANGED} as out_text from {{conv}}
 """
 LOG_SQL = CONV_SQL + f""",
 log_rows as ({LOG_ROWS.format(conv='conv')})"""

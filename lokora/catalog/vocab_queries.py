@@ -57,7 +57,7 @@ def sql_detokenise(text: str, lang: str) -> str:
       {sql_tokenise('tgt', 'de')} as tgt, {sql_tokenise('cxt', 'en')} as cxt from entries""",
 )
 def tokenised_corpus(spark: SparkSession, sf: str) -> DataFrame:
-    return V.stored_entries(spark, sf).select(
+    return V.entries(spark, sf).select(
         "filepath",
         "pos",
         K.tokenise(F.col("src"), "en").alias("src"),
@@ -87,7 +87,7 @@ def tokenised_documents(spark: SparkSession, sf: str) -> DataFrame:
     select filepath, pos, {sql_detokenise('s', 'en')} as src, {sql_detokenise('t', 'fr')} as tgt from t""",
 )
 def detokenised_corpus(spark: SparkSession, sf: str) -> DataFrame:
-    return V.stored_entries(spark, sf).select(
+    return V.entries(spark, sf).select(
         "filepath",
         "pos",
         K.detokenise(K.tokenise(F.col("src"), "en"), "en").alias("src"),
@@ -105,7 +105,7 @@ counts as (
 
 
 def _tokenised(spark: SparkSession, sf: str) -> DataFrame:
-    return V.stored_entries(spark, sf).select(
+    return V.entries(spark, sf).select(
         "filepath",
         "pos",
         K.tokenise(F.col("src"), "en").alias("src"),
@@ -138,15 +138,10 @@ def symbol_pairs(spark: SparkSession, sf: str) -> DataFrame:
 
 # --- Subwords ----------------------------------------------------------------
 
-_LEARNT: dict[tuple[str, str], DataFrame] = {}
-
 
 def _merges(spark: SparkSession, sf: str) -> DataFrame:
-    """The merge table as later jobs read it: learnt once per session."""
-    key = (spark.sparkContext.applicationId, sf)
-    if key not in _LEARNT:
-        _LEARNT[key] = stage_table(learned_subwords(spark, sf), "merges")
-    return _LEARNT[key]
+    """The merge table as later jobs read it."""
+    return stage_table(learned_subwords(spark, sf), "merges")
 
 
 @query("learned_subwords")

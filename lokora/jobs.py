@@ -7,8 +7,9 @@
 from __future__ import annotations
 
 import argparse
+import re
 
-from pyspark.sql import SparkSession
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from lokora.functions import text as T
@@ -22,7 +23,7 @@ from lokora.plans.splits import assign_splits
 from lokora.plans.subwords import joint_merges, with_subwords
 from lokora.session import stage_table, tune
 from lokora.sinks import writers as W
-from lokora.sources.lines import read_hits, read_hypotheses
+from lokora.sources.lines import ENTRY_COLUMNS, read_hits, read_hypotheses
 from lokora.streaming.hits import hits_to_urls, stream_hits, write_url_stream
 
 
@@ -34,13 +35,24 @@ def urls(spark: SparkSession, args: argparse.Namespace) -> None:
         hits_to_urls(read_hits(spark, args.hits), args.lang).write.mode("overwrite").parquet(args.out)
 
 
+def path_below(path: Column, root: str) -> Column:
+    """A path relative to ``root``, whatever scheme either is written with."""
+    plain = F.regexp_replace(path, r"\A[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "")
+    top = re.sub(r"\A[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "", root).rstrip("/") + "/"
+    return F.when(plain.startswith(top), F.substring(plain, len(top) + 1, 1 << 30)).otherwise(plain)
+
+
 def extract(spark: SparkSession, args: argparse.Namespace) -> None:
     """PO files to the corpus table, the counts and the quarantine list."""
     pairs, problems = po_corpus_rows(spark, args.root, args.max_bytes)
     corpus = build_corpus(pairs, args.max_chars, args.length_mode, order=("filepath", "pos"))
-    relative = F.regexp_extract("filepath", args.repo_pattern, 1)
-    W.write_entries(with_repo(corpus, relative), f"{args.out}/entries")
-    W.write_counts(spark.read.parquet(f"{args.out}/entries"), f"{args.out}/counts")
+    relative = path_below(F.col("filepath"), args.root)
+    repo = F.regexp_extract(relative, args.repo_pattern, 1)
+    W.write_entries(with_repo(corpus, repo), f"{args.out}/entries")
+    entries = spark.read.parquet(f"{args.out}/entries")
+    W.write_counts(entries, f"{args.out}/counts")
+    W.write_entries_csv(entries.withColumn("name", F.col("filepath")), f"{args.out}/csv", ENTRY_COLUMNS)
+    W.write_directory_list(entries.select("filepath").distinct(), f"{args.out}/directories")
     problems.write.mode("overwrite").parquet(f"{args.out}/quarantine")
 
 
@@ -68,6 +80,11 @@ def splits(spark: SparkSession, args: argparse.Namespace) -> None:
     W.write_splits(labelled, args.out, args.src_lang, args.tgt_lang, args.neighbour_size)
 
 
+def export(spark: SparkSession, args: argparse.Namespace) -> None:
+    """Line-aligned text of every split, and the numbered raw references."""
+    W.write_exported_sets(spark.read.parquet(args.matrix), args.out)
+
+
 def dictionary(spark: SparkSession, args: argparse.Namespace) -> None:
     """The joint dictionary, and every split encoded with it."""
     matrix = spark.read.parquet(args.matrix)
@@ -82,7 +99,7 @@ def dictionary(spark: SparkSession, args: argparse.Namespace) -> None:
     rows = matrix.filter((F.col("split") == "train") | (F.col("eval_set") == "rnd"))
     for column in ("input", "output"):
         encoded = B.encode_corpus(rows, column, ids, [*part, "filepath", "pos"], eos=True)
-        encoded.write.mode("overwrite").partitionBy(*part).parquet(f"{args.out}/{column}")
+        W.rebalanced(encoded, part).write.mode("overwrite").partitionBy(*part).parquet(f"{args.out}/{column}")
 
 
 def score(spark: SparkSession, args: argparse.Namespace) -> None:
@@ -105,7 +122,7 @@ def score(spark: SparkSession, args: argparse.Namespace) -> None:
             F.lit(seed).alias("seed"),
         )
         hypotheses = log if hypotheses is None else hypotheses.unionByName(log)
-    pairs = stage_table(align_hypotheses(hypotheses, references), "pairs")
+    pairs = stage_table(align_hypotheses(hypotheses, references, system=["cxt_type", "seed"]), "pairs")
     score_report(pairs).write.mode("overwrite").parquet(args.out)
 
 
@@ -124,7 +141,7 @@ def parser() -> argparse.ArgumentParser:
     step(urls, ("--hits", need), ("--out", need), ("--lang", {"default": None}),
          ("--checkpoint", {"default": None}))
     step(extract, ("--root", need), ("--out", need),
-         ("--repo_pattern", {"default": r"([^/]+/[^/]+)/[^/]+\.po\z"}),
+         ("--repo_pattern", {"default": r"\A([^/]+/[^/]+)/"}),
          ("--max_bytes", {"type": int, "default": 64 * 1024 * 1024}),
          ("--max_chars", {"type": int, "default": T.MAX_CHARS}),
          ("--length_mode", {"choices": ["or", "and"], "default": "or"}))
@@ -135,6 +152,7 @@ def parser() -> argparse.ArgumentParser:
          ("--neighbour_size", {"type": int, "default": 1}),
          ("--min_rows", {"type": int, "default": S.MIN_GROUP_ROWS}),
          ("--max_rows", {"type": int, "default": S.MAX_GROUP_ROWS}), *langs)
+    step(export, ("--matrix", need), ("--out", need))
     step(dictionary, ("--matrix", need), ("--out", need), ("--general", {"default": None}), *langs)
     step(score, ("--log", {"action": "append", "required": True}), ("--references", need),
          ("--out", need), ("--eval_set", {"default": "rnd"}))

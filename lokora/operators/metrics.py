@@ -24,9 +24,44 @@ def align_hypotheses(
     hypotheses: DataFrame,
     references: DataFrame,
     on: Sequence[str] = ("direction", "eval_set", "row_id"),
+    system: Sequence[str] = (),
+    strict: bool = True,
 ) -> DataFrame:
-    """Hypotheses with the raw reference of their row, for every context type."""
-    return hypotheses.join(references, list(on), "inner")
+    """Hypotheses with the raw reference of their row, for every context type.
+
+    ``strict``: a hypothesis without reference fails the query, and so does a
+    reference that one of the systems (the values of the ``system`` columns that
+    occur for its other key columns) has no hypothesis for.
+    """
+    on, system = list(on), list(system)
+    if not strict:
+        return hypotheses.join(references, on, "inner")
+    # A system is a few configurations, not data.
+    part = on[:-1]
+    runs = hypotheses.select(*part, *system).distinct()
+    wanted = references.join(runs, part).withColumn("_ref", F.lit(True))
+    found = hypotheses.withColumn("_hyp", F.lit(True))
+    both = found.join(wanted, [*on, *system], "full")
+    complete = F.col("_hyp").isNotNull() & F.col("_ref").isNotNull()
+    message = F.concat(F.lit("hypotheses and references differ at row "), F.col(on[-1]).cast("string"))
+    checked = both.withColumn("hyp", F.when(complete, F.col("hyp")).otherwise(F.raise_error(message)))
+    return checked.select(*hypotheses.columns, *[c for c in references.columns if c not in hypotheses.columns])
+
+
+def unmatched_rows(
+    hypotheses: DataFrame,
+    references: DataFrame,
+    on: Sequence[str] = ("direction", "eval_set", "row_id"),
+) -> DataFrame:
+    """Per key but the row: hypotheses without reference, and references without hypothesis."""
+    on = list(on)
+    hyp = hypotheses.select(*on).distinct().withColumn("_h", F.lit(1))
+    ref = references.select(*on).distinct().withColumn("_r", F.lit(1))
+    both = hyp.join(ref, on, "full")
+    return both.groupBy(*on[:-1]).agg(
+        F.count_if(F.col("_r").isNull()).alias("no_reference"),
+        F.count_if(F.col("_h").isNull()).alias("no_hypothesis"),
+    )
 
 
 def ngram_matches(

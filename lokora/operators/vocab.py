@@ -29,8 +29,6 @@ MIN_PAIR_COUNT = 2
 MERGE_BATCH = 64
 # ---------------------------------------------------------------------------
 
-# More merges than this are refused rather than shipped to every task.
-MAX_MERGES = 200_000
 # A dictionary up to this many tokens is broadcast; a larger one is joined.
 MAX_BROADCAST_TOKENS = 500_000
 # Merge rounds between two writes of the word-type table.
@@ -206,7 +204,7 @@ def _segment(word: str, ranks: dict[tuple[str, str], int]) -> str:
     """One word in subword pieces: the earliest-learnt pair is joined first."""
     symbols = [*word[:-1], word[-1] + WORD_END]
     while len(symbols) > 1:
-        best = min(zip(symbols, symbols[1:]), key=lambda p: ranks.get(p, MAX_MERGES))
+        best = min(zip(symbols, symbols[1:]), key=lambda p: ranks.get(p, len(ranks)))
         if best not in ranks:
             break
         symbols = _join_pairs(symbols, {best})
@@ -218,16 +216,15 @@ def apply_subwords(df: DataFrame, columns: Sequence[str], merges: DataFrame) ->
     """Replace each listed text column by its subword form.
 
     Map-only: a task keeps the words it has met, so a frequent word is segmented
-    once per task and never shuffled.  The merge table is a model of fixed size.
+    once per task and never shuffled.  The merge table is a model, as large as
+    it was learnt, and sent to each executor once.
     """
-    rows = merges.limit(MAX_MERGES + 1).collect()
-    if len(rows) > MAX_MERGES:
-        raise ValueError(f"more than {MAX_MERGES} merges")
-    ranks = {(r.left, r.right): r.rank for r in rows}
+    ranks = {(r.left, r.right): r.rank for r in merges.collect()}
+    shared = df.sparkSession.sparkContext.broadcast(ranks)
 
     @F.pandas_udf("string")
     def segment(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        cached = lru_cache(CACHE_WORDS)(lambda word: _segment(word, ranks))
+        cached = lru_cache(CACHE_WORDS)(lambda word: _segment(word, shared.value))
         for text in batches:
             yield text.map(lambda t: " ".join(cached(w) for w in t.split(" ") if w))
 

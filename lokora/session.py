@@ -105,13 +105,3 @@ def spread(df: DataFrame, *key: str) -> DataFrame:
     The number is given, so AQE does not merge the partitions by their small size.
     """
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *key)
-
-
-def fill_cores(df: DataFrame, *key: str) -> DataFrame:
-    """Spread a scan that has fewer splits than there are cores; else leave it.
-
-    One small file is one task, however heavy the work on its rows.  A large
-    input has more splits than cores and gets no extra shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, *key) if df.rdd.getNumPartitions() < cores else df

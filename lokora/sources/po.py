@@ -31,9 +31,20 @@ _KEYWORD = r"(?:msgctxt|msgid_plural|msgid|msgstr(?:\[\d+\])?)[ \t]*"
 _COMMENT = rf'#(?!~[ \t]*(?:{_KEYWORD})?")[^\n]*+'
 _GOOD_LINE = rf'(?:{_COMMENT}|{_OBSOLETE}(?:{_KEYWORD})?{_STRING}"[ \t]*)'
 _READABLE = rf"(?d)\A(?:{_GOOD_LINE}(?:\n|\z))*+\z"
-_HAS_ENTRY = r"(?dm)^(?:#~[ \t]*)?msgid"
+_HAS_KEYWORD = rf"(?dm)^{_OBSOLETE}msg(?:id|str)"
+_HAS_ENTRY = rf'(?dm)^{_OBSOLETE}msgstr(?:\[\d+\])?[ \t]*"'
 _OPEN_STRING = rf"(?dm)^{_OBSOLETE}(?:{_KEYWORD})?{_STRING}$"
 _OLD_BLOCK = "#:([^#]*)"
+_NEWLINE = r"\r\n?|\n"
+# White space and byte order marks (also one read as ISO-8859-1) lead no line.
+_LEADING = r"(?:\s|\x{FEFF}|\x{EF}\x{BB}\x{BF})+"
+_TRAILING = r"[ \t\f\x0B]+"
+_ESCAPES = (
+    ("\\n", "\n"), ("\\t", "\t"), ("\\r", "\r"), ('\\"', '"'),
+    ("\\a", "\a"), ("\\b", "\b"), ("\\f", "\f"), ("\\v", "\v"),
+)
+_NUMERIC = r"\\(?:[0-7]|x[0-9A-Fa-f])"
+_NUMERIC_PIECE = r"(\\x[0-9A-Fa-f]{1,2}|\\[0-7]{1,3}|\\|[^\\]+)"
 # ---------------------------------------------------------------------------
 
 # Above this size a file is read by lines, not as one row.
@@ -42,6 +53,11 @@ MAX_ROW_BYTES = 64 * 1024 * 1024
 BLOCK_LINES = 65_536
 
 
+def _path() -> Column:
+    """The file's path as it is spelled on disk."""
+    return F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+
+
 def _po_options(reader, glob: str):
     return reader.option("recursiveFileLookup", "true").option("pathGlobFilter", glob)
 
@@ -57,7 +73,7 @@ def read_po_files(
         _po_options(spark.read.format("binaryFile"), glob)
         .load(root)
         .filter(F.col("length") <= max_bytes)
-        .select(F.col("path").alias("filepath"), T.decode_text(F.col("content")).alias("content"))
+        .select(_path().alias("filepath"), T.decode_text(F.col("content")).alias("content"))
     )
 
 
@@ -70,11 +86,11 @@ def read_large_po_lines(
     and ``ln`` grows with the lines of a split.
     """
     return (
-        _po_options(spark.read.option("lineSep", "\n"), glob)
+        _po_options(spark.read, glob)
         .text(root)
         .filter(F.col("_metadata.file_size") > min_bytes)
         .select(
-            F.col("_metadata.file_path").alias("filepath"),
+            _path().alias("filepath"),
             F.col("_metadata.file_block_start").alias("blk"),
             F.monotonically_increasing_id().alias("ln"),
             "value",
@@ -85,7 +101,7 @@ def read_large_po_lines(
 def po_lines(files: DataFrame, block_lines: int = BLOCK_LINES) -> DataFrame:
     """The line form of ``(filepath, content)`` rows."""
     return files.select(
-        "filepath", F.posexplode_outer(F.split("content", "\n", -1)).alias("ln", "value")
+        "filepath", F.posexplode_outer(F.split("content", _NEWLINE, -1)).alias("ln", "value")
     ).filter(F.col("value").isNotNull()).select("filepath", F.expr(f"bigint(ln div {block_lines})").alias("blk"), "ln", "value")
 
 
@@ -94,9 +110,26 @@ def _unquote(block: Column) -> Column:
     joined = F.regexp_replace(block, r'"[ \t]*\n(?:#~[ \t]*)?"', "")
 
     def resolve(piece: Column) -> Column:
-        for escape, char in (("\\n", "\n"), ("\\t", "\t"), ("\\r", "\r"), ('\\"', '"')):
+        for escape, char in _ESCAPES:
             piece = F.replace(piece, F.lit(escape), F.lit(char))
-        return piece
+        return F.when(piece.rlike(_NUMERIC), numbered(piece)).otherwise(piece)
+
+    def numbered(piece: Column) -> Column:
+        """Octal and hexadecimal escapes."""
+        parts = F.regexp_extract_all(piece, F.lit(_NUMERIC_PIECE), F.lit(1))
+
+        def code(part: Column, start: int, base: int) -> Column:
+            return F.char(F.conv(F.substring(part, start, 3), base, 10).cast("int"))
+
+        return F.array_join(
+            F.transform(
+                parts,
+                lambda p: F.when(p.startswith("\\x"), code(p, 3, 16))
+                .when(p.rlike(r"\A\\[0-7]"), code(p, 2, 8))
+                .otherwise(p),
+            ),
+            "",
+        )
 
     def unescape(inner: Column) -> Column:
         # Double backslashes separate the pieces, so no placeholder is needed.
@@ -129,8 +162,9 @@ def _occurrences(entry: Column) -> Column:
 
 
 def _tidy(content: Column) -> Column:
-    """One newline style, no leading blanks, no blank lines."""
-    return F.regexp_replace(F.regexp_replace(content, r"\r\n?", "\n"), r"(?dm)^\s+", "")
+    """One newline style, no white space around lines, no marks, no blank lines."""
+    lines = F.regexp_replace(content, r"\r\n?", "\n")
+    return F.regexp_replace(F.regexp_replace(lines, rf"(?dm)^{_LEADING}", ""), rf"(?dm){_TRAILING}$", "")
 
 
 def _entry_fields(rows: DataFrame) -> DataFrame:
@@ -150,7 +184,7 @@ def _entry_fields(rows: DataFrame) -> DataFrame:
         "flags": F.filter(
             F.transform(F.split(flags, ","), lambda f: F.trim(f)), lambda f: f != ""
         ),
-        "obsolete": entry.rlike(r"(?dm)^#~[ \t]*msg"),
+        "obsolete": entry.rlike(rf'(?dm)^#~[ \t]*{_KEYWORD}"'),
         "occurrences": _occurrences(entry),
     }
     return with_columns_once(rows, fields).select("filepath", "entry_no", *fields)
@@ -179,8 +213,8 @@ def po_problems(files: DataFrame) -> DataFrame:
     """The quarantine: files that give no entries, with the reason."""
     tidy = F.col("_tidy")
     reason = (
-        F.when(~tidy.rlike(_HAS_ENTRY), F.lit("no entries"))
-        .when(tidy.rlike(_READABLE), F.lit(None))
+        F.when(~tidy.rlike(_HAS_KEYWORD), F.lit("no entries"))
+        .when(tidy.rlike(_READABLE), F.when(~tidy.rlike(_HAS_ENTRY), F.lit("no entries")))
         .when(tidy.rlike(_OPEN_STRING), F.lit("unterminated string"))
         .otherwise(F.lit("unexpected line"))
     )
@@ -189,20 +223,25 @@ def po_problems(files: DataFrame) -> DataFrame:
     ).select("filepath", "reason")
 
 
+def _trimmed(line: Column) -> Column:
+    return F.regexp_replace(line, rf"\A{_LEADING}|\s+\z", "")
+
+
 def po_line_problems(lines: DataFrame) -> DataFrame:
     """The quarantine of files in line form; one flag row per task and file moves."""
     checked = with_columns_once(
-        lines, {"_line": F.regexp_replace("value", r"\A\s+|\s+\z", "")}
+        lines, {"_line": _trimmed(F.col("value"))}
     )
     line = F.col("_line")
     flags = checked.groupBy("filepath").agg(
-        F.bool_or(line.rlike(_HAS_ENTRY)).alias("_any"),
+        F.bool_or(line.rlike(_HAS_KEYWORD)).alias("_any"),
+        F.bool_or(line.rlike(_HAS_ENTRY)).alias("_entry"),
         F.bool_or(line.rlike(_OPEN_STRING)).alias("_open"),
         F.bool_or(~line.rlike(_READABLE)).alias("_bad"),
     )
     reason = (
         F.when(~F.col("_any"), F.lit("no entries"))
-        .when(~F.col("_bad"), F.lit(None))
+        .when(~F.col("_bad"), F.when(~F.col("_entry"), F.lit("no entries")))
         .when(F.col("_open"), F.lit("unterminated string"))
         .otherwise(F.lit("unexpected line"))
     )
@@ -212,7 +251,7 @@ def po_line_problems(lines: DataFrame) -> DataFrame:
 def po_lines_to_entries(lines: DataFrame) -> DataFrame:
     """All entries of a file given as ``(filepath, blk, ln, value)`` lines.
 
-    An entry opens at a comment, ``msgctxt`` or ``msgid`` line that follows a
+    An entry opens at a comment or keyword line other than ``msgstr`` that follows a
     ``msgstr``.  Lines are windowed per block; what a block must know from
     earlier ones (the last keyword, how many entries were opened, whether the
     whole file is valid UTF-8) comes from the block table, one row per block.
@@ -221,23 +260,29 @@ def po_lines_to_entries(lines: DataFrame) -> DataFrame:
     keys = ["filepath", "blk"]
     value = F.col("value")
     trimmed = with_columns_once(
-        lines, {"_line": F.regexp_replace(value, r"\A\s+|\s+\z", "")}
+        lines, {"_line": _trimmed(value)}
     ).filter(F.col("_line") != "")
     # Keywords, quotes and comment marks are ASCII: the class of a line does not
     # depend on the encoding.
     line = F.col("_line")
     keyword = F.regexp_extract(line, rf'\A{_OBSOLETE}({_KEYWORD})"', 1)
     kind = F.when(
-        line.startswith("#") & ~line.rlike(r'\A#~[ \t]*(?:"|msg)'), F.lit("#")
+        line.startswith("#") & ~line.rlike(rf'\A#~[ \t]*(?:{_KEYWORD})?"'), F.lit("#")
     ).otherwise(F.nullif(F.rtrim(keyword), F.lit("")))
     rows = with_columns_once(
         trimmed,
-        {"_kind": kind, "_bad": ~line.rlike(_READABLE), "_utf8": F.is_valid_utf8(value)},
+        {
+            "_kind": kind,
+            "_bad": ~line.rlike(_READABLE),
+            "_utf8": F.is_valid_utf8(value),
+            # Other comments are no field's input; a long run of them is never gathered.
+            "_used": ~line.startswith("#") | line.rlike(rf'\A#[:,]|\A#~[ \t]*(?:{_KEYWORD})?"'),
+        },
     ).drop("_line")
 
     def opens(kind: Column, previous: Column) -> Column:
         return F.coalesce(
-            kind.isin("#", "msgctxt", "msgid") & previous.startswith("msgstr"), F.lit(False)
+            ~kind.startswith("msgstr") & previous.startswith("msgstr"), F.lit(False)
         )
 
     in_block = Window.partitionBy(*keys).orderBy("ln")
@@ -279,6 +324,7 @@ def po_lines_to_entries(lines: DataFrame) -> DataFrame:
         kinded.join(blocks, keys)
         .filter(~F.col("_bad_file"))
         .withColumn("entry_no", F.col("_before") + F.sum(opened).over(upto))
+        .filter("_used")
         .groupBy("filepath", "entry_no")
         .agg(F.array_sort(F.collect_list(F.struct("blk", "ln", text.alias("text")))).alias("_l"))
     )

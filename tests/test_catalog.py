@@ -7,10 +7,11 @@ import duckdb
 import pytest
 
 import __spark_entry__ as driver
+from lokora import catalog
 
 DATA = Path("/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not DATA.exists(), reason="no test tables here")
-QUERIES, SQL = driver.queries(), driver.oracle_sql()
+QUERIES, SQL = catalog.QUERIES, catalog.SQL
 
 
 @pytest.fixture(scope="module")
@@ -27,6 +28,11 @@ def plain(value):
     return repr(value)
 
 
+def test_driver_has_all_queries():
+    assert set(QUERIES) <= set(driver.queries()) and set(SQL) <= set(driver.oracle_sql())
+    assert set(driver.oracle_sql()) <= set(driver.queries())
+
+
 def test_sql_names():
     assert set(SQL) <= set(QUERIES)
     assert set(QUERIES) - set(SQL) == {"learned_subwords", "subword_corpus", "subword_vocabulary"}

@@ -2,10 +2,12 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from lokora import jobs
 from lokora.functions import text as T
+from lokora.sources.lines import numbered_lines
 
 
 def test_end_to_end(spark, tmp_path):
@@ -13,13 +15,13 @@ def test_end_to_end(spark, tmp_path):
     word = lambda: "".join(rng.choice("abcde") for _ in range(rng.randint(2, 6)))
     root = tmp_path / "po"
     for repo in range(8):
-        folder = root / "owner" / f"app{repo}"
+        folder = root / "owner" / f"app{repo}" / "c1" / ("po" if repo % 2 else "de/LC_MESSAGES")
         folder.mkdir(parents=True)
         body = 'msgid ""\nmsgstr "x: y\\n"\n'
         for i in range(40):
             body += f'\n#: src/f{i % 4}.c:{i}\nmsgid "{word()} {word()} {repo}-{i}"\nmsgstr "{word()}, {word()}."\n'
         (folder / "de.po").write_text(body)
-    (root / "owner" / "app0" / "bad.po").write_text('msgid "open\n')
+    (root / "owner" / "app0" / "c1" / "bad.po").write_text('msgid "open\n')
     out = tmp_path / "out"
 
     # A byte limit below the file size sends every file through the line form.
@@ -29,6 +31,9 @@ def test_end_to_end(spark, tmp_path):
     b = spark.read.parquet(str(out / "b" / "entries"))
     assert a.count() == 320 and a.exceptAll(b.select(a.columns)).count() == 0
     assert a.select("repo").distinct().count() == 8 and a.first().repo.startswith("owner/app")
+    assert {r.repo for r in a.select("repo").distinct().collect()} == {f"owner/app{k}" for k in range(8)}
+    assert spark.read.option("header", True).csv(str(out / "a" / "csv")).count() == 320
+    assert spark.read.text(str(out / "a" / "directories")).count() == 8
     for name in "ab":
         listed = spark.read.parquet(str(out / name / "quarantine")).collect()
         assert [r.reason for r in listed] == ["unterminated string"]
@@ -49,16 +54,18 @@ def test_end_to_end(spark, tmp_path):
     assert encoded.count() == matrix.filter("split = 'train' or eval_set = 'rnd'").count()
     assert encoded.filter(F.get("ids", F.size("ids") - 1) != 2).count() == 0
 
-    test = matrix.filter("cxt_type='none' and eval_set='rnd' and split='test'").withColumn(
-        "row_id", F.xxhash64("filepath", "pos").bitwiseAND(0xFFFFFFFF))
-    refs = test.select("direction", "eval_set", "row_id", F.col("output_raw").alias("ref"))
-    refs.write.parquet(str(out / "refs"))
-    log = test.filter("direction = 'en-de'").select(
-        F.concat(F.lit("H-"), "row_id", F.lit("\t-0.1\t"), T.remove_subwords(F.col("output"))).alias("value"))
+    jobs.main(["export", "--matrix", str(out / "matrix"), "--out", str(out / "sets")])
+    folder = "cxt_type=none/direction=en-de/eval_set=rnd/split=test"
+    lines = numbered_lines(spark, str(out / "sets" / "output" / folder), "output")
+    log = lines.select(F.concat(F.lit("H-"), "row_id", F.lit("\t-0.1\t"), T.remove_subwords(F.col("output"))).alias("value"))
     log.write.text(str(out / "log"))
-    jobs.main(["score", "--log", f"none:en-de:2={out / 'log'}", "--references", str(out / "refs"), "--out", str(out / "scores")])
+    log.filter("value not like 'H-0\t%'").write.text(str(out / "short_log"))
+    jobs.main(["score", "--log", f"none:en-de:2={out / 'log'}", "--references", str(out / "sets" / "references"), "--out", str(out / "scores")])
     row = spark.read.parquet(str(out / "scores")).first()
     assert (row.cxt_type, row.seed, row.edits, row.bleu) == ("none", "2", 0, 100.0)
+    with pytest.raises(Exception, match="differ at row 0"):
+        jobs.main(["score", "--log", f"none:en-de:2={out / 'short_log'}", "--references", str(out / "sets" / "references"),
+                   "--out", str(out / "none")])
 
 
 def test_url_job(spark, tmp_path):

@@ -107,5 +107,11 @@ def test_align(spark):
     h = spark.createDataFrame([("d", "rnd", 1, "none", "x"), ("d", "rnd", 1, "domain", "y"), ("d", "rnd", 2, "none", "z")],
                               "direction string, eval_set string, row_id int, cxt_type string, hyp string")
     r = spark.createDataFrame([("d", "rnd", 1, "ref")], "direction string, eval_set string, row_id int, ref string")
-    assert sorted((x.cxt_type, x.hyp, x.ref) for x in M.align_hypotheses(h, r).collect()) == [
-        ("domain", "y", "ref"), ("none", "x", "ref")]
+    want = [("domain", "y", "ref"), ("none", "x", "ref")]
+    assert sorted((x.cxt_type, x.hyp, x.ref) for x in M.align_hypotheses(h, r, strict=False).collect()) == want
+    whole = M.align_hypotheses(h.filter("row_id = 1"), r, system=["cxt_type"])
+    assert sorted((x.cxt_type, x.hyp, x.ref) for x in whole.collect()) == want
+    for hyp in (h, h.filter("cxt_type = 'none' and row_id = 2")):
+        with pytest.raises(Exception, match="differ at row"):
+            M.align_hypotheses(hyp, r, system=["cxt_type"]).collect()
+    assert [tuple(x) for x in M.unmatched_rows(h, r).collect()] == [("d", "rnd", 1, 0)]

@@ -1,3 +1,6 @@
+import random
+
+from lokora.plans.corpus import po_corpus_rows
 from lokora.sources import po
 
 PO = '''msgid ""
@@ -151,3 +154,41 @@ def test_old_blocks_carry(spark):
     text = '#: a.c:1\n#: b.c:2\nmsgid "x"\nmsgstr "y"\n\n#: c.c:3\nmsgid "p"\nmsgstr "q"\n'
     rows = po.parse_po_blocks(files(spark, text)).orderBy("block_no").collect()
     assert [(r.cxt, r.src, r.tgt) for r in rows] == [("a.c:1 b.c:2", " x", " y"), ("c.c:3", " p", " q")]
+
+
+# --- Both forms agree ------------------------------------------------------------
+
+ODD_PIECES = [
+    'msgid "a"\n', 'msgid "b"\r\n', 'msgstr "x"\r', 'msgstr "y"\n', 'msgstr[0] "p"\n', '#: f.c:1\n', '#, fuzzy\n', "\n", "\r\n",
+    '#~ msgid "old"\n', '#~ msgstr "gone"\n', "#~ msgfoo bar\n", 'msgid_plural "s"\n', 'msgctxt "c"\n', '"more"\n', '#~ "more"\n',
+    'msgstr "form feed"\f\n', '  msgid "in"\t\x0b\n', "# comment\n", 'msgid "tab\\t\\101\\x42\\a"\n', 'msgstr "open\n', "stray\n",
+    "﻿", 'msgid "ü"\n',
+]
+
+
+def test_forms_agree_on_odd_files(spark, tmp_path):
+    rng = random.Random(11)
+    root = tmp_path / "my dir" / "100%+done"
+    root.mkdir(parents=True)
+    good = [p for p in ODD_PIECES if "open" not in p and "stray" not in p]
+    for k in range(160):
+        text = "".join(rng.choice(good if k % 4 else ODD_PIECES) for _ in range(rng.randrange(1, 14)))
+        data = text.encode("iso-8859-1", "ignore") if k % 9 == 8 else text.encode()
+        if k % 5 == 0:
+            data = b"\xef\xbb\xbf" + data
+        (root / f"f {k}%41+.po").write_bytes(data + b"\n")
+    results = []
+    for limit in (10**9, 0):
+        pairs, problems = po_corpus_rows(spark, str(tmp_path), limit)
+        entries = (
+            po.parse_po_entries(po.read_po_files(spark, str(tmp_path), limit))
+            if limit
+            else po.po_lines_to_entries(po.read_large_po_lines(spark, str(tmp_path), limit))
+        )
+        results.append(
+            [sorted(map(repr, x.drop("blk").collect())) for x in (entries, pairs, problems)]
+        )
+    assert results[0] == results[1] and all(results[0])
+    named = {r.filepath for r in problems.collect()} | {r.filepath for r in entries.collect()}
+    # Every file is in the entries or in the quarantine, under its real name.
+    assert {n.partition("/my dir/")[2] for n in named} == {f"100%+done/{f.name}" for f in root.iterdir()}
