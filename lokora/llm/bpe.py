@@ -28,8 +28,8 @@ from lokora.llm.common import pick
 
 # Matches, and words between blanks, that a worker remembers; over it the memory
 # is emptied and fills up again.
-REMEMBERED_MATCHES = 500_000
-REMEMBERED_WORDS = 300_000
+REMEMBERED_MATCHES = 400_000
+REMEMBERED_WORDS = 200_000
 # Longer ones are encoded each time, so that what is remembered stays small.
 REMEMBERED_CHARS = 64
 PAIR_BITS = 32

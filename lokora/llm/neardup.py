@@ -41,7 +41,7 @@ MINWISE = 64  # tokens kept to choose paths by
 TREES, BRANCHES, DEPTH = 12, 2, 4
 LEAF = 24
 DEVIATIONS = 4.7
-REMEMBERED_WORDS = 500_000
+REMEMBERED_WORDS = 150_000
 
 _rng = np.random.default_rng(20240607)
 MULTIPLY = _rng.integers(1, 2**63, SKETCH_BITS, np.uint64) * np.uint64(2) + np.uint64(1)

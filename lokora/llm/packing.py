@@ -28,8 +28,9 @@ from pyspark.sql import functions as F
 
 from lokora.llm.common import pick, stage
 
-# Words a worker remembers with their ids; over it the memory fills up again.
-REMEMBERED_WORDS = 500_000
+# Words, and parts of words, a worker remembers with their ids.  Over it only those
+# of the batch at hand stay.  Workers outlive a stage: all memories of a process count.
+REMEMBERED_WORDS, REMEMBERED_PARTS = 200_000, 300_000
 REMEMBERED_CHARS = 64
 # Second lengths tried for each longest length of a three-document pattern.
 TRIPLE_CHOICES = 8
@@ -68,12 +69,13 @@ class WordTokens:
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        for memory in (self.words, self.parts):
-            if len(memory) > REMEMBERED_WORDS:
-                memory.clear()
-        self.words[""] = b""
         split = [text.replace("\n", " ").split(" ") for text in texts]
-        new = set().union(*split).difference(self.words)
+        seen = set().union(*split)
+        if len(self.words) > REMEMBERED_WORDS:
+            self.words = {"": b""} | {w: self.words[w] for w in seen if w in self.words}
+        if len(self.parts) > REMEMBERED_PARTS:
+            self.parts = {}
+        new = seen.difference(self.words)
         latin = {w: self.split(w.lower()) for w in new if max(w) < self.LATIN}
         unknown = list(set().union(*latin.values()).difference(self.parts))
         fresh = dict(zip(unknown, self._encoded(unknown), strict=True))
