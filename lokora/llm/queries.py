@@ -50,7 +50,27 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
-@query("op7_chosen_path_join")
+@query(
+    "op7_chosen_path_join",
+    r"""with recursive words as (
+      select doc_id, list_filter(string_split_regex(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[\x20\x09-\x0D]+'), lambda w: w <> '') as w from documents
+    ), sets as (
+      select doc_id, case when len(w) = 0 then [] when len(w) < 3 then [array_to_string(w, ' ')]
+        else list_distinct(list_transform(range(1, len(w) - 1),
+          lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) end as s from words
+    ), shingles as (select doc_id, len(s) as n, unnest(s) as g from sets
+    ), shared as (
+      select x.doc_id as a, y.doc_id as b, any_value(x.n) as na, any_value(y.n) as nb, count(*) as c
+      from shingles x join shingles y on x.g = y.g and x.doc_id <> y.doc_id group by x.doc_id, y.doc_id
+    ), links as (select a, b from shared where 100 * c >= 85 * (na + nb - c)
+    ), reach(a, b) as (
+      select doc_id, doc_id from documents union select reach.a, links.b from reach join links on reach.b = links.a
+    ), roots as (select a as doc_id, min(b) as component_id from reach group by a)
+    select doc_id, cast(len(s) as bigint) as n_shingles, component_id, doc_id = component_id as kept
+    from sets join roots using (doc_id)""",
+)
 def op7_chosen_path_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose sets of three-word shingles are 0.85 alike."""
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), 3, 85)
