@@ -17,7 +17,7 @@ from lokora.plans.corpus import translated_rows
 from lokora.plans.splits import assign_splits, split_matrix
 from lokora.session import stage_path, stage_table
 from lokora.sinks import writers as W
-from lokora.sources.lines import read_aligned
+from lokora.sources.lines import numbered_lines
 
 # Share of training rows used by the split queries; the rest is evaluation.
 SHARE = 0.6
@@ -577,15 +577,7 @@ def exported_sets(spark: SparkSession, sf: str) -> DataFrame:
     path = stage_path(spark, "exported")
     labelled = stage_table(labelled_entries(spark, sf), "labelled")
     W.write_exported_sets(split_matrix(labelled), path)
-    sets = spark.read.parquet(f"{path}/rows").select(*W.SET).distinct().collect()  # a few dozen
-    texts = None
-    for key in sets:
-        folder = "/".join(f"{name}={key[name]}" for name in W.SET)
-        own = read_aligned(spark, {c: f"{path}/{c}/{folder}" for c in ("input", "output")})
-        own = own.select(*[F.lit(key[name]).alias(name) for name in W.SET], "row_id", "input", "output")
-        texts = own if texts is None else texts.unionByName(own)
-    if texts is None:
-        return spark.createDataFrame([], "cxt_type string, direction string, eval_set string, split string, "
-                                     "row_id bigint, input string, output string, ref string")
+    inputs, outputs = (numbered_lines(spark, f"{path}/{c}", c, W.SET) for c in ("input", "output"))
+    texts = inputs.join(outputs, [*W.SET, "row_id"], "full")
     refs = spark.read.parquet(f"{path}/references").withColumn("split", F.lit("test"))
     return texts.join(refs, ["direction", "eval_set", "split", "row_id"], "left")

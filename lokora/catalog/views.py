@@ -11,13 +11,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lokora.plans.corpus import build_corpus
-from lokora.session import stage_table
+from lokora.session import read_table, stage_table
 
 SPACE = r"[\s\x0B\x1C-\x1F\x{85}\p{Z}]"
 
 
+ROW_KEYS = {
+    "documents": ["doc_id"],
+    "conversations": ["conv_id", "turn"],
+    "pages": ["page_id"],
+    "benchmark": ["item_id"],
+    "labels": ["doc_id"],
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return read_table(spark, f"{sf_dir}/{name}.parquet", *ROW_KEYS[name])
 
 
 def sql_rstrip(text: str) -> str:

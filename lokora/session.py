@@ -25,6 +25,8 @@ RUNTIME_CONF = {
 }
 
 SHUFFLE_PARTITIONS = "spark.sql.shuffle.partitions"
+# Set by whoever runs a small file on many cores; never decided from the data.
+SCAN_PARTITIONS = "spark.lokora.scanPartitions"
 
 
 def tune(spark: SparkSession) -> SparkSession:
@@ -105,3 +107,14 @@ def spread(df: DataFrame, *key: str) -> DataFrame:
     The number is given, so AQE does not merge the partitions by their small size.
     """
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *key)
+
+
+def read_table(spark: SparkSession, path: str, *key: str) -> DataFrame:
+    """A Parquet table as it is scanned.
+
+    Where the session sets ``SCAN_PARTITIONS``, rows are dealt anew by ``key`` to so
+    many tasks: a single small file is one task otherwise.
+    """
+    rows = spark.read.parquet(path)
+    wanted = spark.conf.get(SCAN_PARTITIONS, None)
+    return rows.repartition(int(wanted), *key) if wanted else rows
