@@ -98,13 +98,6 @@ def test_near_duplicates_odd_rows(docs, empty):
     assert neardup.near_duplicates(empty).collect() == [] and neardup.drop_near_duplicates(empty).collect() == []
 
 
-def test_op7(llm, sf):
-    texts = {r["doc_id"]: r["text"] for r in pq.read_table(f"{sf}/documents.parquet").to_pylist()}
-    want, sets = brute_components(texts, 3, 85)
-    for r in QUERIES["op7_chosen_path_join"](llm, sf).collect():
-        assert r["component_id"] == want[r["doc_id"]] and r["n_shingles"] == len(sets[r["doc_id"]])
-
-
 def test_components(llm):
     r = random.Random(3)
     edges = [(r.randrange(60), r.randrange(60)) for _ in range(40)] + [(k, k + 1) for k in range(100, 130)] + [(5, 5), (None, 3)]
