@@ -259,14 +259,17 @@ def dictionary_corpus(spark: SparkSession, sf: str) -> DataFrame:
         select unnest(string_split(input, ' ')) as token from directed
         where cxt_type in ('domain', 'filename') and split = 'train' and direction = 'en-de')
       where token <> '' group by token),
+    sides as (
+      select 'input' as side, input as line, * from directed
+      union all select 'output', output, * from directed),
     words as (
-      select cxt_type, direction, split, unnest(string_split(input, ' ')) as token from directed
+      select side, cxt_type, direction, split, unnest(string_split(line, ' ')) as token from sides
       where split = 'train' or eval_set = 'rnd')
-    select cxt_type, direction, split, count(*) as tokens, count(*) filter (id is null) as unknown
+    select side, cxt_type, direction, split, count(*) as tokens, count(*) filter (id is null) as unknown
     from words left join dictionary using (token) where token <> '' group by all""",
 )
 def encoded_matrix(spark: SparkSession, sf: str) -> DataFrame:
-    """Every context type and direction encoded with one fixed dictionary.
+    """Both sides of every context type and direction encoded with one fixed dictionary.
 
     The evaluation part comes from the known-app sets.
     """
@@ -277,9 +280,11 @@ def encoded_matrix(spark: SparkSession, sf: str) -> DataFrame:
         is_train & F.col("cxt_type").isin("domain", "filename") & (F.col("direction") == "en-de")
     )
     dictionary = B.build_dictionary(B.token_counts(corpus, "input"))
-    group = ["cxt_type", "direction", "split"]
+    group = ["side", "cxt_type", "direction", "split"]
     rows = matrix.filter(is_train | (F.col("eval_set") == "rnd"))
-    encoded = B.encode_corpus(rows, "input", dictionary, [*group, "filepath", "pos"])
+    sides = F.array(*[F.struct(F.lit(c).alias("side"), F.col(c).alias("line")) for c in ("input", "output")])
+    both = rows.select("cxt_type", "direction", "split", "filepath", "pos", F.inline(sides))
+    encoded = B.encode_corpus(both, "line", dictionary, [*group, "filepath", "pos"])
     return B.oov_report(encoded, group)
 
 
