@@ -7,7 +7,9 @@ classes is compared exhaustively; a larger one is compared with its pivot (the
 class of most copies), and its members branch on: each into ``BRANCHES`` child
 nodes, by minwise tokens that the path so far selects.  A pair of similarity s
 meets in a tree with a chance of about s, so that 12 trees miss a pair at 0.85
-once in some 10**9.
+once in some 10**9.  Nodes that stay large after ``DEPTH`` levels, and nodes with
+few members outside their largest component, do not branch on but are finished:
+compared until all pairs of different components have met.
 
 Comparing is cheap first (sizes, 128-bit minwise sketches at almost five
 deviations below the threshold) and exact then: links are confirmed on full
@@ -38,8 +40,9 @@ from lokora.llm.components import components
 
 SKETCH_BITS = 128
 MINWISE = 64  # tokens kept to choose paths by
-TREES, BRANCHES, DEPTH = 12, 2, 4
+TREES, BRANCHES, DEPTH = 12, 3, 4
 LEAF = 24
+PIVOT_BLOCK = 1024  # members, and pivots, of a large node that one task compares
 DEVIATIONS = 4.7
 REMEMBERED_WORDS = 150_000
 
@@ -214,6 +217,81 @@ class _Search:
         self.labels = stage(moved.select("rep", F.coalesce("_new", "label").alias("label")), "labels")
 
 
+    def open_nodes(self, nodes: DataFrame) -> DataFrame:
+        """``(path, size, open, anchor)`` of the nodes ``(path, rep)`` that hold several
+        components: how many members are outside the largest one, and a class in it."""
+        each = nodes.join(self.labels, "rep").groupBy("path", "label").agg(F.count(F.lit(1)).alias("n"))
+        found = each.groupBy("path").agg(
+            F.sum("n").alias("size"), (F.sum("n") - F.max("n")).alias("open"), F.max_by("label", "n").alias("anchor")
+        )
+        return stage(found.filter("open > 0"), "open-nodes")
+
+    def finish(self, nodes: DataFrame, plan: DataFrame, sets: DataFrame, first_only: bool = False) -> None:
+        """Compare the nodes ``(path, rep)`` of ``plan`` until none of their links is missed.
+
+        Members take turns as pivots against their whole node, ``LEAF`` of them first
+        and sixteen times as many each turn, beside the member most like the rest.  From
+        the second turn on, the largest component's members are no pivots any more: it
+        only grows, and all others meet it in their own turn.  Of two members that end
+        in different components, one has thus been compared with the other.
+        """
+        sketches = self.classes.select("rep", "n_shingles", "s1", "s2")
+        done, upto = 0, LEAF
+        while not plan.isEmpty():
+            main = self.labels.select(F.col("rep").alias("anchor"), F.col("label").alias("main"))
+            known = nodes.select("path", "rep").join(plan.join(main, "anchor"), "path")
+            known = known.join(self.labels, "rep").join(sketches, "rep")
+            free = f"(label <> main or ({done} = 0 and open > {LEAF}))"
+            now = stage(
+                known.withColumn("free", F.expr(free))
+                .withColumn("turn", F.expr("pmod(xxhash64(rep, 11), 1048576) / 1048576D * open"))
+                .withColumn("blocks", F.expr(f"cast(ceil(size / {PIVOT_BLOCK}) as int)")),
+                "finish",
+            )
+            hubs = _hubs(now.filter(f"free and open > {LEAF}"))
+            pivots = now.join(hubs, "path", "left").filter(f"free and (turn >= {done} and turn < {upto} or rep <=> hub)")
+            spread = max(1, upto // PIVOT_BLOCK)
+            x = now.withColumn("m", F.expr("int(pmod(xxhash64(rep, 5), blocks))")).withColumn(
+                "p", F.explode(F.sequence(F.lit(0), F.lit(spread - 1)))
+            )
+            y = pivots.withColumn("p", F.expr(f"int(pmod(xxhash64(rep, 3), {spread}))")).withColumn(
+                "m", F.explode(F.expr("sequence(0, blocks - 1)"))
+            )
+            met = x.alias("x").join(
+                y.alias("y"), F.expr("x.path = y.path and x.m = y.m and x.p = y.p") & self._alike("x", "y")
+            )
+            bits = F.expr("bit_count(x.s1 ^ y.s1) + bit_count(x.s2 ^ y.s2)").alias("bits")
+            pairs = met.select(F.expr("least(x.rep, y.rep) as a"), F.expr("greatest(x.rep, y.rep) as b"), bits)
+            pairs = stage(pairs.distinct(), "finish-pairs")
+            self.connect(self.apart(best_partners(pairs)), sets)
+            self.connect(self.apart(pairs), sets)
+            if first_only:
+                return
+            left = plan.filter(f"open > {upto}")
+            several = self.open_nodes(nodes.select("path", "rep").join(left.select("path"), "path"))
+            anchor = F.col("_top") if done == 0 else F.col("anchor")
+            several = several.select("path", F.col("anchor").alias("_top"))
+            plan = stage(left.join(several, "path").select("path", "size", "open", anchor.alias("anchor")), "plan")
+            done, upto = upto, upto * 16
+
+
+def _hubs(rows: DataFrame) -> DataFrame:
+    """Of each node, the member whose sketch is nearest to the bits that most members have."""
+    counts = [
+        F.expr(f"sum(shiftrightunsigned({s}, {k}) & 1L)").alias(f"{s}_{k}")
+        for s in ("s1", "s2")
+        for k in range(SKETCH_BITS // 2)
+    ]
+    sums = rows.groupBy("path").agg(F.count(F.lit(1)).alias("_n"), *counts)
+    words = [
+        F.expr(" | ".join(f"shiftleft(bigint(2 * {s}_{k} > _n), {k})" for k in range(SKETCH_BITS // 2))).alias(f"_{s}")
+        for s in ("s1", "s2")
+    ]
+    usual = sums.select("path", *words)
+    away = F.expr("bit_count(s1 ^ _s1) + bit_count(s2 ^ _s2)")
+    return rows.join(usual, "path").groupBy("path").agg(F.min_by("rep", away).alias("hub"))
+
+
 def best_partners(pairs: DataFrame) -> DataFrame:
     """Of each class, the pair whose sketches differ least, before anything is joined."""
     ends = pairs.select(F.col("a").alias("own"), F.col("b").alias("other"), "bits").union(
@@ -269,13 +347,21 @@ def near_duplicates(
 
     search.connect(best_partners(pairs), sets)
     search.connect(search.apart(pairs), sets)
-    for _ in range(1, DEPTH):
-        # Only nodes that still hold several components branch on.
-        large = stage(nodes.filter(f"size > {LEAF}").select("path", "tree", "rep").join(search.labels, "rep"), "large")
-        alive = large.groupBy("path").agg(F.min("label").alias("_low"), F.max("label").alias("_high"))
-        alive = alive.filter("_low <> _high").select("path")
-        grown = large.join(alive, "path").join(classes.select("rep", "copies", "mins"), "rep")
-        nodes = _nodes(_child_paths(grown))
+    for depth in range(1, DEPTH + 1):
+        # Only nodes that still hold several components go on.
+        large = stage(nodes.filter(f"size > {LEAF}").select("path", "tree", "rep"), "large")
+        alive = search.open_nodes(large)
+        if alive.isEmpty():
+            break
+        if depth == DEPTH:
+            search.finish(large, alive, sets)
+            break
+        # Large groups come together by a first turn; who is left then branches on.
+        search.finish(large, alive, sets, first_only=True)
+        alive = search.open_nodes(large.join(alive.select("path"), "path"))
+        search.finish(large, alive.filter(f"open <= {LEAF}"), sets)
+        grown = large.join(alive.filter(f"open > {LEAF}").select("path"), "path")
+        nodes = _nodes(_child_paths(grown.join(search.labels, "rep").join(classes.select("rep", "copies", "mins"), "rep")))
         if nodes.isEmpty():
             break
         pairs = search.candidates(nodes, sketches.join(search.labels, "rep"))

@@ -84,6 +84,40 @@ def test_components_as_brute_force(llm, monkeypatch, width, percent, leaf):
     assert all(got[i]["n_shingles"] == len(sets[i]) and got[i]["kept"] == (want[i] == i) for i in texts)
 
 
+def edited_star(copies, edits, seed=7):
+    """Copies of one text, each with words of its own; the text itself has the last id."""
+    r = random.Random(seed)
+    base = [f"b{k}" for k in range(150)]
+    texts = {}
+    for i in range(copies):
+        own = list(base)
+        for at in r.sample(range(len(own) // 10), edits):
+            own[at * 10 + r.randrange(10)] = f"x{i}_{at}"
+        texts[i] = " ".join(own)
+    return texts | {copies: " ".join(base)}
+
+
+def test_star_of_edited_copies(llm):
+    copies, edits = 1500, 3
+    texts = edited_star(copies, edits)
+    base = set_of(texts[copies], 5)
+    assert all(100 * len(base & s) >= 80 * len(base | s) for s in (set_of(t, 5) for t in texts.values()))
+    far = {copies + 1 + k: " ".join(f"y{k}_{j}" for j in range(50)) for k in range(30)}
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(frame(llm, texts | far), 5, 80).collect()}
+    assert {got[i] for i in texts} == {0} and all(got[i] == i for i in far)
+
+
+def test_drift_of_edited_copies(llm):
+    """Each text is a copy of the one before it with one word changed, in turn."""
+    own = [f"b{k}" for k in range(60)]
+    texts = {}
+    for i in range(1500):
+        own[i * 7 % 60] = f"d{i}"
+        texts[i] = " ".join(own)
+    got = {r["component_id"] for r in neardup.near_duplicates(frame(llm, texts), 5, 80).collect()}
+    assert got == {0}
+
+
 def test_near_duplicates_odd_rows(docs, empty):
     rows = neardup.near_duplicates(docs, 3, 85).collect()
     assert len(rows) == docs.count()
