@@ -21,8 +21,8 @@ costs a few tests a member instead of all pairs.
 
 Defined cases: documents without words, or with a null text, have an empty set
 and are linked with nothing.  Fewer words than a shingle make one shingle of
-all.  Rows that share a doc_id are one document.  Rows without doc_id are linked
-with nothing and kept.
+all.  Rows that share a doc_id are one document only where their sets are equal.
+Rows without doc_id are linked with nothing and kept.
 """
 
 from __future__ import annotations
@@ -52,7 +52,7 @@ ADD = _rng.integers(0, 2**63, SKETCH_BITS, np.uint64)
 POSITION = _rng.integers(1, 2**63, 16, np.uint64) * np.uint64(2) + np.uint64(1)
 BLOCK = 8192  # shingles hashed at once by all functions
 
-PROFILE = "doc_id long, n_shingles long, hi long, lo long, mins array<int>, s1 long, s2 long"
+PROFILE = "doc_id long, version long, n_shingles long, hi long, lo long, mins array<int>, s1 long, s2 long"
 
 
 class _WordHashes(dict):
@@ -95,22 +95,22 @@ def minwise(shingles: np.ndarray) -> np.ndarray:
 
 
 def profiles(docs: DataFrame, width: int) -> DataFrame:
-    """Size, digest and minwise tokens of the shingle set of each ``(doc_id, text)``."""
+    """Size, digest and minwise tokens of the shingle set of each ``(doc_id, version, text)``."""
 
     def profile(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
+            for doc_id, version, text in zip(batch["doc_id"], batch["version"], batch["text"], strict=True):
                 shingles = shingle_set(text, width)
                 if len(shingles):
                     least = minwise(shingles)
                     s1, s2 = np.packbits((least & np.uint64(1)).astype(np.uint8)).view(np.int64)
                     mins = (least[:MINWISE] >> np.uint64(32)).astype(np.uint32).view(np.int32)
                     digest = np.frombuffer(xxhash.xxh3_128_digest(shingles.tobytes()), np.int64)
-                    out.append((doc_id, len(shingles), digest[0], digest[1], mins, s1, s2))
+                    out.append((doc_id, version, len(shingles), digest[0], digest[1], mins, s1, s2))
                 else:
-                    out.append((doc_id, 0, 0, 0, np.zeros(0, np.int32), 0, 0))
-            names = ["doc_id", "n_shingles", "hi", "lo", "mins", "s1", "s2"]
+                    out.append((doc_id, version, 0, 0, 0, np.zeros(0, np.int32), 0, 0))
+            names = ["doc_id", "version", "n_shingles", "hi", "lo", "mins", "s1", "s2"]
             result = pd.DataFrame(out, columns=names)
             result["doc_id"] = result["doc_id"].astype("Int64")
             yield result
@@ -309,24 +309,28 @@ def _child_paths(rows: DataFrame) -> DataFrame:
     return rows.select("tree", "rep", "copies", "label", F.explode(paths).alias("path"))
 
 
-def near_duplicates(
-    docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text"
-) -> DataFrame:
-    """``(doc_id, n_shingles, component_id, kept)`` for each row of ``docs``.
+def _version(text: str) -> Column:
+    """Tells apart the texts of rows that share a doc_id."""
+    return F.xxhash64(text)
 
-    Documents are linked when ``100 * |A & B| >= percent * |A | B|``;
-    ``component_id`` is the smallest doc_id reachable by links.
-    """
-    rows = pick(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
+
+def _linked(docs: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """``(doc_id, version, n_shingles, first)`` of each row; ``first`` has doc_id and version
+    of the document that stays of its group, and is null for rows linked with nothing."""
+    rows = pick(docs, doc_id=id_col, text=text_col).withColumns(
+        {"doc_id": F.col("doc_id").cast("long"), "version": _version("text")}
+    )
     found = stage(profiles(rows, width), "profiles")
     classes = stage(
         found.filter("n_shingles > 0 and doc_id is not null")
         .groupBy("hi", "lo")
         .agg(
-            F.min("doc_id").alias("rep"),
+            F.min(F.struct("doc_id", "version")).alias("first"),
             F.count(F.lit(1)).alias("copies"),
             *[F.first(c).alias(c) for c in ("n_shingles", "mins", "s1", "s2")],
-        ),
+        )
+        # Ids may repeat: a class goes by a number of its own.
+        .withColumn("rep", F.monotonically_increasing_id()),
         "classes",
     )
     search = _Search(classes, percent)
@@ -337,12 +341,14 @@ def near_duplicates(
     pairs = search.candidates(nodes, sketches.withColumn("label", F.col("rep")))
     # Only these documents can take part in a link; their sets are computed once.
     needed = (
-        pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))
+        pairs.select(F.explode(F.array("a", "b")).alias("rep"))
         .union(nodes.filter(f"size > {LEAF}").select("rep"))
         .distinct()
     )
     # The plan is the same at every size: texts meet their ids by a sorted merge.
-    wanted = rows.join(needed.hint("merge"), "doc_id", "left_semi")
+    of_class = classes.join(needed, "rep").select("first.doc_id", "first.version", "rep")
+    wanted = rows.join(of_class.hint("merge"), ["doc_id", "version"]).dropDuplicates(["doc_id", "version"])
+    wanted = wanted.select(F.col("rep").alias("doc_id"), "text")
     sets = stage_bucketed(full_sets(wanted, width), "sets", "rep")
 
     search.connect(best_partners(pairs), sets)
@@ -369,10 +375,25 @@ def near_duplicates(
             pairs = pairs.join(search.tested, ["a", "b"], "left_anti")
         search.connect(pairs, sets)
 
-    by_set = classes.select("hi", "lo", "rep").join(search.labels, "rep").select("hi", "lo", "label")
-    out = found.select("doc_id", "n_shingles", "hi", "lo").join(by_set, ["hi", "lo"], "left")
-    linked = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("label"))
-    return out.select("doc_id", "n_shingles", F.coalesce(linked, "doc_id").alias("component_id")).withColumn(
+    own = classes.select("hi", "lo", "rep", "first").join(search.labels, "rep")
+    groups = own.groupBy("label").agg(F.min("first").alias("first"))
+    by_set = own.select("hi", "lo", "label").join(groups, "label").select("hi", "lo", "first")
+    out = found.select("doc_id", "version", "n_shingles", "hi", "lo").join(by_set, ["hi", "lo"], "left")
+    linked = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("first"))
+    return out.select("doc_id", "version", "n_shingles", linked.alias("first"))
+
+
+def near_duplicates(
+    docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """``(doc_id, n_shingles, component_id, kept)`` for each row of ``docs``.
+
+    Documents are linked when ``100 * |A & B| >= percent * |A | B|``;
+    ``component_id`` is the smallest doc_id reachable by links.
+    """
+    out = _linked(docs, width, percent, id_col, text_col)
+    component = F.coalesce("first.doc_id", "doc_id").alias("component_id")
+    return out.select("doc_id", "n_shingles", component).withColumn(
         "kept", F.col("doc_id").eqNullSafe(F.col("component_id"))
     )
 
@@ -382,16 +403,17 @@ def drop_near_duplicates(
 ) -> DataFrame:
     """``docs`` with one document of each group: that of the smallest doc_id.
 
-    Of rows that share this doc_id one stays.  Rows without doc_id all stay.
+    Of equal rows of this doc_id one stays.  Rows without doc_id all stay.
     """
     rows = Rows(docs)
     key = rows.of(id_col)
     drop = (
-        near_duplicates(docs, width, percent, id_col, text_col)
-        .filter("not kept")
-        .select(F.col("doc_id").alias(key))
+        _linked(docs, width, percent, id_col, text_col)
+        .filter("first.doc_id <> doc_id or first.version <> version")
+        .select(F.col("doc_id").alias("_id"), F.col("version").alias("_version"))
         .distinct()
     )
-    kept = rows.df.join(drop, key, "left_anti")
-    with_id = kept.filter(F.col(key).isNotNull()).dropDuplicates([key])
-    return rows.restore(with_id.union(kept.filter(F.col(key).isNull())))
+    own = rows.df.withColumns({"_id": F.col(key).cast("long"), "_version": _version(rows.of(text_col))})
+    kept = own.join(drop, ["_id", "_version"], "left_anti")
+    with_id = kept.filter(F.col(key).isNotNull()).dropDuplicates([key, "_version"])
+    return rows.restore(with_id.unionByName(kept.filter(F.col(key).isNull())))

@@ -118,6 +118,19 @@ def test_drift_of_edited_copies(llm):
     assert got == {0}
 
 
+def test_texts_that_share_an_id(llm):
+    r = random.Random(9)
+    clean = [" ".join(f"c{r.randrange(5000)}" for _ in range(60)) for _ in range(4)]
+    near = clean[3].rsplit(" ", 1)[0] + " other"
+    given = [(5, clean[0]), (5, clean[1]), (5, clean[2]), (5, clean[0]), (7, clean[3]), (5, near), (9, clean[1]), (6, None), (6, "")]
+    df = llm.createDataFrame(given, "doc_id long, text string")
+    rows = neardup.near_duplicates(df, 5, 80).collect()
+    assert sorted((x["doc_id"], x["component_id"]) for x in rows) == [(5, 5)] * 5 + [(6, 6)] * 2 + [(7, 5), (9, 5)]
+    kept = sorted(map(repr, map(tuple, neardup.drop_near_duplicates(df, 5, 80).collect())))
+    want = [(5, clean[0]), (5, clean[1]), (5, clean[2]), (5, near), (6, None), (6, "")]
+    assert kept == sorted(map(repr, want))
+
+
 def test_near_duplicates_odd_rows(docs, empty):
     rows = neardup.near_duplicates(docs, 3, 85).collect()
     assert len(rows) == docs.count()
