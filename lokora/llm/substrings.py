@@ -8,8 +8,8 @@ doc_id, then place) stays; a run of later copies is cut out once it has at least
 ``min_bytes``, shrunk to whole words so that no word is torn.
 
 Defined cases: null and empty texts have no chunks and stay as they are.  Rows
-with the same doc_id are one document and do not delete each other's chunks; a
-null doc_id counts as larger than all others.  Extra columns are carried along.
+with the same doc_id do not delete each other's chunks, but each text is cut at
+its own repeats only; a null doc_id counts as larger than all others.  Extra columns are carried along.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ MIN_CHUNK, MAX_CHUNK, MASK_BITS = 24, 160, 5
 MIN_RUN_BYTES = 100
 NO_ID = (1 << 63) - 1
 
-CHUNK = "doc_id long, hi long, lo long, start int, size int, again boolean"
+CHUNK = "doc_id long, version long, hi long, lo long, start int, size int, again boolean"
 
 
 def gear_table(seed: int = 1) -> np.ndarray:
@@ -85,14 +85,14 @@ def chunk_ends(data: np.ndarray) -> list[int]:
 
 
 def chunks(rows: DataFrame) -> DataFrame:
-    """The chunks of ``(doc_id, text)`` rows: digest, place, and whether the same text
+    """The chunks of ``(doc_id, version, text)`` rows: digest, place, and whether the same text
     already held it before (``again``)."""
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         digest = xxhash.xxh3_128_digest
         for batch in batches:
-            ids, raw, starts, sizes, again = [], [], [], [], []
-            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
+            ids, versions, raw, starts, sizes, again = [], [], [], [], [], []
+            for doc_id, version, text in zip(batch["doc_id"], batch["version"], batch["text"], strict=True):
                 if not text:
                     continue
                 data = text.encode("utf-8")
@@ -100,6 +100,7 @@ def chunks(rows: DataFrame) -> DataFrame:
                 begins = [0, *ends[:-1]]
                 mine = [digest(data[a:b]) for a, b in zip(begins, ends, strict=True)]
                 ids += [doc_id] * len(ends)
+                versions += [version] * len(ends)
                 raw += mine
                 starts += begins
                 sizes += ends
@@ -112,6 +113,7 @@ def chunks(rows: DataFrame) -> DataFrame:
             yield pd.DataFrame(
                 {
                     "doc_id": np.array(ids, np.int64),
+                    "version": np.array(versions, np.int64),
                     "hi": halves[:, 0],
                     "lo": halves[:, 1],
                     "start": begin,
@@ -124,7 +126,7 @@ def chunks(rows: DataFrame) -> DataFrame:
 
 
 def repeated_chunks(rows: DataFrame) -> DataFrame:
-    """``(doc_id, start, size)`` of every chunk that is not the first of its digest.
+    """``(doc_id, version, start, size)`` of every chunk that is not the first of its digest.
 
     First copies are found by an aggregation whose buffers are plain numbers, so
     that a passage which a third of all documents share is combined in the map
@@ -141,7 +143,7 @@ def repeated_chunks(rows: DataFrame) -> DataFrame:
     return (
         found.join(first, ["hi", "lo"])
         .filter("doc_id > first_id or again")
-        .select("doc_id", "start", "size")
+        .select("doc_id", "version", "start", "size")
     )
 
 
@@ -184,11 +186,13 @@ def deduplicate(
     rows = Rows(docs)
     key, text = rows.of(id_col), rows.of(text_col)
     doc_key = F.coalesce(F.col(key).cast("long"), F.lit(NO_ID))
+    # Rows may share an id, or have none: a text's own repeats are found by its hash too.
+    version = F.xxhash64(text)
     repeats = (
-        repeated_chunks(rows.df.select(doc_key.alias("doc_id"), F.col(text).alias("text")))
-        .groupBy("doc_id")
+        repeated_chunks(rows.df.select(doc_key.alias("doc_id"), version.alias("version"), F.col(text).alias("text")))
+        .groupBy("doc_id", "version")
         .agg(F.array_sort(F.collect_set(F.struct("start", "size"))).alias("_repeats"))
-        .withColumnRenamed("doc_id", "_key")
+        .withColumnsRenamed({"doc_id": "_key", "version": "_version"})
     )
 
     @F.pandas_udf("struct<text: string, spans: array<struct<from: int, to: int>>>")
@@ -206,7 +210,7 @@ def deduplicate(
             cuts.append([{"from": a, "to": b} for a, b in cut])
         return pd.DataFrame({"text": pd.Series(out, dtype=object), "spans": pd.Series(cuts, dtype=object)})
 
-    joined = rows.df.withColumn("_key", doc_key).join(repeats, "_key", "left")
+    joined = rows.df.withColumns({"_key": doc_key, "_version": version}).join(repeats, ["_key", "_version"], "left")
     done = joined.withColumn("_cut", without(text, "_repeats.start", "_repeats.size")).select(
         *[F.col("_cut.text").alias(c) if c == text else c for c in rows.plain], F.col("_cut.spans").alias("removed_spans")
     )

@@ -307,6 +307,24 @@ def test_planted_passages_are_cut(llm):
         assert set(r["text"].split()) <= set(texts[i].split())
 
 
+def test_texts_that_share_an_id_keep_their_own_cuts(llm):
+    r = random.Random(4)
+
+    def prose(n):
+        return " ".join("".join(r.choice("abcdefghijklmnop") for _ in range(r.randrange(2, 9))) for _ in range(n))
+
+    passage, clean, short = prose(120), prose(400), prose(8)
+    late = prose(200) + " " + passage
+    given = [(1, passage), (2, late), (2, short), (2, clean), (None, prose(150) + " " + passage), (None, prose(300)), (None, "x y")]
+    rows = substrings.deduplicate(llm.createDataFrame(given, "doc_id long, text string")).collect()
+    assert len(rows) == len(given)
+    kept = {(x["doc_id"], x["text"]) for x in rows if not x["changed"]}
+    assert kept == {given[k] for k in (0, 2, 3, 5, 6)}
+    cut = [x for x in rows if x["changed"]]
+    assert sorted(str(x["doc_id"]) for x in cut) == ["2", "None"]
+    assert all(x["removed_bytes"] > 0.5 * len(passage) for x in cut)
+
+
 def test_substrings_odd_rows(docs, empty):
     rows = substrings.deduplicate(docs)
     assert rows.columns == [*docs.columns, "removed_bytes", "removed_spans", "changed"]
