@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators."""
+"""The registered queries of the operators."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lokora.llm import balltree, bpe, chat, fingerprints, langid, neardup, packing, sharding, substrings, warc
+from lokora.llm import balltree, bpe, chat, codes, fingerprints, groupjoin, langid, neardup, packing, sharding, spelling, substrings, warc
 from lokora.llm.registry import QUERIES, SQL, query, table
 
 __all__ = ["QUERIES", "SQL"]
@@ -171,3 +171,108 @@ def op9b_similar_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_ball_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five best other vectors for every fiftieth vector."""
     return balltree.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
+
+
+def _codes_sql() -> str:
+    """Four rounds of assigning and averaging, each as three common tables."""
+    steps = [
+        """whole as (
+      select row_number() over () as row, vec_id, label,
+        list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint)) as v from embeddings
+      where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+    ), parts as materialized (
+      select row, vec_id, label, k, v[k * (len(v) // 4) + 1 : (k + 1) * (len(v) // 4)] as p
+      from whole, (select unnest([0, 1, 2, 3]) as k)
+    ), book0 as materialized (
+      select k, row_number() over (partition by k order by vec_id, p) - 1 as entry, p as c from parts
+      qualify entry < 256
+    )"""
+    ]
+    for i in range(5):
+        steps.append(
+            f"""met{i} as materialized (
+      select row, k, arg_min(entry, d * 256 + entry) as entry, min(d) as d from (
+        select row, k, entry, list_sum(list_transform(list_zip(p, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) as d
+        from parts join book{i} using (k)) group by row, k
+    )"""
+        )
+        if i < 4:
+            steps.append(
+                f"""book{i + 1} as materialized (
+      select k, entry, coalesce(list(cast(floor(total / n) as bigint) order by pos) filter (pos is not null), any_value(c)) as c
+      from book{i} left join (
+        select k, entry, pos, sum(x) as total, count(*) as n from (
+          select k, entry, unnest(p) as x, unnest(range(len(p))) as pos from met{i} join parts using (row, k))
+        group by k, entry, pos) using (k, entry) group by k, entry
+    )"""
+            )
+    return (
+        "with "
+        + ", ".join(steps)
+        + """, coded as (
+      select row, string_agg(printf('%02x', entry), '' order by k) as code, cast(sum(d) as bigint) as error
+      from met4 group by row
+    ), digest as (
+      select sha256(string_agg(array_to_string(c, ','), ',' order by k, entry)) as codebooks_sha256 from book4
+    )
+    select vec_id, code, error, cast(sum(error) over (partition by label) as bigint) as label_error, codebooks_sha256
+    from coded join whole using (row), digest"""
+    )
+
+
+@query("op11_vector_codes", _codes_sql())
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four-byte codes of all vectors, their errors, and the codebooks' digest."""
+    coded, books = codes.compress(table(spark, sf_dir, "embeddings"))
+    return coded.select(
+        F.col("id").alias("vec_id"), "code", "error", "label_error",
+        F.lit(codes.books_digest(books)).alias("codebooks_sha256"),
+    )
+
+
+@query(
+    "op12_spelling_variants",
+    f"""with recursive runs as (
+      select doc_id, unnest(regexp_extract_all(translate(text, '{spelling.UPPER}', '{spelling.LOWER}'), '{spelling.RUNS}')) as run
+      from documents
+    ), polynomial as (
+      select list(list_reduce([cast(i as bigint)] || range(8),
+        lambda a, k: case when a & 1 = 1 then xor(a >> 1, 3988292384) else a >> 1 end) order by i) as t
+      from range(256) r(i)
+    ), hashed as (
+      select run, xor(4294967295, list_reduce([cast(4294967295 as bigint)] || flatten(list_transform(
+          list_transform(string_split(coalesce(cast(doc_id as varchar), '') || ':' || run, ''), lambda s: cast(unicode(s) as bigint)),
+          lambda c: case when c < 128 then [c] else [192 | (c >> 6), 128 | (c & 63)] end)),
+        lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1]))) as h
+      from runs, polynomial
+    ), vocabulary as materialized (
+      select word, count(*) as n from (
+        select case when h % 31 = 0 then run[: h % length(run)] || run[h % length(run) + 2 :] else run end as word from hashed)
+      where length(word) >= 7 group by word having count(*) >= 2
+    ), shorter as (
+      select word, n, i, word[: i - 1] || word[i + 1 :] as cut
+      from (select word, n, unnest(range(1, length(word) + 1)) as i from vocabulary)
+    ), near as (
+      select a.word, a.n, b.word as other, b.n as m from shorter a join shorter b on a.cut = b.cut and a.i = b.i and a.word <> b.word
+      union select a.word, a.n, b.word, b.n from shorter a join vocabulary b on a.cut = b.word
+      union select b.word, b.n, a.word, a.n from shorter a join vocabulary b on a.cut = b.word
+    ), best as (
+      select word, any_value(n) as n, count(*) as n_near, max(m) as top, arg_min(other, struct_pack(x := -m, y := other)) as other
+      from near group by word
+    ), forms as (select word, other as form, top as form_n from best where top >= 10 * n
+    ), chain(word, root) as (
+      select word, form from forms union all select c.word, f.form from chain c join forms f on c.root = f.word
+    ), ends as (select word, root from chain where root not in (select word from forms))
+    select v.word, form, coalesce(root, v.word) as root, v.n, coalesce(n_near, 0) as n_near, form_n
+    from vocabulary v left join best using (word) left join forms using (word) left join ends using (word)""",
+)
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word of the documents with its more frequent form one edit away."""
+    found = spelling.variants(table(spark, sf_dir, "documents"))
+    return found.select("word", "form", "root", "n", "n_near", "form_n")
+
+
+@query("op13_token_groups", SQL["op7_chosen_path_join"].replace(">= 85 *", ">= 90 *").replace(", doc_id = component_id as kept", ""))
+def op13_token_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose sets of three-word shingles are 0.9 alike."""
+    return groupjoin.similar_groups(table(spark, sf_dir, "documents"), 3, 90)
