@@ -13,11 +13,12 @@ def found(df, width, percent):
     return {r["doc_id"]: r for r in groupjoin.similar_groups(df, width, percent).collect()}
 
 
-@pytest.mark.parametrize(("width", "percent", "opened", "keys"), [(3, 90, 16, 4), (3, 90, 1, 9), (5, 80, 2, 4), (1, 70, 1, 9)])
+@pytest.mark.parametrize(("width", "percent", "opened", "keys"), [(3, 90, 1, 4), (3, 90, 1, 9), (5, 80, 2, 4), (1, 70, 1, 9)])
 def test_components_as_brute_force(llm, monkeypatch, width, percent, opened, keys):
-    """``keys`` above all there are: nothing is grouped beforehand, the matrix finds every link."""
+    """``keys`` above all there are: there are no groups, the matrix finds every link."""
     monkeypatch.setattr(groupjoin, "OPENED", opened)
-    monkeypatch.setattr(groupjoin, "GROWTH", 2)
+    monkeypatch.setattr(groupjoin, "BLOCK_ROWS", 10)
+    monkeypatch.setattr(groupjoin, "COLUMNS", 7)
     monkeypatch.setattr(groupjoin, "LEAST_KEYS", keys)
     texts = near_copies()
     want, sets = brute_components(texts, width, percent)
@@ -26,8 +27,9 @@ def test_components_as_brute_force(llm, monkeypatch, width, percent, opened, key
     assert all(got[i]["n_shingles"] == len(sets[i]) for i in texts)
 
 
-def test_star_and_far_texts(llm):
+def test_star_and_far_texts(llm, monkeypatch):
     """Copies that are similar to their base alone, which has the largest id."""
+    monkeypatch.setattr(groupjoin, "BLOCK_ROWS", 100)
     texts = edited_star(400, 3)
     far = {401 + k: " ".join(f"y{k}_{j}" for j in range(50)) for k in range(30)}
     want, _ = brute_components(texts | far, 5, 80)
