@@ -342,19 +342,19 @@ def rows_without_ids(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "rows_by_id_list",
     f"""with {V.ENTRIES_SQL}, ids as (
-      select doc_id * 7 as ord, doc_id * 100000 + quality as row_id from labels
-      union all select doc_id * 7 + 1 as ord, doc_id * 100000 as row_id from labels)
-    select ord, row_id, src, tgt from ids join (select *, {ROW_ID} as row_id from entries) using (row_id)""",
+      select doc_id * 7 as ord, doc_id as file_ord, quality as pos from labels
+      union all select doc_id * 7 + 1 as ord, doc_id as file_ord, 0 as pos from labels)
+    select ord, file_ord, pos, src, tgt from ids join entries using (file_ord, pos)""",
 )
 def rows_by_id_list(spark: SparkSession, sf: str) -> DataFrame:
     """Rows picked by a list of ids, in list order, repeats included."""
     ids = spark.sql(
-        "select doc_id * 7 as ord, doc_id * 100000 + quality as row_id from {t} "
-        "union all select doc_id * 7 + 1 as ord, doc_id * 100000 as row_id from {t}",
+        "select doc_id * 7 as ord, doc_id as file_ord, quality as pos from {t} "
+        "union all select doc_id * 7 + 1 as ord, doc_id as file_ord, 0 as pos from {t}",
         t=V.table(spark, sf, "labels"),
     )
-    rows = _with_row_id(V.stored_entries(spark, sf))
-    return S.select_ids(rows, ids).select("ord", "row_id", "src", "tgt")
+    rows = S.select_ids(V.entries(spark, sf), ids, ["file_ord", "pos"])
+    return rows.select("ord", "file_ord", F.col("pos").cast("bigint").alias("pos"), "src", "tgt")
 
 
 @query(

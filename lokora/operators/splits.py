@@ -140,10 +140,11 @@ def remove_ids(df: DataFrame, ids: DataFrame, key: Sequence[str] = ("row_id",))
 
 
 def select_ids(
-    df: DataFrame, ids: DataFrame, key: str = "row_id", order: str = "ord"
+    df: DataFrame, ids: DataFrame, key: str | Sequence[str] = "row_id", order: str = "ord"
 ) -> DataFrame:
     """Rows in the order of an id list; a repeated id repeats its row."""
-    return ids.select(order, key).join(df, key)
+    key = [key] if isinstance(key, str) else list(key)
+    return ids.select(order, *key).join(df, key)
 
 
 def remove_eval_overlap(

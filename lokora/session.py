@@ -59,20 +59,25 @@ def local_session(
     return tune(spark)
 
 
+_local_roots: dict[str, str] = {}
+
+
 def stage_root(spark: SparkSession) -> str:
     """The shared folder for stage tables: ``spark.checkpoint.dir``.
 
     On a cluster the folder must be named by the session.  Only a local session
-    may fall back to a fresh temporary folder.
+    may fall back to a fresh temporary folder, the same one as long as it runs.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-    root = tempfile.mkdtemp(prefix="lokora-")
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    # The setting itself cannot be changed while a session runs.
+    app = spark.sparkContext.applicationId
+    if app not in _local_roots:
+        _local_roots[app] = tempfile.mkdtemp(prefix="lokora-")
+    return _local_roots[app]
 
 
 def stage_path(spark: SparkSession, name: str) -> str:
