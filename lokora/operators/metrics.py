@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lokora.functions.moves import move_blocks
 from lokora.functions.once import let, with_columns_once
 from lokora.functions.tokens import tokens_13a
 from lokora.session import spread
@@ -17,7 +19,8 @@ BLEU_ORDER = 4
 SCORE_DIGITS = 4
 # ---------------------------------------------------------------------------
 
-EDIT_BANDS = (64, 512)
+# Each band is four times as wide: the cost is about the distance times the length.
+EDIT_BANDS = (32, 128, 512, 2048, 8192)
 
 
 def align_hypotheses(
@@ -179,29 +182,62 @@ def corpus_bleu(
     )
 
 
+def _moved(hyp: str, ref: str) -> Column:
+    """The hypothesis after its block moves; nothing where there are none."""
+
+    @F.pandas_udf("moved string, moves int, cost double")
+    def search(rows: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for hyps, refs in rows:
+            out = []
+            for hyp, ref in zip(hyps, refs, strict=True):
+                moved: list[list[str]] = []
+                if hyp is not None and ref is not None and hyp != ref:
+                    words, moved = move_blocks(hyp.split(" "), ref.split(" "))
+                cost = sum(sum(map(len, run)) / len(run) for run in moved)
+                out.append((" ".join(words) if moved else None, len(moved), cost))
+            yield pd.DataFrame(out, columns=["moved", "moves", "cost"])
+
+    return search(hyp, ref)
+
+
+def with_edits(pairs: DataFrame) -> DataFrame:
+    """``pairs`` with ``edits`` (characters), ``moves`` and ``move_cost`` of each row.
+
+    A block move costs the mean length of its words, whatever its length; what
+    is left after the moves is counted in characters.  Where that is not cheaper
+    than to edit the text as it is, nothing is moved.
+    """
+    searched = with_columns_once(pairs, {"_m": _moved("hyp", "ref")})
+    after = F.when(F.col("_m.moves") > 0, edit_distance(F.col("_m.moved"), F.col("ref")))
+    measured = with_columns_once(searched, {"_plain": edit_distance(F.col("hyp"), F.col("ref")), "_after": after})
+    cheaper = F.coalesce(F.col("_after") + F.col("_m.cost") < F.col("_plain"), F.lit(False))
+    return measured.select(
+        *pairs.columns,
+        F.when(cheaper, F.col("_after")).otherwise(F.col("_plain")).alias("edits"),
+        F.when(cheaper, F.col("_m.moves")).otherwise(0).alias("moves"),
+        F.when(cheaper, F.col("_m.cost")).otherwise(0.0).alias("move_cost"),
+    )
+
+
 def character_edit_rate(
     pairs: DataFrame, by: Sequence[str], key: Sequence[str] = ("row_id",)
 ) -> DataFrame:
-    """Character edits per hypothesis character: over the corpus, and row mean.
+    """Character edits and block moves per hypothesis character: over the corpus, and row mean.
 
-    Edits are insertions, deletions and substitutions.  An empty hypothesis for a
-    non-empty reference counts as rate 1.  The edit distance is quadratic in the
-    length of a text, so rows are first spread over all tasks, longest texts too.
+    Edits are insertions, deletions and substitutions of characters, and moves of
+    word blocks (``with_edits``).  An empty hypothesis for a non-empty reference
+    counts as rate 1.  Rows are first spread over all tasks, longest texts too.
     """
     placed = spread(pairs.select(*by, *key, "hyp", "ref"), *by, *key)
-    measured = with_columns_once(
-        placed,
-        {
-            "edits": edit_distance(F.col("hyp"), F.col("ref")),
-            "size": F.char_length("hyp"),
-        },
-    )
-    edits, size = F.col("edits"), F.col("size")
-    rate = F.when(size > 0, edits / size).otherwise(F.when(edits > 0, 1.0).otherwise(0.0))
+    size, total = F.col("size"), F.col("edits") + F.col("move_cost")
+    measured = with_edits(placed).withColumn("size", F.char_length("hyp"))
+    rate = F.when(size > 0, total / size).otherwise(F.when(total > 0, 1.0).otherwise(0.0))
     return measured.groupBy(*by).agg(
-        F.sum(edits).alias("edits"),
+        F.sum("edits").alias("edits"),
+        F.sum("moves").alias("moves"),
+        F.round(F.sum("move_cost"), SCORE_DIGITS).alias("move_cost"),
         F.sum(size).alias("hyp_chars"),
-        F.round(F.sum(edits) / F.nullif(F.sum(size), F.lit(0)), SCORE_DIGITS).alias("edit_rate"),
+        F.round(F.sum(total) / F.nullif(F.sum(size), F.lit(0)), SCORE_DIGITS).alias("edit_rate"),
         F.round(F.avg(rate), SCORE_DIGITS).alias("mean_rate"),
         F.count(F.lit(1)).alias("rows"),
     )

@@ -35,7 +35,9 @@ def test_driver_has_all_queries():
 
 def test_sql_names():
     assert set(SQL) <= set(QUERIES)
-    assert set(QUERIES) - set(SQL) == {"learned_subwords", "subword_corpus", "subword_vocabulary"}
+    assert set(QUERIES) - set(SQL) == {
+        "learned_subwords", "subword_corpus", "subword_vocabulary", "character_edit_rate", "score_report"
+    }
 
 
 @pytest.mark.parametrize("name", sorted(SQL))

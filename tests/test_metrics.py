@@ -1,14 +1,18 @@
 import math
 import random
 from collections import Counter
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
+from lokora.catalog import vocab_queries
+from lokora.functions.moves import move_blocks
 from lokora.functions.tokens import words
 from lokora.operators import metrics as M
 from lokora.sources.lines import hypothesis_lines
 
+DATA = Path("/root/testdata/sf0.001")
 SCHEMA = "g string, row_id int, hyp string, ref string"
 
 
@@ -44,6 +48,90 @@ def brute_edits(a, b):
     return row[-1]
 
 
+def brute_align(a, b):
+    """Distance, equal partners on either side, and words of ``a`` before each place of ``b``."""
+    d = [[i + j if i == 0 or j == 0 else 0 for j in range(len(b) + 1)] for i in range(len(a) + 1)]
+    for i in range(1, len(a) + 1):
+        for j in range(1, len(b) + 1):
+            d[i][j] = min(d[i - 1][j - 1] + (a[i - 1] != b[j - 1]), d[i - 1][j] + 1, d[i][j - 1] + 1)
+    held, wanted, before = set(), set(), {}
+    i, j = len(a), len(b)
+    while i or j:
+        if i and j and d[i][j] == d[i - 1][j - 1] + (a[i - 1] != b[j - 1]):
+            i, j = i - 1, j - 1
+            before[j] = i
+            if a[i] == b[j]:
+                held.add(i), wanted.add(j)
+        elif i and d[i][j] == d[i - 1][j] + 1:
+            i -= 1
+        else:
+            j -= 1
+            before[j] = i
+    return d[-1][-1], held, wanted, before
+
+
+def brute_moves(a, b):
+    a, moved = list(a), []
+    while True:
+        d, held, wanted, before = brute_align(a, b)
+        free = {(i, j) for i in range(len(a)) for j in range(len(b)) if i not in held and j not in wanted and a[i] == b[j]}
+        runs = []
+        for i, j in free:
+            if abs(i - j) <= 50 and (i - 1, j - 1) not in free:
+                n = 1
+                while n < 10 and (i + n, j + n) in free:
+                    n += 1
+                runs.append((-n, i, j))
+        for n, i, j in sorted(runs):
+            run, rest = a[i : i - n], a[:i] + a[i - n :]
+            to = before[j] + n if before[j] >= i - n else min(before[j], i)
+            if brute_align(rest[:to] + run + rest[to:], b)[0] < d:
+                a = rest[:to] + run + rest[to:]
+                moved.append(run)
+                break
+        else:
+            return a, moved
+
+
+def brute_cost(hyp, ref):
+    """Character edits, moves and their cost."""
+    plain = brute_edits(hyp, ref)
+    words, moved = brute_moves(hyp.split(" "), ref.split(" "))
+    cost = sum(len("".join(r)) / len(r) for r in moved)
+    after = brute_edits(" ".join(words), ref)
+    return (after, len(moved), cost) if moved and after + cost < plain else (plain, 0, 0.0)
+
+
+def test_moves_as_brute_force():
+    rng = random.Random(11)
+    for turn in range(400):
+        ref = [rng.choice("abcdefgh"[: rng.randint(2, 8)]) for _ in range(rng.randint(0, 14))]
+        hyp = list(ref)
+        for _ in range(rng.randint(0, 3)):
+            i, n, to = rng.randint(0, 14), rng.randint(1, 4), rng.randint(0, 14)
+            run, hyp = hyp[i : i + n], hyp[:i] + hyp[i + n :]
+            hyp[to:to] = run
+        hyp = [w if rng.random() < 0.9 else "z" for w in hyp]
+        assert move_blocks(hyp, ref) == brute_moves(hyp, ref), (hyp, ref)
+
+
+def test_a_moved_block_costs_one_word(spark):
+    one, other = "the quick brown fox jumps", "while seven wizards brew potions"
+    rows = [("g", 0, f"{one} {other} ümlaut", f"{other} {one} ümlaut"), ("g", 1, "Äh", "Ah"), ("h", 2, None, "x")]
+    got = {r.row_id: r for r in M.with_edits(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got[0].moves == 1 and got[0].edits == 0 and 4 <= got[0].move_cost <= 6
+    assert (got[1].edits, got[1].moves, got[2].edits) == (1, 0, None)
+
+
+def test_far_apart_texts():
+    """The band grows with the distance, on texts of some thousand words."""
+    rng = random.Random(3)
+    ref = [rng.choice("abcdefghijklmnop") + rng.choice("abcdefghij") for _ in range(3000)]
+    hyp = ref[:1000] + ref[1200:] + ref[1000:1005]
+    words, moved = move_blocks(hyp, ref)
+    assert sorted(words) == sorted(hyp) and words != [] and len(moved) < 40
+
+
 def sample():
     rng = random.Random(9)
     text = lambda k: " ".join(rng.choice("abcdefg") for _ in range(k))
@@ -82,12 +170,32 @@ def test_edit_rate(spark):
     got = {r.g: r for r in M.character_edit_rate(spark.createDataFrame(rows, SCHEMA), ["g"]).collect()}
     for g in {r[0] for r in rows}:
         mine = [(h, r) for k, _, h, r in rows if k == g]
-        edits, chars = sum(brute_edits(h, r) for h, r in mine), sum(len(h) for h, _ in mine)
-        assert (got[g].edits, got[g].hyp_chars) == (edits, chars)
-        assert got[g].edit_rate == (None if chars == 0 else pytest.approx(round(edits / chars, 4)))
+        each = [brute_cost(h, r) for h, r in mine]
+        edits, moves, cost, chars = sum(e[0] for e in each), sum(e[1] for e in each), sum(e[2] for e in each), sum(len(h) for h, _ in mine)
+        assert (got[g].edits, got[g].moves, got[g].hyp_chars) == (edits, moves, chars)
+        assert got[g].edit_rate == (None if chars == 0 else pytest.approx(round((edits + cost) / chars, 4), abs=1e-4))
     assert got["empty"].mean_rate == 1.0
 
 
+def test_registered_rates_as_brute_force(spark):
+    """The query's rows on the smallest tables, real text, one system."""
+    if not DATA.exists():
+        pytest.skip("no test tables here")
+    pairs = vocab_queries._pairs(spark, str(DATA)).filter("cxt_type = 'filename'").toPandas()
+    want = {}
+    for _, r in pairs.iterrows():
+        edits, moves, cost = brute_cost(r["hyp"], r["ref"])
+        total = want.setdefault(r["eval_set"], [0, 0, 0.0, 0])
+        for k, v in enumerate((edits, moves, cost, len(r["hyp"]))):
+            total[k] += v
+    report = vocab_queries.full_score_report(spark, str(DATA)).filter("cxt_type = 'filename'").collect()
+    assert len(report) == len(want)
+    for r in report:
+        edits, moves, cost, chars = want[r.eval_set]
+        assert (r.edits, r.moves, r.hyp_chars) == (edits, moves, chars)
+        assert r.edit_rate == pytest.approx((edits + cost) / chars, abs=1e-4)
+
+
 def test_edit_distance_beyond_the_bands(spark):
     rng = random.Random(5)
     text = lambda n: "".join(rng.choice("abcdü") for _ in range(n))
