@@ -16,9 +16,6 @@ from lokora.plans.evaluation import plain_hypotheses, score_report
 from lokora.plans.splits import split_matrix
 from lokora.session import stage_table
 
-MERGES = 100
-
-
 def sql_chain(text: str, rules) -> str:
     """The same rules as nested SQL replacements."""
     for pattern, to in rules:
@@ -147,7 +144,7 @@ def _merges(spark: SparkSession, sf: str) -> DataFrame:
 @query("learned_subwords")
 def learned_subwords(spark: SparkSession, sf: str) -> DataFrame:
     """Joint merges of both languages; checked against brute force in the tests."""
-    return B.learn_subwords(word_counts(spark, sf), MERGES)
+    return B.learn_subwords(word_counts(spark, sf))
 
 
 @query("subword_corpus")

@@ -107,6 +107,15 @@ def _runs(left: np.ndarray, right: np.ndarray, held: np.ndarray, wanted: np.ndar
     return sorted(out, key=lambda run: (-run[0], run[1], run[2]))
 
 
+def _word_by_word(left: Sequence[str], right: Sequence[str]) -> bool:
+    """Whether replacing words in place is the alignment with fewest edits, and leaves no
+    equal words without partner: so if those that differ have no word in common."""
+    if len(left) != len(right):
+        return False
+    differ = [(a, b) for a, b in zip(left, right, strict=True) if a != b]
+    return {a for a, _ in differ}.isdisjoint(b for _, b in differ)
+
+
 def move_blocks(hypothesis: Sequence[str], reference: Sequence[str]) -> tuple[list[str], list[list[str]]]:
     """The hypothesis after its block moves, and the words of each move.
 
@@ -116,7 +125,7 @@ def move_blocks(hypothesis: Sequence[str], reference: Sequence[str]) -> tuple[li
     the word edit distance; again until no move does.
     """
     words, moved = list(hypothesis), []
-    while True:
+    while not _word_by_word(words, reference):
         left, right = _numbers(words, reference)
         distance, held, wanted, before = align(left, right)
         for n, i, j in _runs(left, right, held, wanted):
@@ -130,4 +139,5 @@ def move_blocks(hypothesis: Sequence[str], reference: Sequence[str]) -> tuple[li
                 moved.append(run)
                 break
         else:
-            return words, moved
+            break
+    return words, moved

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import sys
+from collections import defaultdict
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
 
 import pandas as pd
 from pyspark import cloudpickle
@@ -33,6 +35,10 @@ MERGE_BATCH = 64
 MAX_BROADCAST_TOKENS = 500_000
 # Merge rounds between two writes of the word-type table.
 ROUNDS_PER_STAGE = 12
+# Pairs that the driver looks at in a round.
+LOOK = 20_000
+# Symbols of the words that one task merges on its own: bounds its memory.
+LOCAL_SYMBOLS = 2_000_000
 # Words remembered per task while segmenting.
 CACHE_WORDS = 200_000
 
@@ -61,8 +67,9 @@ def start_symbols(counts: DataFrame) -> DataFrame:
     return counts.select("token", "cnt", F.concat(F.array_join(chars, " "), F.lit(WORD_END)).alias("symbols"))
 
 
-def pair_counts(state: DataFrame) -> DataFrame:
-    """Adjacent symbol pairs weighted by word count."""
+def pair_counts(state: DataFrame, *more: Column) -> DataFrame:
+    """Adjacent symbol pairs weighted by word count; ``more`` aggregates of ``cnt`` and the
+    word's number of symbols, ``size``."""
     words = state.select("cnt", F.split("symbols", " ").alias("s"))
     pairs = F.arrays_zip(
         F.slice("s", F.lit(1), F.size("s") - 1).alias("l"),
@@ -70,9 +77,9 @@ def pair_counts(state: DataFrame) -> DataFrame:
     )
     return (
         words.filter(F.size("s") > 1)
-        .select("cnt", F.inline_outer(pairs).alias("left", "right"))
+        .select("cnt", F.size("s").alias("size"), F.inline_outer(pairs).alias("left", "right"))
         .groupBy("left", "right")
-        .agg(F.sum("cnt").alias("cnt"))
+        .agg(F.sum("cnt").alias("cnt"), *more)
     )
 
 
@@ -129,54 +136,202 @@ def _join_pairs(symbols: list[str], pairs: set[tuple[str, str]]) -> list[str]:
     return out
 
 
+class _Larger(tuple):
+    """A pair that comes first on a heap if it is the larger one."""
+
+    __slots__ = ()
+    __lt__ = tuple.__gt__
+
+
+class _Merger:
+    """Merges of some words, with the counts of their pairs kept up to date.
+
+    The words hold every occurrence of the pairs that are more frequent than
+    ``floor``; other pairs may also occur elsewhere, ``floor`` times at most.
+    """
+
+    def __init__(self, words: Sequence[str], counts: Sequence[int], floor: int, made: set[str]) -> None:
+        self.words, self.counts = [w.split(" ") for w in words], [int(c) for c in counts]
+        self.floor, self.made = floor, set(made)
+        self.totals: dict[tuple[str, str], int] = defaultdict(int)
+        self.holders: dict[tuple[str, str], set[int]] = defaultdict(set)
+        for i, word in enumerate(self.words):
+            for pair in zip(word, word[1:]):
+                self.totals[pair] += self.counts[i]
+                self.holders[pair].add(i)
+        self.heap = [(-n, _Larger(p)) for p, n in self.totals.items()]
+        heapify(self.heap)
+        # Symbols made once more: elsewhere they may stand beside the same symbols.
+        self.again: set[str] = set()
+        self.unsure: list[tuple[int, _Larger]] = []
+
+    def _best(self, heap: list[tuple[int, _Larger]]) -> tuple[int, tuple[str, str]] | None:
+        while heap:
+            count, pair = heap[0]
+            if self.totals.get(tuple(pair)) == -count:
+                return -count, tuple(pair)
+            heappop(heap)
+        return None
+
+    def next(self, min_count: int) -> tuple[str, str] | None:
+        """The pair to merge, if it is certain that no other one comes first."""
+        best = self._best(self.heap)
+        if best is None or best[0] <= self.floor or best[0] < min_count:
+            return None
+        unsure = self._best(self.unsure)
+        if unsure is not None and unsure[0] + self.floor >= best[0]:
+            return None
+        return best[1]
+
+    def merge(self, pair: tuple[str, str]) -> None:
+        """Join a pair in the words that hold it; only their pairs are counted anew."""
+        symbol = pair[0] + pair[1]
+        if symbol in self.made and self.floor > 0:
+            self.again.add(symbol)
+        self.made.add(symbol)
+        changed: dict[tuple[str, str], int] = defaultdict(int)
+        for i in self.holders.pop(pair):
+            old = self.words[i]
+            new = _join_pairs(old, {pair})
+            if len(new) == len(old):
+                continue  # the pair went with an earlier merge
+            self.words[i] = new
+            for p in zip(old, old[1:]):
+                changed[p] -= self.counts[i]
+            for p in zip(new, new[1:]):
+                changed[p] += self.counts[i]
+                self.holders[p].add(i)
+        for p, n in changed.items():
+            if n:
+                self._count(p, self.totals[p] + n)
+        self.totals.pop(pair, None)
+
+    def _count(self, pair: tuple[str, str], n: int) -> None:
+        if n <= 0:
+            self.totals.pop(pair, None)
+            return
+        self.totals[pair] = n
+        heappush(self.heap, (-n, _Larger(pair)))
+        if self.again and not self.again.isdisjoint(pair):
+            heappush(self.unsure, (-n, _Larger(pair)))
+
+
+_LOCAL = "rank int, left string, right string, token string, cnt bigint, symbols string"
+
+
+def _local_round(words: DataFrame, floor: int, min_count: int, most: int, made: set[str]) -> DataFrame:
+    """One task merges ``words`` (bounded by ``LOCAL_SYMBOLS``): rows of merges and of words."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("token")
+        merger = _Merger(group["symbols"], group["cnt"], floor, made)
+        out = []
+        while len(out) < most and (pair := merger.next(min_count)):
+            merger.merge(pair)
+            out.append((len(out), *pair, None, None, None))
+        out += [
+            (None, None, None, token, n, " ".join(w))
+            for token, n, w in zip(group["token"], merger.counts, merger.words, strict=True)
+        ]
+        columns = [c.split()[0] for c in _LOCAL.split(", ")]
+        return pd.DataFrame(out, columns=columns).astype({"rank": "Int32", "cnt": "Int64"})
+
+    return words.withColumn("_one", F.lit(0)).groupBy("_one").applyInPandas(run, _LOCAL)
+
+
+def _tracked(leading: Sequence, complete: bool, most: int, min_count: int) -> tuple[int, list]:
+    """The most frequent pairs whose words have ``most`` symbols together at most, and the
+    count that no other pair exceeds."""
+    load, n = 0, 0
+    while n < len(leading) and load + leading[n].load <= most:
+        load += leading[n].load
+        n += 1
+    if n == len(leading) and complete:
+        return min_count - 1, list(leading)
+    floor = leading[min(n, len(leading) - 1)].cnt
+    return floor, [row for row in leading[:n] if row.cnt > floor]
+
+
 def learn_subwords(
     counts: DataFrame,
     num_merges: int = NUM_MERGES,
     batch: int = MERGE_BATCH,
     min_count: int = MIN_PAIR_COUNT,
+    local_symbols: int = LOCAL_SYMBOLS,
 ) -> DataFrame:
     """Learn ``(rank, left, right)`` merges from word counts ``(token, cnt)``.
 
     Byte-pair encoding over word types (Sennrich et al. 2016), ties to the larger
-    pair.  A round merges as many of the leading pairs as leave the outcome
-    unchanged, up to ``batch``; ``batch=1`` is one merge per round.
-
-    The corpus is read once, for ``counts``.  A round is one aggregation over the
-    word-type table; words that are down to one symbol leave it.  The table is
-    written every few rounds to keep the lineage short.  The driver sees the
-    leading pairs only.
+    pair; the outcome does not depend on ``batch`` and ``local_symbols``.
+
+    The corpus is read once, for ``counts``; the driver sees leading pairs and merges.
+    Pairs are counted over the word-type table.  Where the words that hold the
+    leading pairs have at most ``local_symbols`` symbols, one task gets these words
+    and merges, keeping its pair counts up to date, until a pair that other words
+    may hold as often has its turn: the more merges have been made, the fewer words
+    hold a pair, and the more merges a round makes.  Where even the first pair is
+    in too many words, a distributed round merges up to ``batch`` leading pairs, as
+    many as leave the outcome unchanged.
     """
     spark = counts.sparkSession
     state = stage_table(spread(start_symbols(counts), "token"), "subword-state")
     pending: list[set[tuple[str, str]]] = []
     merges: list[tuple[str, str]] = []
     made: set[str] = set()
-    look = 4 * batch + 1
+    close = 4 * batch + 1
+    look = max(LOOK, close)
     while len(merges) < num_merges:
+        now = _apply_rounds(state, pending)
         leading = (
-            pair_counts(_apply_rounds(state, pending))
+            pair_counts(now, F.sum("size").alias("load"))
             .filter(F.col("cnt") >= min_count)
             .orderBy(F.desc("cnt"), F.desc("left"), F.desc("right"))
             .limit(look)
             .collect()
         )
-        chosen = _take_batch(
-            leading, min(batch, num_merges - len(merges)), made, len(leading) < look
-        )
-        if not chosen:
+        if not leading:
             break
-        merges.extend(chosen)
-        made.update(left + right for left, right in chosen)
-        pending.append(set(chosen))
-        if len(pending) == ROUNDS_PER_STAGE:
-            state = stage_table(
-                spread(_apply_rounds(state, pending), "token"), "subword-state"
-            )
-            pending = []
+        symbols = now.agg(F.sum(F.size(F.split("symbols", " ")))).first()[0]
+        whole = symbols <= local_symbols
+        floor, tracked = _tracked(leading, len(leading) < look, local_symbols, min_count)
+        if whole or tracked:
+            if pending:
+                state, pending = stage_table(spread(now, "token"), "subword-state"), []
+            touched = state if whole else _holding(state, [(row.left, row.right) for row in tracked])
+            most = num_merges - len(merges)
+            floor = 0 if whole else floor
+            done = stage_table(_local_round(touched.select("token", "cnt", "symbols"), floor, min_count, most, made), "merged")
+            new = [(r.left, r.right) for r in done.filter("rank is not null").orderBy("rank").collect()]
+            if whole:
+                merges.extend(new)
+                break
+            words = done.filter("rank is null").select("token", "cnt", "symbols")
+            rest = state.join(words.select("token"), "token", "left_anti")
+            joined = rest.select("token", "cnt", "symbols").union(words.filter(F.col("symbols").contains(" ")))
+            state = stage_table(spread(joined, "token"), "subword-state")
+        else:
+            new = _take_batch(leading[:close], min(batch, num_merges - len(merges)), made, len(leading) < close)
+            pending.append(set(new))
+            if len(pending) == ROUNDS_PER_STAGE:
+                state, pending = stage_table(spread(_apply_rounds(state, pending), "token"), "subword-state"), []
+        merges.extend(new)
+        made.update(left + right for left, right in new)
     rows = [(rank, left, right) for rank, (left, right) in enumerate(merges)]
     return spark.createDataFrame(rows, "rank int, left string, right string")
 
 
+def _holding(state: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
+    """The words that hold one of the pairs (at most ``LOOK`` of them)."""
+    wanted = state.sparkSession.createDataFrame(pairs, "left string, right string")
+    s = F.split("symbols", " ")
+    zipped = F.arrays_zip(
+        F.slice(s, F.lit(1), F.size(s) - 1).alias("l"), F.slice(s, F.lit(2), F.size(s) - 1).alias("r")
+    )
+    held = state.filter(F.size(s) > 1).select("token", F.inline_outer(zipped).alias("left", "right"))
+    found = held.join(F.broadcast(wanted), ["left", "right"], "left_semi").select("token").distinct()
+    return state.join(found, "token", "left_semi")
+
+
 def _apply_rounds(state: DataFrame, rounds: list[set[tuple[str, str]]]) -> DataFrame:
     """The word-type table after some rounds of merges, one-symbol words left out."""
     if not rounds:

@@ -38,18 +38,57 @@ def brute_merges(words, n):
     return out
 
 
-@pytest.mark.parametrize("batch", [1, 40])
-def test_learn_matches_published_algorithm(spark, batch):
-    rng = random.Random(4)
-    words = Counter()
-    for _ in range(150):
-        words["".join(rng.choice("aabcé") for _ in range(rng.randint(1, 8)))] += rng.randint(1, 60)
+def random_words(seed, letters="aabcé", words=150, most=60):
+    rng, out = random.Random(seed), Counter()
+    for _ in range(words):
+        out["".join(rng.choice(letters) for _ in range(rng.randint(1, 8)))] += rng.randint(1, most)
+    return out
+
+
+@pytest.mark.parametrize(("batch", "local"), [(1, 0), (40, 0), (40, 120), (40, 400), (40, 10**6)])
+def test_learn_matches_published_algorithm(spark, batch, local):
+    """Rounds over all words, rounds over the words of the leading pairs, and all at once."""
+    words = random_words(4)
     df = spark.createDataFrame(list(words.items()), "token string, cnt bigint")
     n = 8 if batch == 1 else 40
-    got = [(r.left, r.right) for r in V.learn_subwords(df, n, batch).orderBy("rank").collect()]
+    got = [(r.left, r.right) for r in V.learn_subwords(df, n, batch, local_symbols=local).orderBy("rank").collect()]
     assert got == brute_merges(words, n)
 
 
+def test_learn_until_no_pair_is_left(spark):
+    words = random_words(6, "abcdefgh", 300, 9)
+    df = spark.createDataFrame(list(words.items()), "token string, cnt bigint")
+    got = [(r.left, r.right) for r in V.learn_subwords(df).orderBy("rank").collect()]
+    assert got == brute_merges(words, 10**6) and len(got) > 300
+
+
+@pytest.mark.parametrize("share", [0.3, 0.6, 0.9])
+def test_rounds_with_part_of_the_words(share):
+    """A round on the words of the leading pairs makes merges of the whole, and at least one."""
+    for seed in range(60):
+        words = random_words(seed, "aab" if seed % 2 else "abcde", 60, 12)
+        state = {w: " ".join([*w[:-1], w[-1] + V.WORD_END]) for w in words}
+        want, made, done = brute_merges(words, 10**6), set(), 0
+        while done < len(want):
+            totals = Counter()
+            for w, s in state.items():
+                symbols = s.split(" ")
+                for p in zip(symbols, symbols[1:]):
+                    totals[p] += words[w]
+            ranked = sorted(totals.values(), reverse=True)
+            floor = min(ranked[int(len(ranked) * share * 0.5)], ranked[0] - 1)
+            held = [w for w, s in state.items() if any(totals[p] > floor for p in zip(s.split(" "), s.split(" ")[1:]))]
+            merger = V._Merger([state[w] for w in held], [words[w] for w in held], floor, made)
+            new = []
+            while pair := merger.next(2):
+                merger.merge(pair)
+                new.append(pair)
+            assert new and new == want[done : done + len(new)], (seed, done)
+            done += len(new)
+            made |= {a + b for a, b in new}
+            state.update(zip(held, [" ".join(s) for s in merger.words], strict=True))
+
+
 def test_apply_and_join_back(spark):
     merges = spark.createDataFrame(
         [(0, "l", "o"), (1, "lo", "w</w>"), (2, "a", "a")], "rank int, left string, right string"
