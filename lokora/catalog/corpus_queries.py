@@ -199,7 +199,7 @@ def _context_sql(value: str) -> str:
 
 
 def _context(spark: SparkSession, sf: str, cxt_type: str) -> DataFrame:
-    rows = add_context(V.stored_entries(spark, sf), cxt_type)
+    rows = add_context(V.entries(spark, sf), cxt_type)
     return rows.select("filepath", "pos", "cxt_src", "cxt_tgt")
 
 
@@ -223,7 +223,7 @@ def filename_context(spark: SparkSession, sf: str) -> DataFrame:
     WITH_ENTRIES + " select filepath, pos, repo || '## ' || src as full_src, repo || '## ' || tgt as full_tgt from entries",
 )
 def contextual_sides(spark: SparkSession, sf: str) -> DataFrame:
-    rows = add_context(V.stored_entries(spark, sf), "domain")
+    rows = add_context(V.entries(spark, sf), "domain")
     return rows.select(
         "filepath",
         "pos",
@@ -290,7 +290,7 @@ def group_offsets(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("corpus_order", ORDERED_SQL + " select row_id, repo, filepath, pos from ordered")
 def corpus_order(spark: SparkSession, sf: str) -> DataFrame:
-    rows = V.stored_entries(spark, sf).select("repo", "filepath", "pos")
+    rows = V.entries(spark, sf).select("repo", "filepath", "pos")
     return global_index(rows, ORDER)
 
 
@@ -299,7 +299,7 @@ def corpus_order(spark: SparkSession, sf: str) -> DataFrame:
     WITH_ENTRIES + " select repo, filepath, pos, src from entries order by repo, filepath, pos limit 10",
 )
 def first_rows(spark: SparkSession, sf: str) -> DataFrame:
-    rows = V.stored_entries(spark, sf).select("repo", "filepath", "pos", "src")
+    rows = V.entries(spark, sf).select("repo", "filepath", "pos", "src")
     return S.first_rows(rows, ORDER, 10)
 
 
@@ -362,7 +362,7 @@ def rows_by_id_list(spark: SparkSession, sf: str) -> DataFrame:
     WITH_ENTRIES + " select filepath, pos, src, tgt from entries where repo = 'src7/r0'",
 )
 def repository_rows(spark: SparkSession, sf: str) -> DataFrame:
-    return S.rows_of_repo(V.stored_entries(spark, sf), "src7/r0").select("filepath", "pos", "src", "tgt")
+    return S.rows_of_repo(V.entries(spark, sf), "src7/r0").select("filepath", "pos", "src", "tgt")
 
 
 # --- Overlap and pair location -----------------------------------------------

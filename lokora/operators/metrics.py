@@ -20,7 +20,7 @@ SCORE_DIGITS = 4
 # ---------------------------------------------------------------------------
 
 # Each band is four times as wide: the cost is about the distance times the length.
-EDIT_BANDS = (32, 128, 512, 2048, 8192)
+EDIT_BANDS = (16, 64, 256, 1024, 4096, 16384)
 
 
 def align_hypotheses(
