@@ -113,9 +113,8 @@ def url_stream_distinct(spark: SparkSession, sf: str) -> DataFrame:
     source, out, state = (stage_path(spark, n) for n in ("hit-stream", "url-table", "url-state"))
     hits = V.hits(spark, sf).drop("page_id")
     hits.unionByName(hits).repartition(4).write.json(source)
-    urls = H.stream_hits(spark, source, distinct=True, max_files=2)
-    H.write_url_stream(urls, out, state).awaitTermination()
-    return spark.read.schema("url string").parquet(out)
+    H.write_new_urls(H.stream_hits(spark, source, max_files=2), out, state).awaitTermination()
+    return H.read_new_urls(spark, out).select("url")
 
 
 @query(

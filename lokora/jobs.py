@@ -24,13 +24,14 @@ from lokora.plans.subwords import joint_merges, with_subwords
 from lokora.session import stage_table, tune
 from lokora.sinks import writers as W
 from lokora.sources.lines import ENTRY_COLUMNS, read_hits, read_hypotheses
-from lokora.streaming.hits import hits_to_urls, stream_hits, write_url_stream
+from lokora.streaming.hits import hits_to_urls, stream_hits, write_new_urls, write_url_stream
 
 
 def urls(spark: SparkSession, args: argparse.Namespace) -> None:
     """Hits to raw PO-file URLs, as a batch or as a stream."""
     if args.checkpoint:
-        write_url_stream(stream_hits(spark, args.hits, args.lang), args.out, args.checkpoint).awaitTermination()
+        write = write_new_urls if args.distinct else write_url_stream
+        write(stream_hits(spark, args.hits, args.lang), args.out, args.checkpoint).awaitTermination()
     else:
         hits_to_urls(read_hits(spark, args.hits), args.lang).write.mode("overwrite").parquet(args.out)
 
@@ -139,7 +140,7 @@ def parser() -> argparse.ArgumentParser:
     need = {"required": True}
     langs = [("--src_lang", {"default": "en"}), ("--tgt_lang", {"default": "de"})]
     step(urls, ("--hits", need), ("--out", need), ("--lang", {"default": None}),
-         ("--checkpoint", {"default": None}))
+         ("--checkpoint", {"default": None}), ("--distinct", {"action": "store_true"}))
     step(extract, ("--root", need), ("--out", need),
          ("--repo_pattern", {"default": r"\A([^/]+/[^/]+)/"}),
          ("--max_bytes", {"type": int, "default": 64 * 1024 * 1024}),

@@ -31,8 +31,8 @@ MIN_PAIR_COUNT = 2
 MERGE_BATCH = 64
 # ---------------------------------------------------------------------------
 
-# A dictionary up to this many tokens is broadcast; a larger one is joined.
-MAX_BROADCAST_TOKENS = 500_000
+# A dictionary up to this many bytes is broadcast; a larger one is joined.
+MAX_BROADCAST_BYTES = 16 << 20
 # Merge rounds between two writes of the word-type table.
 ROUNDS_PER_STAGE = 12
 # Pairs that the driver looks at in a round.
@@ -406,7 +406,7 @@ def encode_corpus(
     key: Sequence[str],
     out: str = "ids",
     eos: bool = False,
-    max_broadcast: int = MAX_BROADCAST_TOKENS,
+    max_broadcast: int = MAX_BROADCAST_BYTES,
 ) -> DataFrame:
     """Token ids in order, per row of ``df`` (``key`` is its unique key).
 

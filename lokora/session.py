@@ -98,12 +98,18 @@ def stage_table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
-    """Hint a broadcast only after counting that ``df`` has at most ``max_rows``.
+def broadcast_if_small(df: DataFrame, max_bytes: int) -> DataFrame:
+    """Hint a broadcast only after measuring that ``df`` has at most ``max_bytes``.
 
     Otherwise the frame is returned as it is, and the join shuffles.
     """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+    # A field takes a word of a row, and a text its bytes beside it.
+    size = F.lit(8 * len(df.columns))
+    for name, kind in df.dtypes:
+        if kind in ("string", "binary"):
+            size = size + F.coalesce(F.octet_length(name), F.lit(0))
+    measured = df.agg(F.sum(size.cast("long"))).first()[0] or 0
+    return F.broadcast(df) if measured <= max_bytes else df
 
 
 def spread(df: DataFrame, *key: str) -> DataFrame:
