@@ -344,7 +344,7 @@ def rows_without_ids(spark: SparkSession, sf: str) -> DataFrame:
     f"""with {V.ENTRIES_SQL}, ids as (
       select doc_id * 7 as ord, doc_id as file_ord, quality as pos from labels
       union all select doc_id * 7 + 1 as ord, doc_id as file_ord, 0 as pos from labels)
-    select ord, file_ord, pos, src, tgt from ids join entries using (file_ord, pos)""",
+    select ord, file_ord, cast(pos as bigint) as pos, src, tgt from ids join entries using (file_ord, pos)""",
 )
 def rows_by_id_list(spark: SparkSession, sf: str) -> DataFrame:
     """Rows picked by a list of ids, in list order, repeats included."""
