@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from lokora.llm import groupjoin
-from tests.llm.test_duplicates import brute_components, edited_star, frame, near_copies, set_of
+from .test_duplicates import brute_components, edited_star, frame, near_copies, set_of
 
 
 def found(df, width, percent):
