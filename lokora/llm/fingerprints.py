@@ -25,7 +25,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lokora.llm.common import mix, partitions, pick, stage
-from lokora.llm.neardup import full_sets, shingle_set
+from lokora.llm.neardup import full_sets
+from lokora.llm.shingles import shingle_set
 
 PERMUTATIONS, WIDTH = 128, 5
 BANDS = 16

@@ -41,13 +41,11 @@ from pyspark.sql import functions as F
 
 from lokora.llm.common import mix, partitions, pick, signed, stage, stage_bucketed
 from lokora.llm.components import components
-from lokora.llm.neardup import shingle_set
+from lokora.llm.shingles import shared_tokens, shingle_set, wanted_sets
 
 # Counters of the token order, in slices: a table of this size goes through the driver.
 BUCKETS = 1 << 20
 SLICE = 1 << 14
-# Bits that tell which documents' sets are asked for; more documents only pass needlessly.
-FILTER_BITS = 1 << 24
 # Prefix tokens that two similar sets share at least.
 DEPTH = 4
 KEYS, BANDS, LEAST_KEYS = 8, 4, 4
@@ -55,8 +53,6 @@ KEYS, BANDS, LEAST_KEYS = 8, 4, 4
 OPENED = 16
 # Members, and tokens of their sets, that a block of a cell holds on average.
 BLOCK_ROWS, BLOCK_TOKENS = 1024, 1 << 18
-# Tokens that are columns of a matrix at once.
-COLUMNS = 4096
 
 _rng = np.random.default_rng(13)
 MULTIPLY = _rng.integers(1, 2**63, KEYS, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -152,37 +148,6 @@ def prefixes(rows: DataFrame, width: int, percent: int, counts: np.ndarray) -> D
     return rows.mapInPandas(cut, "hi long, lo long, tokens array<long>")
 
 
-def place(doc_id: str, version: str) -> Column:
-    return F.pmod(F.xxhash64(F.col(doc_id), F.col(version)), F.lit(FILTER_BITS))
-
-
-def wanted_sets(rows: DataFrame, width: int, wanted: DataFrame) -> DataFrame:
-    """``(rep, shingles)`` of the classes ``wanted(hi, lo, rep, first)``.
-
-    A table of bits tells which documents may be asked for, so that the others'
-    texts are neither read as sets nor moved.
-    """
-    at = wanted.select(place("first.doc_id", "first.version").alias("at"))
-    words = at.groupBy(F.expr("int(at div 64)").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, int(at % 64))")).alias("bits"))
-    bits = np.zeros(FILTER_BITS // 64, np.int64)
-    held = words.toPandas()
-    bits[held["word"].to_numpy()] = held["bits"].to_numpy()
-    shared = rows.sparkSession.sparkContext.broadcast(bits)
-
-    def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            where = batch["at"].to_numpy()
-            out = []
-            for k in np.flatnonzero((shared.value[where // 64] >> (where % 64)) & 1):
-                tokens = shingle_set(batch["text"].iloc[k], width)
-                digest = np.frombuffer(xxhash.xxh3_128_digest(tokens.tobytes()), np.int64)
-                out.append((*digest, signed(tokens)))
-            yield pd.DataFrame(out, columns=["hi", "lo", "shingles"])
-
-    found = rows.select(place("doc_id", "version").alias("at"), "text").mapInPandas(sets, "hi long, lo long, shingles array<long>")
-    return found.join(wanted.select("hi", "lo", "rep"), ["hi", "lo"]).select("rep", "shingles").dropDuplicates(["rep"])
-
-
 class _Links:
     """The classes connected so far, by links that are confirmed on full sets."""
 
@@ -371,21 +336,3 @@ def _comparer(percent: int):
         return pd.DataFrame({"a": found[:, 0], "b": found[:, 1]})
 
     return compare
-
-
-def shared_tokens(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """How many tokens each of the sets ``left`` shares with each of the sets ``right``."""
-    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    tokens, column, held = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    # A token that one set holds is shared with nobody.
-    column = np.where(held > 1, np.cumsum(held > 1) - 1, -1)[column]
-    row, column = row[column >= 0], column[column >= 0]
-    order = np.argsort(column, kind="stable")
-    row, column = row[order], column[order]
-    total = np.zeros((len(left), len(right)), np.int64)
-    for start in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
-        a, b = np.searchsorted(column, [start, start + COLUMNS])
-        has = np.zeros((len(sets), COLUMNS), np.float32)
-        has[row[a:b], column[a:b] - start] = 1
-        total += (has[left] @ has[right].T).astype(np.int64)
-    return total

@@ -2,22 +2,23 @@
 
 A document is the set of its word shingles.  Equal sets are one class from the
 start; everything below works on one row per class.  Each of ``trees`` trees
-puts the classes into nodes by one minwise token.  A node of at most ``LEAF``
-classes is compared exhaustively; a larger one is compared with its pivot (the
-class of most copies), and its members branch on: each into ``BRANCHES`` child
-nodes, by minwise tokens that the path so far selects.  A pair of similarity s
-meets in a tree with a chance of about s, so that 12 trees miss a pair at 0.85
-once in some 10**9.  Nodes that stay large after ``DEPTH`` levels, and nodes with
-few members outside their largest component, do not branch on but are finished:
-compared until all pairs of different components have met.
+puts the classes into nodes by one minwise token.  All pairs of a node of at most
+``LEAF`` classes are compared; the members of a larger one are compared with its pivot
+(the class of most copies), and branch on if the node still holds several components:
+each into ``BRANCHES`` child nodes, by minwise tokens that the path so far selects.
+A pair of similarity 0.8 meets in a tree with a chance of about 0.74 after two
+levels, 0.8 before, so that 8 trees miss it once in 40 000 times, and
+one at 0.85 once in 640 000.  Nodes that stay large are compared in whole: whoever is
+outside the largest component with all others, in cells of bounded size, the
+first tree's before those of the others, which leave out what met there.
 
 Comparing is cheap first (sizes, 128-bit minwise sketches at almost five
 deviations below the threshold) and exact then: links are confirmed on full
 sets.  Links only matter between documents that are not connected yet.  So the
 best partner of every class is tested first and components are joined; only then
-are the other pairs tested whose ends are still in different components, and
-nodes and branches within one component are dropped.  A large group of mutual near copies thereby
-costs a few tests a member instead of all pairs.
+are other pairs tested whose ends are still in different components, and
+nodes within one component are dropped.  A large group of mutual near copies thereby
+costs a few tests a member instead of all pairs, and a cell gives out links alone.
 
 Defined cases: documents without words, or with a null text, have an empty set
 and are linked with nothing.  Fewer words than a shingle make one shingle of
@@ -37,54 +38,27 @@ from pyspark.sql import functions as F
 
 from lokora.llm.common import Rows, mix, pick, signed, stage, stage_bucketed
 from lokora.llm.components import components
+from lokora.llm.shingles import shared_tokens, shingle_set, wanted_sets
 
 SKETCH_BITS = 128
 MINWISE = 64  # tokens kept to choose paths by
-TREES, BRANCHES, DEPTH = 12, 3, 4
+TREES, BRANCHES, DEPTH = 8, 2, 2
 LEAF = 24
-PIVOT_BLOCK = 1024  # members, and pivots, of a large node that one task compares
+# Members of a block of a cell that compares sketches, and how many are taken at once.
+SKETCH_BLOCK, SKETCH_STEP = 8192, 256
+# Members, and tokens of their sets, that a block of a cell of full sets holds on average.
+BLOCK_ROWS, BLOCK_TOKENS = 1024, 1 << 18
+SINGLE_PAIRS = 20_000  # pairs of a cell that are intersected one by one; more by a matrix product
 DEVIATIONS = 4.7
-REMEMBERED_WORDS = 150_000
 
 _rng = np.random.default_rng(20240607)
 MULTIPLY = _rng.integers(1, 2**63, SKETCH_BITS, np.uint64) * np.uint64(2) + np.uint64(1)
 ADD = _rng.integers(0, 2**63, SKETCH_BITS, np.uint64)
-POSITION = _rng.integers(1, 2**63, 16, np.uint64) * np.uint64(2) + np.uint64(1)
 BLOCK = 8192  # shingles hashed at once by all functions
 
 PROFILE = "doc_id long, version long, n_shingles long, hi long, lo long, mins array<int>, s1 long, s2 long"
 
 
-class _WordHashes(dict):
-    """64-bit hash by word; emptied when it has grown too large."""
-
-    def __missing__(self, word: bytes) -> int:
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
-_hashes = _WordHashes()
-
-
-def shingle_set(text: str | None, width: int) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the word shingles of a whole text.
-
-    Words are runs of anything but ASCII white space; A-Z are lower-cased.
-    """
-    words = text.encode("utf-8").lower().split() if text else []
-    if not words:
-        return np.zeros(0, np.uint64)
-    if len(_hashes) > REMEMBERED_WORDS:
-        _hashes.clear()
-    hashed = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
-    n = max(1, len(words) - width + 1)
-    used = min(width, len(words))
-    shingles = np.full(n, used, np.uint64)
-    for k in range(used):
-        shingles = mix(shingles * POSITION[k] + hashed[k : k + n])
-    return np.unique(shingles)
-
-
 def minwise(shingles: np.ndarray) -> np.ndarray:
     """The least value of each of ``SKETCH_BITS`` hash functions over a set."""
     least = np.full(SKETCH_BITS, 2**64 - 1, np.uint64)
@@ -130,19 +104,20 @@ def full_sets(docs: DataFrame, width: int) -> DataFrame:
 
 
 def _nodes(rows: DataFrame) -> DataFrame:
-    """Members of the nodes that hold several components, with size and pivot."""
+    """``rows`` of the nodes that hold several components, with the node's size and pivot."""
+    pivot = F.struct(*[F.col(c).alias(f"p_{c}") for c in ("rep", "label", "n_shingles", "s1", "s2")])
     sizes = (
         rows.groupBy("path")
         .agg(
             F.count(F.lit(1)).alias("size"),
-            F.max_by("rep", "copies").alias("pivot"),
+            F.max_by(pivot, F.struct("copies", F.xxhash64("path", "rep"))).alias("pivot"),
             F.min("label").alias("_low"),
             F.max("label").alias("_high"),
         )
         .filter("_low <> _high")
-        .select("path", "size", "pivot")
+        .select("path", "size", "pivot.*")
     )
-    return stage(rows.select("path", "tree", "rep").join(sizes, "path"), "nodes")
+    return stage(rows.join(sizes, "path"), "nodes")
 
 
 class _Search:
@@ -157,50 +132,44 @@ class _Search:
         cut = SKETCH_BITS * agree - DEVIATIONS * (SKETCH_BITS * agree * (1 - agree)) ** 0.5
         self.most_bits = SKETCH_BITS - int(cut)
 
-    def _alike(self, a: str, b: str) -> Column:
-        return F.expr(
-            f"{a}.label <> {b}.label"
-            f" and 100 * least({a}.n_shingles, {b}.n_shingles) >= {self.percent} * greatest({a}.n_shingles, {b}.n_shingles)"
-            f" and bit_count({a}.s1 ^ {b}.s1) + bit_count({a}.s2 ^ {b}.s2) <= {self.most_bits}"
-        )
-
-    def candidates(self, nodes: DataFrame, known: DataFrame) -> DataFrame:
-        """``(a, b, bits, la, lb)``: pairs of different components that may be links.
+    def candidates(self, nodes: DataFrame) -> DataFrame:
+        """``(a, b, bits, every)``: pairs of different components that may be links.
 
-        ``known`` has size, sketch and label of each class.
+        All of small nodes (``every``), and each member of a large one with its pivot.
         """
-        members = nodes.join(known, "rep")
-        small = members.filter(f"size <= {LEAF}")
-        within = small.alias("x").join(
-            small.alias("y"), F.expr("x.path = y.path and x.rep < y.rep") & self._alike("x", "y")
-        )
-        large = members.filter(f"size > {LEAF} and rep <> pivot")
-        to_pivot = large.alias("x").join(
-            known.alias("y"), (F.col("x.pivot") == F.col("y.rep")) & self._alike("x", "y")
+        near = (
+            "{0} <> {1} and 100 * least({2}, {3}) >= " + str(self.percent) + " * greatest({2}, {3})"
+            " and bit_count({4} ^ {5}) + bit_count({6} ^ {7}) <= " + str(self.most_bits)
         )
-        bits = F.expr("bit_count(x.s1 ^ y.s1) + bit_count(x.s2 ^ y.s2)").alias("bits")
-        ends = ["x.rep as a", "y.rep as b", "x.label as la", "y.label as lb"]
-        pairs = within.select(*map(F.expr, ends), bits).union(to_pivot.select(*map(F.expr, ends), bits))
-        smaller = F.col("a") < F.col("b")
-        ordered = pairs.select(
-            F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "bits",
-            F.when(smaller, F.col("la")).otherwise(F.col("lb")).alias("la"),
-            F.when(smaller, F.col("lb")).otherwise(F.col("la")).alias("lb"),
+        bits = "bit_count({0} ^ {1}) + bit_count({2} ^ {3}) as bits"
+        small = nodes.filter(f"size <= {LEAF}").select("path", "rep", "label", "n_shingles", "s1", "s2")
+        alike = near.format("x.label", "y.label", "x.n_shingles", "y.n_shingles", "x.s1", "y.s1", "x.s2", "y.s2")
+        within = small.alias("x").join(small.alias("y"), F.expr(f"x.path = y.path and x.rep < y.rep and {alike}"))
+        within = within.selectExpr("x.rep as a", "y.rep as b", bits.format("x.s1", "y.s1", "x.s2", "y.s2"), "true as every")
+        alike = near.format("label", "p_label", "n_shingles", "p_n_shingles", "s1", "p_s1", "s2", "p_s2")
+        to_pivot = nodes.filter(f"size > {LEAF} and {alike}").selectExpr(
+            "least(rep, p_rep) as a", "greatest(rep, p_rep) as b", bits.format("s1", "p_s1", "s2", "p_s2"), "false as every"
         )
-        return stage(ordered.distinct(), "candidates")
+        pairs = within.union(to_pivot).groupBy("a", "b")
+        return stage(pairs.agg(F.min("bits").alias("bits"), F.max("every").alias("every")), "candidates")
 
     def apart(self, pairs: DataFrame) -> DataFrame:
         """Pairs not tested yet whose ends are in different components by now."""
         if self.tested is not None:
             pairs = pairs.join(self.tested, ["a", "b"], "left_anti")
         for end in ("a", "b"):
-            pairs = pairs.drop(f"l{end}").join(
-                self.labels.select(F.col("rep").alias(end), F.col("label").alias(f"l{end}")), end
-            )
+            pairs = pairs.join(self.labels.select(F.col("rep").alias(end), F.col("label").alias(f"l{end}")), end)
         return pairs.filter("la <> lb")
 
-    def connect(self, pairs: DataFrame, sets: DataFrame) -> None:
-        """Test ``(a, b, la, lb)`` on full sets, and join the components of links."""
+    def test(self, pairs: DataFrame, sets: DataFrame) -> None:
+        """Test candidates on full sets: the best of each class first, then, as far as they
+        are still apart, all of small nodes and the next best of each other class."""
+        self._confirm(self.apart(best_partners(pairs)), sets)
+        left = stage(self.apart(pairs), "apart")
+        best = best_partners(left.filter("not every"))
+        self._confirm(self.apart(left.filter("every").select("a", "b").union(best).distinct()), sets)
+
+    def _confirm(self, pairs: DataFrame, sets: DataFrame) -> None:
         pairs = stage(pairs.select("a", "b", "la", "lb"), "pairs")
         if pairs.isEmpty():
             return
@@ -211,102 +180,132 @@ class _Search:
         shared = F.size(F.array_intersect("_a", "_b"))
         total = F.size("_a") + F.size("_b")
         links = pairs.join(left, "a").join(right, "b").filter(shared * (100 + self.percent) >= total * self.percent)
-        new = components(links.select(F.col("la").alias("a"), F.col("lb").alias("b")))
-        new = new.select(F.col("label").alias("_new"), F.col("node").alias("label"))
+        self.connect(links.select(F.col("la").alias("a"), F.col("lb").alias("b")))
+
+    def connect(self, links: DataFrame) -> None:
+        """Join the components of labels ``(a, b)``."""
+        new = components(links).select(F.col("label").alias("_new"), F.col("node").alias("label"))
         moved = self.labels.join(new, "label", "left")
         self.labels = stage(moved.select("rep", F.coalesce("_new", "label").alias("label")), "labels")
 
+    def alive(self, nodes: DataFrame) -> DataFrame:
+        """Members of the large nodes that still hold several components: their place in the
+        trees, and label."""
+        large = nodes.filter(f"size > {LEAF}").select("path", "tree", "first", "rep").join(self.labels, "rep")
+        several = large.groupBy("path").agg(F.min("label").alias("_low"), F.max("label").alias("_high"))
+        return stage(large.join(several.filter("_low <> _high").select("path"), "path"), "alive")
 
-    def open_nodes(self, nodes: DataFrame) -> DataFrame:
-        """``(path, size, open, anchor)`` of the nodes ``(path, rep)`` that hold several
-        components: how many members are outside the largest one, and a class in it."""
-        each = nodes.join(self.labels, "rep").groupBy("path", "label").agg(F.count(F.lit(1)).alias("n"))
-        found = each.groupBy("path").agg(
-            F.sum("n").alias("size"), (F.sum("n") - F.max("n")).alias("open"), F.max_by("label", "n").alias("anchor")
-        )
-        return stage(found.filter("open > 0"), "open-nodes")
-
-    def finish(self, nodes: DataFrame, plan: DataFrame, sets: DataFrame, first_only: bool = False) -> None:
-        """Compare the nodes ``(path, rep)`` of ``plan`` until none of their links is missed.
+    def compare(self, nodes: DataFrame, done: DataFrame | None, sets: DataFrame) -> None:
+        """Compare all members of different components in the nodes ``(path, rep)``.
 
-        Members take turns as pivots against their whole node, ``LEAF`` of them first
-        and sixteen times as many each turn, beside the member most like the rest.  From
-        the second turn on, the largest component's members are no pivots any more: it
-        only grows, and all others meet it in their own turn.  Of two members that end
-        in different components, one has thus been compared with the other.
+        Whoever is outside the largest component of its node is compared with all others:
+        in cells of two blocks, by sketches first, then those with a similar sketch on full
+        sets.  Only links come out of a cell.  ``done(rep, done)``: classes of the same
+        ``done`` have been compared before.
         """
-        sketches = self.classes.select("rep", "n_shingles", "s1", "s2")
-        done, upto = 0, LEAF
-        while not plan.isEmpty():
-            main = self.labels.select(F.col("rep").alias("anchor"), F.col("label").alias("main"))
-            known = nodes.select("path", "rep").join(plan.join(main, "anchor"), "path")
-            known = known.join(self.labels, "rep").join(sketches, "rep")
-            free = f"(label <> main or ({done} = 0 and open > {LEAF}))"
-            now = stage(
-                known.withColumn("free", F.expr(free))
-                .withColumn("turn", F.expr("pmod(xxhash64(rep, 11), 1048576) / 1048576D * open"))
-                .withColumn("blocks", F.expr(f"cast(ceil(size / {PIVOT_BLOCK}) as int)")),
-                "finish",
-            )
-            hubs = _hubs(now.filter(f"free and open > {LEAF}"))
-            pivots = now.join(hubs, "path", "left").filter(f"free and (turn >= {done} and turn < {upto} or rep <=> hub)")
-            spread = max(1, upto // PIVOT_BLOCK)
-            x = now.withColumn("m", F.expr("int(pmod(xxhash64(rep, 5), blocks))")).withColumn(
-                "p", F.explode(F.sequence(F.lit(0), F.lit(spread - 1)))
-            )
-            y = pivots.withColumn("p", F.expr(f"int(pmod(xxhash64(rep, 3), {spread}))")).withColumn(
-                "m", F.explode(F.expr("sequence(0, blocks - 1)"))
-            )
-            met = x.alias("x").join(
-                y.alias("y"), F.expr("x.path = y.path and x.m = y.m and x.p = y.p") & self._alike("x", "y")
-            )
-            bits = F.expr("bit_count(x.s1 ^ y.s1) + bit_count(x.s2 ^ y.s2)").alias("bits")
-            pairs = met.select(F.expr("least(x.rep, y.rep) as a"), F.expr("greatest(x.rep, y.rep) as b"), bits)
-            pairs = stage(pairs.distinct(), "finish-pairs")
-            self.connect(self.apart(best_partners(pairs)), sets)
-            self.connect(self.apart(pairs), sets)
-            if first_only:
-                return
-            left = plan.filter(f"open > {upto}")
-            several = self.open_nodes(nodes.select("path", "rep").join(left.select("path"), "path"))
-            anchor = F.col("_top") if done == 0 else F.col("anchor")
-            several = several.select("path", F.col("anchor").alias("_top"))
-            plan = stage(left.join(several, "path").select("path", "size", "open", anchor.alias("anchor")), "plan")
-            done, upto = upto, upto * 16
-
-
-def _hubs(rows: DataFrame) -> DataFrame:
-    """Of each node, the member whose sketch is nearest to the bits that most members have."""
-    counts = [
-        F.expr(f"sum(shiftrightunsigned({s}, {k}) & 1L)").alias(f"{s}_{k}")
-        for s in ("s1", "s2")
-        for k in range(SKETCH_BITS // 2)
-    ]
-    sums = rows.groupBy("path").agg(F.count(F.lit(1)).alias("_n"), *counts)
-    words = [
-        F.expr(" | ".join(f"shiftleft(bigint(2 * {s}_{k} > _n), {k})" for k in range(SKETCH_BITS // 2))).alias(f"_{s}")
-        for s in ("s1", "s2")
-    ]
-    usual = sums.select("path", *words)
-    away = F.expr("bit_count(s1 ^ _s1) + bit_count(s2 ^ _s2)")
-    return rows.join(usual, "path").groupBy("path").agg(F.min_by("rep", away).alias("hub"))
+        rows = nodes.select("path", "rep").join(self.labels, "rep")
+        rows = rows.join(self.classes.select("rep", "n_shingles", "s1", "s2"), "rep")
+        own = F.xxhash64("rep", F.lit(99))
+        if done is not None:
+            rows = rows.join(done, "rep", "left").withColumn("done", F.coalesce("done", own))
+        else:
+            rows = rows.withColumn("done", own)
+        rows = stage(rows, "compare")
+        cells = _cells(rows, SKETCH_BLOCK, None)
+        near = cells.groupBy("path", "i", "j").applyInPandas(_near_rows(self.percent, self.most_bits), "path long, rep long")
+        near = rows.join(stage(near, "near-rows").distinct(), ["path", "rep"])
+        cells = stage(_cells(near, BLOCK_ROWS, BLOCK_TOKENS), "cells").join(sets, "rep")
+        links = cells.groupBy("path", "i", "j").applyInPandas(_linked_rows(self.percent, self.most_bits), "a long, b long")
+        self.connect(stage(links, "cell-links"))
+
+
+def _cells(rows: DataFrame, most_rows: int, most_tokens: int | None) -> DataFrame:
+    """``rows`` dealt to cells ``(path, i, j)`` of the nodes with several labels: block ``i``
+    of those who ask, outside the largest label, meets each block ``j`` of all."""
+    parts = rows.groupBy("path", "label").agg(F.count(F.lit(1)).alias("rows"), F.sum("n_shingles").alias("tokens"))
+
+    def blocks(rows: Column, tokens: Column) -> Column:
+        by_rows = F.ceil(rows / most_rows)
+        return by_rows if most_tokens is None else F.greatest(by_rows, F.ceil(tokens / most_tokens))
+
+    n, tokens, most = F.sum("rows"), F.sum("tokens"), F.max(F.struct("rows", "tokens", "label"))
+    sized = parts.groupBy("path").agg(
+        most["label"].alias("main"),
+        blocks(n, tokens).alias("all"),
+        blocks(n - most["rows"], tokens - most["tokens"]).alias("open"),
+    )
+    dealt = rows.join(sized.filter("open > 0"), "path")
+    others = F.explode(F.expr("sequence(0L, open - 1)")).alias("i")
+    every = dealt.select(*rows.columns, others, F.expr("pmod(xxhash64(rep, 3), all)").alias("j"), F.lit(False).alias("asks"))
+    asking = dealt.filter("label <> main").select(
+        *rows.columns, F.expr("pmod(xxhash64(rep, 5), open)").alias("i"),
+        F.explode(F.expr("sequence(0L, all - 1)")).alias("j"), F.lit(True).alias("asks"),
+    )
+    return every.union(asking)
+
+
+def _near(x: pd.DataFrame, y: pd.DataFrame, percent: int, most_bits: int) -> np.ndarray:
+    """Which rows of ``x`` and ``y`` may be links that are not known yet."""
+    bits = sum(
+        np.bitwise_count(x[s].to_numpy().view(np.uint64)[:, None] ^ y[s].to_numpy().view(np.uint64)) for s in ("s1", "s2")
+    )
+    n, m = x["n_shingles"].to_numpy()[:, None], y["n_shingles"].to_numpy()[None, :]
+    fits = (bits <= most_bits) & (100 * n >= percent * m) & (100 * m >= percent * n)
+    for known in ("label", "done"):
+        fits &= x[known].to_numpy()[:, None] != y[known].to_numpy()[None, :]
+    return fits
+
+
+def _near_rows(percent: int, most_bits: int):
+    def near(cell: pd.DataFrame) -> pd.DataFrame:
+        """The rows of a cell whose sketch is like one on the other side."""
+        x, y = (cell[cell["asks"] == side].copy() for side in (True, False))
+        left, right = np.zeros(len(x), bool), np.zeros(len(y), bool)
+        for at in range(0, len(x), SKETCH_STEP):
+            fits = _near(x.iloc[at : at + SKETCH_STEP], y, percent, most_bits)
+            left[at : at + SKETCH_STEP] = fits.any(1)
+            right |= fits.any(0)
+        return pd.concat([x[left], y[right]])[["path", "rep"]].drop_duplicates()
+
+    return near
+
+
+def _linked_rows(percent: int, most_bits: int):
+    def links(cell: pd.DataFrame) -> pd.DataFrame:
+        """Labels ``(a, b)`` that links between asking and other rows of a cell connect."""
+        x, y = (cell[cell["asks"] == side] for side in (True, False))
+        a, b = np.nonzero(_near(x, y, percent, most_bits))
+        sets = [*x["shingles"], *y["shingles"]]
+        if len(a) <= SINGLE_PAIRS:
+            shared = np.array([len(np.intersect1d(sets[i], sets[len(x) + j], True)) for i, j in zip(a, b, strict=True)], np.int64)
+        else:
+            shared = shared_tokens(sets, np.arange(len(x)), np.arange(len(x), len(sets)))[a, b]
+        total = x["n_shingles"].to_numpy()[a] + y["n_shingles"].to_numpy()[b]
+        is_link = shared * (100 + percent) >= total * percent
+        found = np.stack([x["label"].to_numpy()[a], y["label"].to_numpy()[b]], 1)[is_link]
+        found = np.unique(np.sort(found, axis=1), axis=0)
+        return pd.DataFrame({"a": found[:, 0], "b": found[:, 1]})
+
+    return links
 
 
 def best_partners(pairs: DataFrame) -> DataFrame:
-    """Of each class, the pair whose sketches differ least, before anything is joined."""
+    """``(a, b)``: of each class, the pair whose sketches differ least."""
     ends = pairs.select(F.col("a").alias("own"), F.col("b").alias("other"), "bits").union(
         pairs.select("b", "a", "bits")
     )
-    best = ends.groupBy("own").agg(F.min_by("other", "bits").alias("other"))
-    best = best.select(F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b")).distinct()
-    return best.select("a", "b", F.col("a").alias("la"), F.col("b").alias("lb"))
+    best = ends.groupBy("own").agg(F.min_by("other", F.struct("bits", "other")).alias("other"))
+    return best.select(F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b")).distinct()
 
 
-def _child_paths(rows: DataFrame) -> DataFrame:
-    """Each row in ``BRANCHES`` child nodes, by minwise tokens that its path selects."""
+def _child_rows(alive: DataFrame, classes: DataFrame) -> DataFrame:
+    """Each member in ``BRANCHES`` child nodes, by minwise tokens that its path selects."""
     chosen = f"int(pmod(xxhash64(path, k), {MINWISE}))"
-    paths = F.expr(f"transform(sequence(1, {BRANCHES}), k -> xxhash64(path, k, mins[{chosen}]))")
-    return rows.select("tree", "rep", "copies", "label", F.explode(paths).alias("path"))
+    paths = F.expr(
+        f"transform(sequence(1, {BRANCHES}), k -> struct(xxhash64(path, k, mins[{chosen}]) as path, first and k = 1 as first))"
+    )
+    rows = alive.join(classes.select("rep", "copies", "mins", "n_shingles", "s1", "s2"), "rep")
+    return rows.select("tree", "rep", "copies", "label", "n_shingles", "s1", "s2", F.inline(paths))
 
 
 def _version(text: str) -> Column:
@@ -334,46 +333,29 @@ def _linked(docs: DataFrame, width: int, percent: int, id_col: str, text_col: st
         "classes",
     )
     search = _Search(classes, percent)
-    sketches = classes.select("rep", "n_shingles", "s1", "s2")
-
-    first = F.expr(f"transform(sequence(0, {TREES - 1}), t -> struct(t as tree, xxhash64(t, mins[t * 5]) as path))")
-    nodes = _nodes(classes.select("rep", "copies", F.col("rep").alias("label"), F.inline(first)))
-    pairs = search.candidates(nodes, sketches.withColumn("label", F.col("rep")))
-    # Only these documents can take part in a link; their sets are computed once.
-    needed = (
-        pairs.select(F.explode(F.array("a", "b")).alias("rep"))
-        .union(nodes.filter(f"size > {LEAF}").select("rep"))
-        .distinct()
+
+    def sets_of(reps: DataFrame) -> DataFrame:
+        wanted = stage(classes.join(reps.distinct(), "rep").select("hi", "lo", "rep", "first"), "wanted")
+        return stage_bucketed(wanted_sets(rows, width, wanted), "sets", "rep")
+
+    roots = F.expr(
+        f"transform(sequence(0, {TREES - 1}), t -> struct(t as tree, t = 0 as first, xxhash64(t, mins[t * 5]) as path))"
     )
-    # The plan is the same at every size: texts meet their ids by a sorted merge.
-    of_class = classes.join(needed, "rep").select("first.doc_id", "first.version", "rep")
-    wanted = rows.join(of_class.hint("merge"), ["doc_id", "version"]).dropDuplicates(["doc_id", "version"])
-    wanted = wanted.select(F.col("rep").alias("doc_id"), "text")
-    sets = stage_bucketed(full_sets(wanted, width), "sets", "rep")
-
-    search.connect(best_partners(pairs), sets)
-    search.connect(search.apart(pairs), sets)
-    for depth in range(1, DEPTH + 1):
-        # Only nodes that still hold several components go on.
-        large = stage(nodes.filter(f"size > {LEAF}").select("path", "tree", "rep"), "large")
-        alive = search.open_nodes(large)
-        if alive.isEmpty():
-            break
-        if depth == DEPTH:
-            search.finish(large, alive, sets)
-            break
-        # Large groups come together by a first turn; who is left then branches on.
-        search.finish(large, alive, sets, first_only=True)
-        alive = search.open_nodes(large.join(alive.select("path"), "path"))
-        search.finish(large, alive.filter(f"open <= {LEAF}"), sets)
-        grown = large.join(alive.filter(f"open > {LEAF}").select("path"), "path")
-        nodes = _nodes(_child_paths(grown.join(search.labels, "rep").join(classes.select("rep", "copies", "mins"), "rep")))
-        if nodes.isEmpty():
-            break
-        pairs = search.candidates(nodes, sketches.join(search.labels, "rep"))
-        if search.tested is not None:
-            pairs = pairs.join(search.tested, ["a", "b"], "left_anti")
-        search.connect(pairs, sets)
+    label = F.col("rep").alias("label")
+    nodes = _nodes(classes.select("rep", "copies", label, "n_shingles", "s1", "s2", F.inline(roots)))
+    pairs = search.candidates(nodes)
+    search.test(pairs, sets_of(pairs.select(F.explode(F.array("a", "b")).alias("rep"))))
+    alive = search.alive(nodes)
+    if not alive.isEmpty():
+        sets = sets_of(alive.select("rep"))
+        for _ in range(DEPTH):
+            nodes = _nodes(_child_rows(alive, classes))
+            search.test(search.candidates(nodes), sets)
+            alive = search.alive(nodes)
+        # Each class is in one node of the first tree's first branches at most.
+        once = stage(alive.filter("first").select("path", "rep"), "first-nodes")
+        search.compare(once, None, sets)
+        search.compare(alive.filter("not first"), once.select("rep", F.col("path").alias("done")), sets)
 
     own = classes.select("hi", "lo", "rep", "first").join(search.labels, "rep")
     groups = own.groupBy("label").agg(F.min("first").alias("first"))

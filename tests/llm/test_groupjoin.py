@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from lokora.llm import groupjoin
+from lokora.llm import groupjoin, shingles
 from .test_duplicates import brute_components, edited_star, frame, near_copies, set_of
 
 
@@ -18,7 +18,7 @@ def test_components_as_brute_force(llm, monkeypatch, width, percent, opened, key
     """``keys`` above all there are: there are no groups, the matrix finds every link."""
     monkeypatch.setattr(groupjoin, "OPENED", opened)
     monkeypatch.setattr(groupjoin, "BLOCK_ROWS", 10)
-    monkeypatch.setattr(groupjoin, "COLUMNS", 7)
+    monkeypatch.setattr(shingles, "COLUMNS", 7)
     monkeypatch.setattr(groupjoin, "LEAST_KEYS", keys)
     texts = near_copies()
     want, sets = brute_components(texts, width, percent)
