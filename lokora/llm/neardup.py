@@ -3,14 +3,15 @@
 A document is the set of its word shingles.  Equal sets are one class from the
 start; everything below works on one row per class.  Each of ``trees`` trees
 puts the classes into nodes by one minwise token.  All pairs of a node of at most
-``LEAF`` classes are compared; the members of a larger one are compared with its pivot
-(the class of most copies), and branch on if the node still holds several components:
-each into ``BRANCHES`` child nodes, by minwise tokens that the path so far selects.
-A pair of similarity 0.8 meets in a tree with a chance of about 0.74 after two
-levels, 0.8 before, so that 8 trees miss it once in 40 000 times, and
-one at 0.85 once in 640 000.  Nodes that stay large are compared in whole: whoever is
-outside the largest component with all others, in cells of bounded size, the
-first tree's before those of the others, which leave out what met there.
+``LEAF`` classes are candidates; the members of a larger one are compared with its pivot
+(the class of most copies).  A node of more than ``SKETCH_BLOCK`` classes that still holds
+several components branches on: each member into ``BRANCHES`` child nodes, by minwise
+tokens that the path so far selects, ``DEPTH`` times at most.  The large nodes that remain are
+compared exhaustively: whoever is outside the largest component with all others, in cells of
+bounded size, the first tree's before those of the others, which leave out what
+met there.  A pair of similarity 0.8 meets in a tree with a chance of 0.8, 0.96 times
+as much for each branching, so that 8 trees miss it once in 390 000 times, and once in
+43 000 behind two branchings; one at 0.85 once in 3 900 000 and 640 000.
 
 Comparing is cheap first (sizes, 128-bit minwise sketches at almost five
 deviations below the threshold) and exact then: links are confirmed on full
@@ -28,7 +29,7 @@ Rows without doc_id are linked with nothing and kept.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -42,9 +43,10 @@ from lokora.llm.shingles import shared_tokens, shingle_set, wanted_sets
 
 SKETCH_BITS = 128
 MINWISE = 64  # tokens kept to choose paths by
-TREES, BRANCHES, DEPTH = 8, 2, 2
+TREES, BRANCHES, DEPTH = 8, 2, 3
 LEAF = 24
 # Members of a block of a cell that compares sketches, and how many are taken at once.
+# Nodes of more members than a block branch on.
 SKETCH_BLOCK, SKETCH_STEP = 8192, 256
 # Members, and tokens of their sets, that a block of a cell of full sets holds on average.
 BLOCK_ROWS, BLOCK_TOKENS = 1024, 1 << 18
@@ -104,27 +106,26 @@ def full_sets(docs: DataFrame, width: int) -> DataFrame:
 
 
 def _nodes(rows: DataFrame) -> DataFrame:
-    """``rows`` of the nodes that hold several components, with the node's size and pivot."""
-    pivot = F.struct(*[F.col(c).alias(f"p_{c}") for c in ("rep", "label", "n_shingles", "s1", "s2")])
-    sizes = (
-        rows.groupBy("path")
-        .agg(
-            F.count(F.lit(1)).alias("size"),
-            F.max_by(pivot, F.struct("copies", F.xxhash64("path", "rep"))).alias("pivot"),
-            F.min("label").alias("_low"),
-            F.max("label").alias("_high"),
-        )
-        .filter("_low <> _high")
-        .select("path", "size", "pivot.*")
+    """``rows`` of the nodes that hold several components, with the node's size."""
+    sizes = rows.groupBy("path").agg(
+        F.count(F.lit(1)).alias("size"), F.min("label").alias("_low"), F.max("label").alias("_high")
     )
-    return stage(rows.join(sizes, "path"), "nodes")
+    return stage(rows.join(sizes.filter("_low <> _high").select("path", "size"), "path"), "nodes")
+
+
+def _with_pivots(nodes: DataFrame) -> DataFrame:
+    """The members of large nodes, beside their node's class of most copies."""
+    large = nodes.filter(f"size > {LEAF}")
+    pivot = F.struct(*[F.col(c).alias(f"p_{c}") for c in ("rep", "label", "n_shingles", "s1", "s2")])
+    pivots = large.groupBy("path").agg(F.max_by(pivot, F.struct("copies", F.xxhash64("path", "rep"))).alias("pivot"))
+    return large.join(pivots.select("path", "pivot.*"), "path")
 
 
 class _Search:
     """The state of one join: components so far, pairs tested so far."""
 
-    def __init__(self, classes: DataFrame, percent: int) -> None:
-        self.classes, self.percent = classes, percent
+    def __init__(self, classes: DataFrame, percent: int, sets_of: Callable[[DataFrame], DataFrame]) -> None:
+        self.classes, self.percent, self.sets_of = classes, percent, sets_of
         self.labels = classes.select("rep", F.col("rep").alias("label"))
         self.tested: DataFrame | None = None
         s = percent / 100
@@ -147,7 +148,7 @@ class _Search:
         within = small.alias("x").join(small.alias("y"), F.expr(f"x.path = y.path and x.rep < y.rep and {alike}"))
         within = within.selectExpr("x.rep as a", "y.rep as b", bits.format("x.s1", "y.s1", "x.s2", "y.s2"), "true as every")
         alike = near.format("label", "p_label", "n_shingles", "p_n_shingles", "s1", "p_s1", "s2", "p_s2")
-        to_pivot = nodes.filter(f"size > {LEAF} and {alike}").selectExpr(
+        to_pivot = _with_pivots(nodes).filter(alike).selectExpr(
             "least(rep, p_rep) as a", "greatest(rep, p_rep) as b", bits.format("s1", "p_s1", "s2", "p_s2"), "false as every"
         )
         pairs = within.union(to_pivot).groupBy("a", "b")
@@ -161,9 +162,12 @@ class _Search:
             pairs = pairs.join(self.labels.select(F.col("rep").alias(end), F.col("label").alias(f"l{end}")), end)
         return pairs.filter("la <> lb")
 
-    def test(self, pairs: DataFrame, sets: DataFrame) -> None:
+    def test(self, pairs: DataFrame) -> None:
         """Test candidates on full sets: the best of each class first, then, as far as they
         are still apart, all of small nodes and the next best of each other class."""
+        if pairs.isEmpty():
+            return
+        sets = self.sets_of(pairs.select(F.explode(F.array("a", "b")).alias("rep")))
         self._confirm(self.apart(best_partners(pairs)), sets)
         left = stage(self.apart(pairs), "apart")
         best = best_partners(left.filter("not every"))
@@ -190,12 +194,14 @@ class _Search:
 
     def alive(self, nodes: DataFrame) -> DataFrame:
         """Members of the large nodes that still hold several components: their place in the
-        trees, and label."""
+        trees, label, and the node's size."""
         large = nodes.filter(f"size > {LEAF}").select("path", "tree", "first", "rep").join(self.labels, "rep")
-        several = large.groupBy("path").agg(F.min("label").alias("_low"), F.max("label").alias("_high"))
-        return stage(large.join(several.filter("_low <> _high").select("path"), "path"), "alive")
+        several = large.groupBy("path").agg(
+            F.count(F.lit(1)).alias("size"), F.min("label").alias("_low"), F.max("label").alias("_high")
+        )
+        return stage(large.join(several.filter("_low <> _high").select("path", "size"), "path"), "alive")
 
-    def compare(self, nodes: DataFrame, done: DataFrame | None, sets: DataFrame) -> None:
+    def compare(self, nodes: DataFrame, done: DataFrame | None) -> None:
         """Compare all members of different components in the nodes ``(path, rep)``.
 
         Whoever is outside the largest component of its node is compared with all others:
@@ -213,7 +219,10 @@ class _Search:
         rows = stage(rows, "compare")
         cells = _cells(rows, SKETCH_BLOCK, None)
         near = cells.groupBy("path", "i", "j").applyInPandas(_near_rows(self.percent, self.most_bits), "path long, rep long")
-        near = rows.join(stage(near, "near-rows").distinct(), ["path", "rep"])
+        near = stage(rows.join(near.distinct(), ["path", "rep"]), "near-rows")
+        if near.isEmpty():
+            return
+        sets = self.sets_of(near.select("rep"))
         cells = stage(_cells(near, BLOCK_ROWS, BLOCK_TOKENS), "cells").join(sets, "rep")
         links = cells.groupBy("path", "i", "j").applyInPandas(_linked_rows(self.percent, self.most_bits), "a long, b long")
         self.connect(stage(links, "cell-links"))
@@ -332,30 +341,33 @@ def _linked(docs: DataFrame, width: int, percent: int, id_col: str, text_col: st
         .withColumn("rep", F.monotonically_increasing_id()),
         "classes",
     )
-    search = _Search(classes, percent)
 
     def sets_of(reps: DataFrame) -> DataFrame:
         wanted = stage(classes.join(reps.distinct(), "rep").select("hi", "lo", "rep", "first"), "wanted")
         return stage_bucketed(wanted_sets(rows, width, wanted), "sets", "rep")
 
+    search = _Search(classes, percent, sets_of)
     roots = F.expr(
         f"transform(sequence(0, {TREES - 1}), t -> struct(t as tree, t = 0 as first, xxhash64(t, mins[t * 5]) as path))"
     )
     label = F.col("rep").alias("label")
     nodes = _nodes(classes.select("rep", "copies", label, "n_shingles", "s1", "s2", F.inline(roots)))
-    pairs = search.candidates(nodes)
-    search.test(pairs, sets_of(pairs.select(F.explode(F.array("a", "b")).alias("rep"))))
+    search.test(search.candidates(nodes))
     alive = search.alive(nodes)
-    if not alive.isEmpty():
-        sets = sets_of(alive.select("rep"))
-        for _ in range(DEPTH):
-            nodes = _nodes(_child_rows(alive, classes))
-            search.test(search.candidates(nodes), sets)
-            alive = search.alive(nodes)
-        # Each class is in one node of the first tree's first branches at most.
-        once = stage(alive.filter("first").select("path", "rep"), "first-nodes")
-        search.compare(once, None, sets)
-        search.compare(alive.filter("not first"), once.select("rep", F.col("path").alias("done")), sets)
+    whole = alive.filter(f"size <= {SKETCH_BLOCK}")
+    for _ in range(DEPTH):
+        wide = alive.filter(f"size > {SKETCH_BLOCK}")
+        if wide.isEmpty():
+            break
+        nodes = _nodes(_child_rows(wide, classes))
+        search.test(search.candidates(nodes))
+        alive = search.alive(nodes)
+        whole = whole.union(alive.filter(f"size <= {SKETCH_BLOCK}"))
+    whole = whole.union(alive.filter(f"size > {SKETCH_BLOCK}"))
+    # Each class is in one node of the first tree's first branches at most.
+    once = whole.filter("first").select("path", "rep")
+    search.compare(once, None)
+    search.compare(whole.filter("not first"), once.select("rep", F.col("path").alias("done")))
 
     own = classes.select("hi", "lo", "rep", "first").join(search.labels, "rep")
     groups = own.groupBy("label").agg(F.min("first").alias("first"))

@@ -77,6 +77,10 @@ def frame(llm, texts):
 @pytest.mark.parametrize(("width", "percent", "leaf"), [(3, 85, 24), (5, 80, 4)])
 def test_components_as_brute_force(llm, monkeypatch, width, percent, leaf):
     monkeypatch.setattr(neardup, "LEAF", leaf)
+    if leaf == 4:  # nodes branch, and cells have several blocks
+        monkeypatch.setattr(neardup, "SKETCH_BLOCK", 16)
+        monkeypatch.setattr(neardup, "BLOCK_ROWS", 8)
+        monkeypatch.setattr(neardup, "SINGLE_PAIRS", 3)
     texts = near_copies()
     want, sets = brute_components(texts, width, percent)
     got = {r["doc_id"]: r for r in neardup.near_duplicates(frame(llm, texts), width, percent).collect()}
