@@ -26,6 +26,8 @@ from lokora.sinks import writers as W
 from lokora.sources.lines import ENTRY_COLUMNS, read_hits, read_hypotheses
 from lokora.streaming.hits import hits_to_urls, stream_hits, write_new_urls, write_url_stream
 
+FULL_COLUMNS = ("src", "tgt", "cxt", "name", "filepath")
+
 
 def urls(spark: SparkSession, args: argparse.Namespace) -> None:
     """Hits to raw PO-file URLs, as a batch or as a stream."""
@@ -44,13 +46,17 @@ def path_below(path: Column, root: str) -> Column:
 
 
 def extract(spark: SparkSession, args: argparse.Namespace) -> None:
-    """PO files to the corpus table, the counts and the quarantine list."""
+    """PO files to the corpus table, aligned column files, the counts and the quarantine list."""
     pairs, problems = po_corpus_rows(spark, args.root, args.max_bytes)
     corpus = build_corpus(pairs, args.max_chars, args.length_mode, order=("filepath", "pos"))
     relative = path_below(F.col("filepath"), args.root)
     repo = F.regexp_extract(relative, args.repo_pattern, 1)
     W.write_entries(with_repo(corpus, repo), f"{args.out}/entries")
     entries = spark.read.parquet(f"{args.out}/entries")
+    # A line is a row: what else may hold a line end in its path or context has a blank there.
+    lines = entries.withColumn("name", F.col("filepath"))
+    lines = lines.withColumn("path", F.col("filepath")).withColumns({c: F.translate(c, "\r\n", "  ") for c in FULL_COLUMNS})
+    W.write_aligned(lines, {c: c for c in FULL_COLUMNS}, args.out, "full", ("path", "pos"))
     W.write_counts(entries, f"{args.out}/counts")
     W.write_entries_csv(entries.withColumn("name", F.col("filepath")), f"{args.out}/csv", ENTRY_COLUMNS)
     W.write_directory_list(entries.select("filepath").distinct(), f"{args.out}/directories")

@@ -33,6 +33,12 @@ def test_end_to_end(spark, tmp_path):
     assert a.select("repo").distinct().count() == 8 and a.first().repo.startswith("owner/app")
     assert {r.repo for r in a.select("repo").distinct().collect()} == {f"owner/app{k}" for k in range(8)}
     assert spark.read.option("header", True).csv(str(out / "a" / "csv")).count() == 320
+    columns = ("src", "tgt", "cxt", "name", "filepath")
+    parts = {c: sorted((out / "a" / f"full.{c}").glob("part-*")) for c in columns}
+    full = {c: "".join(p.read_text() for p in parts[c]).splitlines() for c in columns}
+    rows = a.orderBy("filepath", "pos").collect()
+    assert full["name"] == full["filepath"] and len(rows) == 320
+    assert all(full[c] == [r[c] or "" for r in rows] for c in ("src", "tgt", "cxt", "filepath"))
     assert spark.read.text(str(out / "a" / "directories")).count() == 8
     for name in "ab":
         listed = spark.read.parquet(str(out / name / "quarantine")).collect()
