@@ -1,8 +1,8 @@
 """Byte-level byte-pair encoding and decoding.
 
 A text is split by a pattern; each match is encoded on its own.  Its bytes form
-a linked list.  Every adjacent pair that makes a known token waits in the bucket
-of that token's rank, and a hierarchical bitmap over the ranks tells the lowest
+a linked list.  Every adjacent pair that makes a known token, of lower rank than
+the pairs beside it, waits in the bucket of that token's rank, and a hierarchical bitmap over the ranks tells the lowest
 rank in use by find-first-set.  A merge only touches its two neighbours, so that
 a match of n bytes takes about n steps, however long it is.  Entries that a
 merge has overtaken stay in their bucket and are skipped when they come up.
@@ -14,9 +14,12 @@ from __future__ import annotations
 
 import base64
 import re
+import sys
+from array import array
 from collections.abc import Iterator
 from functools import cache
 from heapq import heappop, heappush
+from itertools import product
 
 import numpy as np
 import pandas as pd
@@ -26,13 +29,15 @@ from pyspark.sql import functions as F
 
 from lokora.llm.common import pick
 
-# Matches, and words between blanks, that a worker remembers; over it the memory
-# is emptied and fills up again.
-REMEMBERED_MATCHES = 400_000
-REMEMBERED_WORDS = 200_000
+# Words between blanks, and matches within them, that a worker remembers in each of two
+# generations: a full memory becomes the older one, from which what is used again returns.
+REMEMBERED_MATCHES = 100_000
+REMEMBERED_WORDS = 250_000
 # Longer ones are encoded each time, so that what is remembered stays small.
 REMEMBERED_CHARS = 64
-PAIR_BITS = 32
+# Signs of every kind that patterns tell apart, to learn what a pattern does at a blank.
+PROBES = "aZ1.'_\u00e9\u4e2d\u0301\n"
+BIT = [1 << i for i in range(256)]
 
 
 class Codec:
@@ -43,7 +48,10 @@ class Codec:
         self.find = regex.compile(pattern).findall
         self.token = {rank: token for token, rank in ranks.items()}
         self.first = [ranks[bytes([b])] for b in range(256)]
-        self.pairs: dict[int, int] = {}
+        self.shift = max(ranks.values()).bit_length()
+        self.none = max(ranks.values()) + 1  # above every rank
+        self.pairs = self._pairs()
+        self.splits_at_blanks = self._splits_at_blanks()
         self.matches = _Matches(self)
         self.words = _Words(self)
         size = max(ranks.values()) + 1
@@ -51,89 +59,105 @@ class Codec:
         self.length = np.array([len(self.token.get(i, b"")) for i in range(size)], np.int64)
         self.start = np.cumsum(self.length) - self.length
 
-    def rank_of(self, left: int, right: int) -> int:
-        """Rank of the token that two tokens make, or -1."""
-        pair = left << PAIR_BITS | right
-        rank = self.pairs.get(pair)
-        if rank is None:
-            if len(self.pairs) > REMEMBERED_MATCHES:
-                self.pairs.clear()
-            rank = self.pairs[pair] = self.ranks.get(self.token[left] + self.token[right], -1)
-        return rank
+    def _pairs(self) -> dict[int, int]:
+        """Rank by pair of tokens, for each way to put a token together from two."""
+        found, rank_of = {}, self.ranks.get
+        for token, rank in self.ranks.items():
+            for at in range(1, len(token)):
+                left = rank_of(token[:at])
+                if left is not None:
+                    right = rank_of(token[at:])
+                    if right is not None:
+                        found[left << self.shift | right] = rank
+        return found
+
+    def _splits_at_blanks(self) -> bool:
+        """Whether a match always ends at a single blank and the next begins with it."""
+        around = ["".join(two) for two in product(PROBES, repeat=2)]
+        return all(
+            self.find(f"{a} {b}") == self.find(a) + self.find(f" {b}")
+            for a in around
+            if not a[-1].isspace()
+            for b in around
+            if not b[0].isspace()
+        )
 
     def encode_match(self, piece: bytes) -> list[int]:
         """Token ids of one match of the pattern."""
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
-        rank_of, known, n = self.rank_of, self.pairs.get, len(piece)
-        ids = [self.first[b] for b in piece]
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        waits = [-1] * n  # the rank under which a position waits; -1: none, or merged away
+        rank_of, shift, bit, none, n = self.pairs.get, self.shift, BIT, self.none, len(piece)
+        first = self.first
+        ids = [first[b] for b in piece]
+        after, before = list(range(1, n + 2)), list(range(-1, n))
+        # The rank of the pair that begins at a position; places -1 and n have none.
+        waits = [rank_of(a << shift | b, none) for a, b in zip(ids, ids[1:], strict=False)]
+        waits += [none, none]
         buckets: dict[int, list[int]] = {}
         # Two levels of bits: blocks of 256 ranks in use, and ranks in use in a block.
         blocks, used = 0, {}
-
+        # Only a pair lower than both neighbours can be merged next; the others wait
+        # until a merge beside them makes them the lowest of three.
+        fresh, last = [], none
         for i in range(n - 1):
-            rank = known(ids[i] << PAIR_BITS | ids[i + 1])
-            if rank is None:
-                rank = rank_of(ids[i], ids[i + 1])
-            if rank >= 0:
-                waits[i] = rank
+            rank = waits[i]
+            if rank < last and rank <= waits[i + 1]:
+                fresh.append(i)
+            last = rank
+
+        while True:
+            for i in fresh:
+                rank = waits[i]
                 if rank in buckets:
-                    buckets[rank].append(i)
+                    heappush(buckets[rank], i)
                 else:
                     buckets[rank] = [i]
                     block = rank >> 8
-                    used[block] = used.get(block, 0) | 1 << (rank & 255)
-                    blocks |= 1 << block
-
-        while blocks:
+                    used[block] = used.get(block, 0) | bit[rank & 255]
+                    blocks |= bit[block] if block < 256 else 1 << block
+            if not blocks:
+                break
             block = (blocks & -blocks).bit_length() - 1
             bits = used[block]
-            rank = block << 8 | (bits & -bits).bit_length() - 1
+            lowest = bits & -bits
+            rank = block << 8 | lowest.bit_length() - 1
             bucket = buckets[rank]
             i = heappop(bucket)
             if not bucket:
                 del buckets[rank]
-                bits &= bits - 1
+                bits ^= lowest
                 used[block] = bits
                 if not bits:
                     blocks &= blocks - 1
+            fresh = []
             if waits[i] != rank:
                 continue
             gone = after[i]
+            was_right = waits[gone]
+            waits[gone] = none
             ids[i] = rank
-            waits[gone] = waits[i] = -1
             right = after[i] = after[gone]
             if right < n:
                 before[right] = i
-                new = known(rank << PAIR_BITS | ids[right])
-                if new is None:
-                    new = rank_of(rank, ids[right])
-                if new >= 0:
-                    waits[i] = new
-                    if new in buckets:
-                        heappush(buckets[new], i)
-                    else:
-                        buckets[new] = [i]
-                        block = new >> 8
-                        used[block] = used.get(block, 0) | 1 << (new & 255)
-                        blocks |= 1 << block
-            left = before[i]
+                new = waits[i] = rank_of(rank << shift | ids[right], none)
+            else:
+                new = waits[i] = none
+            left, new_left = before[i], none
             if left >= 0:
-                new = known(ids[left] << PAIR_BITS | rank)
-                if new is None:
-                    new = rank_of(ids[left], rank)
-                waits[left] = new
-                if new >= 0:
-                    if new in buckets:
-                        heappush(buckets[new], left)
-                    else:
-                        buckets[new] = [left]
-                        block = new >> 8
-                        used[block] = used.get(block, 0) | 1 << (new & 255)
-                        blocks |= 1 << block
+                was_left = waits[left]
+                new_left = waits[left] = rank_of(ids[left] << shift | rank, none)
+                far = before[left]
+                wait = waits[far]
+                if was_left < wait <= new_left and wait < waits[before[far]]:
+                    fresh.append(far)
+                if new_left < wait and new_left <= new:
+                    fresh.append(left)
+            wait = waits[right]
+            if new < new_left and new <= wait:
+                fresh.append(i)
+            if was_right <= wait < new and wait <= waits[after[right]]:
+                fresh.append(right)
 
         out, i = [], 0
         while i < n:
@@ -144,14 +168,16 @@ class Codec:
     def encode(self, text: str) -> bytes:
         """Ids of a text as little-endian unsigned 32-bit integers.
 
-        At a single blank between two other characters one match ends and the
-        next begins, whatever stands around: words between such blanks are
-        encoded apart, the blank in front of each, and remembered.
+        Where the pattern always splits at a single blank between two other
+        characters (``splits_at_blanks``), words between such blanks are encoded
+        apart, the blank in front of each, and remembered.
         """
         if len(self.words) > REMEMBERED_WORDS:
-            self.words.clear()
+            self.words.age()
         if len(self.matches) > REMEMBERED_MATCHES:
-            self.matches.clear()
+            self.matches.age()
+        if not self.splits_at_blanks:
+            return self.encode_word(text)
         first, *words = text.split(" ")
         try:
             if not first or first[-1].isspace():
@@ -159,8 +185,8 @@ class Codec:
             return self.encode_word(first) + b"".join(map(self.words.__getitem__, words))
         except UnevenSpace:
             first, *words = SINGLE_BLANK.split(text)
-            more = b"".join(self.encode_word(" " + word) for word in words)
-            return self.encode_word(first) + more
+            last = self.encode_word(" " + words.pop()) if words else b""
+            return self.encode_word(first) + b"".join(map(self.words.__getitem__, words)) + last
 
     def encode_word(self, word: str) -> bytes:
         return b"".join(map(self.matches.__getitem__, self.find(word)))
@@ -175,38 +201,55 @@ class Codec:
 SINGLE_BLANK = re.compile(r"(?<=\S) (?=\S)")
 
 
+def little_endian(ids: list[int]) -> bytes:
+    numbers = array("I", ids)
+    if sys.byteorder == "big":
+        numbers.byteswap()
+    return numbers.tobytes()
+
+
 class UnevenSpace(Exception):
     """White space that is more than one blank between two other characters."""
 
 
-class _Matches(dict):
-    """Encoded form by match; computed when first asked for."""
+class _Memory(dict):
+    """Encoded forms; computed when first asked for, and after two generations without use."""
 
     def __init__(self, codec: Codec) -> None:
         super().__init__()
         self.codec = codec
-
-    def __missing__(self, match: str) -> bytes:
-        ids = np.array(self.codec.encode_match(match.encode("utf-8")), "<u4").tobytes()
-        if len(match) <= REMEMBERED_CHARS:
-            self[match] = ids
+        self.older: dict[str, bytes] = {}
+
+    def age(self) -> None:
+        self.older = dict(self)
+        self.clear()
+
+    def __missing__(self, key: str) -> bytes:
+        ids = self.older.get(key)
+        if ids is None:
+            ids = self.form(key)
+        if len(key) <= REMEMBERED_CHARS:
+            self[key] = ids
         return ids
 
 
-class _Words(dict):
-    """Encoded form by word, the blank in front of it included."""
+class _Matches(_Memory):
+    """Encoded form by match."""
+
+    def form(self, match: str) -> bytes:
+        return little_endian(self.codec.encode_match(match.encode("utf-8")))
 
-    def __init__(self, codec: Codec) -> None:
-        super().__init__()
-        self.codec = codec
 
-    def __missing__(self, word: str) -> bytes:
+class _Words(_Memory):
+    """Encoded form by word, the blank in front of it included."""
+
+    def form(self, word: str) -> bytes:
         if not word or word[0].isspace() or word[-1].isspace():
             raise UnevenSpace
-        ids = self.codec.encode_word(" " + word)
-        if len(word) <= REMEMBERED_CHARS:
-            self[word] = ids
-        return ids
+        matches = self.codec.find(" " + word)
+        if len(matches) == 1:  # remembered once, as a word
+            return self.codec.matches.form(matches[0])
+        return b"".join(map(self.codec.matches.__getitem__, matches))
 
 
 def read_ranks(path: str) -> dict[bytes, int]:

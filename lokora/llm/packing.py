@@ -14,6 +14,7 @@ packed as often as they occur.  Empty tables give no rows.
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from array import array
@@ -22,16 +23,17 @@ from functools import cache
 
 import numpy as np
 import pandas as pd
-import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lokora.llm.common import pick, stage
 
-# Words, and parts of words, a worker remembers with their ids.  Over it only those
-# of the batch at hand stay.  Workers outlive a stage: all memories of a process count.
-REMEMBERED_WORDS, REMEMBERED_PARTS = 200_000, 300_000
+# Words a worker remembers with their ids.  Over it only those of the batch at hand
+# stay.  Workers outlive a stage: all memories of a process count.
+REMEMBERED_WORDS = 400_000
 REMEMBERED_CHARS = 64
+# New words in one call of the tokenizer.
+WORDS_AT_ONCE = 1_000
 # Second lengths tried for each longest length of a three-document pattern.
 TRIPLE_CHOICES = 8
 NNLS_STEPS = 400
@@ -44,12 +46,15 @@ PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 class WordTokens:
     """Ids of whole texts by a tokenizer that never joins across a blank or line end.
 
-    Words are remembered with their ids, and so are the lower-case letter runs,
-    digits and signs that words of Latin script consist of: the tokenizer itself
-    only sees what neither memory holds.
+    Words are remembered with their ids.  New words of Latin script go to the
+    tokenizer many in one string, with a mark between them that has an id of its
+    own; all others one by one.  A tokenizer that splits by other rules sees
+    whole texts.
     """
 
-    # The tokenizer's own splitting; it lower-cases first.  Fixed value.
+    # Rules under which words may be taken apart: composing, one blank for white
+    # space, lower-casing, then this split.  Fixed values.
+    NORMAL = ["NFC", "Replace", "Lowercase"]
     SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
     LATIN = "\u0250"  # below: letters that composing and lower-casing keep one by one
 
@@ -59,37 +64,58 @@ class WordTokens:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.split = regex.compile(self.SPLIT).findall
+        with open(path, encoding="utf-8") as file:
+            rules = json.load(file)
+        normal = [r["type"] for r in (rules["normalizer"] or {}).get("normalizers", [])]
+        splits = (rules["pre_tokenizer"] or {}).get("pretokenizers", [{}])
+        self.by_word = normal == self.NORMAL and splits[0].get("pattern") == {"Regex": self.SPLIT}
+        self.mark, self.mark_id = self._mark()
         self.words: dict[str, bytes] = {"": b""}
-        self.parts: dict[str, bytes] = {}
+
+    def _mark(self) -> tuple[str, int]:
+        """A Greek letter that is one token, so that no Latin word has its id; "" if there is none."""
+        for letter in map(chr, range(0x3B1, 0x3CA)):
+            ids = self.tokenizer.encode(letter, add_special_tokens=False).ids
+            if len(ids) == 1:
+                return letter, ids[0]
+        return "", -1
 
     def _encoded(self, strings: list[str]) -> Iterator[bytes]:
         for ids in self.tokenizer.encode_batch_fast(strings, add_special_tokens=False):
             yield array("I", ids.ids).tobytes()
 
+    def _encoded_latin(self, words: list[str]) -> Iterator[bytes]:
+        if not self.mark:
+            yield from self._encoded(words)
+            return
+        between = f" {self.mark} "
+        for at in range(0, len(words), WORDS_AT_ONCE):
+            some = words[at : at + WORDS_AT_ONCE]
+            ids = np.frombuffer(next(self._encoded([between.join(some)])), "<u4")
+            ends = [*(4 * np.flatnonzero(ids == self.mark_id)).tolist(), 4 * len(ids)]
+            data, start = ids.tobytes(), 0
+            for end in ends:
+                yield data[start:end]
+                start = end + 4
+
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
+        if not self.by_word:
+            yield from self._encoded(texts)
+            return
         split = [text.replace("\n", " ").split(" ") for text in texts]
         seen = set().union(*split)
         if len(self.words) > REMEMBERED_WORDS:
             self.words = {"": b""} | {w: self.words[w] for w in seen if w in self.words}
-        if len(self.parts) > REMEMBERED_PARTS:
-            self.parts = {}
         new = seen.difference(self.words)
-        latin = {w: self.split(w.lower()) for w in new if max(w) < self.LATIN}
-        unknown = list(set().union(*latin.values()).difference(self.parts))
-        fresh = dict(zip(unknown, self._encoded(unknown), strict=True))
-        other = [w for w in new if w not in latin]
-        look = dict(zip(other, self._encoded(other), strict=True))
-        self.parts.update(fresh)
-        for word, parts in latin.items():
-            look[word] = b"".join([self.parts[p] for p in parts])
-        self.words.update(look)
+        latin = [w for w in new if max(w) < self.LATIN]
+        other = list(new.difference(latin))
+        self.words.update(zip(latin, self._encoded_latin(latin), strict=True))
+        self.words.update(zip(other, self._encoded(other), strict=True))
         for words in split:
             yield b"".join(map(self.words.__getitem__, words))
-        for memory in (self.words, self.parts):
-            for long in [w for w in (look if memory is self.words else fresh) if len(w) > REMEMBERED_CHARS]:
-                del memory[long]
+        for long in [w for w in new if len(w) > REMEMBERED_CHARS]:
+            del self.words[long]
 
 
 @cache
