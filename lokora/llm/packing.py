@@ -4,9 +4,9 @@ Documents become pieces of at most ``capacity`` tokens (``cut_documents``).
 ``pack`` then sees only the histogram of piece lengths, which has ``capacity``
 numbers whatever the input: it enumerates patterns of few lengths that nearly
 fill a sequence, fits how often to use each by non-negative least squares
-against the histogram, rounds down, and packs what is left by best fit.  The
-plan says, for each length, where its first, second, … piece goes; pieces are
-numbered per length in Spark and look their place up.
+against the histogram, rounds, does so again with what is left, and packs by best
+fit only what no pattern takes.  The plan says, for each length, where its first,
+second, … piece goes; pieces are numbered per length in Spark and look their place up.
 
 Null and empty texts give one piece holding the end id alone.  Repeated rows are
 packed as often as they occur.  Empty tables give no rows.
@@ -34,9 +34,17 @@ REMEMBERED_WORDS = 400_000
 REMEMBERED_CHARS = 64
 # New words in one call of the tokenizer.
 WORDS_AT_ONCE = 1_000
-# Second lengths tried for each longest length of a three-document pattern.
-TRIPLE_CHOICES = 8
-NNLS_STEPS = 400
+# Parts of the space left that are tried for the middle lengths of a pattern of three and four.
+MIDDLE_CHOICES = [(8,), (4, 4)]
+PATTERN_PIECES = 4
+NNLS_STEPS = 200
+# Orders in which patterns are fitted, tried until one meets the lower bound.  A step
+# takes patterns whose longest piece is over a part of the capacity, that leave at most
+# a part of a sequence empty, and that have at most a number of pieces.
+ORDERS = [
+    [(0.0, 0.002, 4)],
+    [(0.5, 0.002, 2), (0.5, 0.02, 2), (0.5, 0.002, 4), (0.5, 0.02, 4), (0.0, 0.002, 4)],
+]
 # Rows of one length that are numbered in one group.
 GROUP_ROWS = 5_000
 
@@ -161,22 +169,26 @@ def cut_documents(
 
 
 def _patterns(counts: np.ndarray, capacity: int) -> np.ndarray:
-    """Patterns of one to three lengths that fill a sequence best, zero-padded to three."""
+    """Patterns of one to four lengths that fill a sequence best, zero-padded to four.
+
+    Each begins with every length in use; lengths between are the longest in use
+    below some parts of the space left, and the last is the longest that fits.
+    """
     lengths = np.flatnonzero(counts)
-    if not len(lengths):
-        return np.zeros((0, 3), np.int64)
     # The longest length in use that is at most x, by x.
     fits = np.zeros(capacity + 1, np.int64)
     fits[lengths] = lengths
     fits = np.maximum.accumulate(fits)
-    zero = np.zeros_like(lengths)
-    pairs = np.stack([lengths, fits[capacity - lengths], zero], 1)
-    triples = []
-    for part in range(1, TRIPLE_CHOICES + 1):
-        second = fits[(capacity - lengths) * part // (TRIPLE_CHOICES + 1)]
-        triples.append(np.stack([lengths, second, fits[capacity - lengths - second]], 1))
-    rows = np.concatenate([np.stack([lengths, zero, zero], 1), pairs, *triples])
-    return np.unique(np.sort(rows, axis=1)[:, ::-1], axis=0)
+    rows = [np.stack([lengths, fits[capacity - lengths]], 1)]
+    for choices in MIDDLE_CHOICES:
+        open_rows = lengths[:, None]
+        for many in choices:
+            space = capacity - open_rows.sum(1)
+            tried = [np.column_stack([open_rows, fits[space * part // (many + 1)]]) for part in range(1, many + 1)]
+            open_rows = np.concatenate(tried)
+        rows.append(np.column_stack([open_rows, fits[capacity - open_rows.sum(1)]]))
+    padded = [np.pad(r, ((0, 0), (0, PATTERN_PIECES - r.shape[1]))) for r in rows]
+    return np.unique(np.sort(np.concatenate(padded), axis=1)[:, ::-1], axis=0)
 
 
 def _least_squares(patterns: np.ndarray, counts: np.ndarray, capacity: int) -> np.ndarray:
@@ -187,7 +199,7 @@ def _least_squares(patterns: np.ndarray, counts: np.ndarray, capacity: int) -> n
     goal = counts.astype(float)
     waste = 1.0 - patterns.sum(1) / capacity
     price = 0.05 * waste * max(goal.max(), 1.0)
-    step = 1.0 / max(1.0, 3.0 * np.bincount(patterns.ravel(), minlength=capacity + 1)[1:].max())
+    step = 1.0 / max(1.0, PATTERN_PIECES * np.bincount(patterns.ravel(), minlength=capacity + 1)[1:].max())
     x = np.zeros(len(patterns))
     ahead, t = x, 1.0
     for _ in range(NNLS_STEPS):
@@ -202,41 +214,72 @@ def _least_squares(patterns: np.ndarray, counts: np.ndarray, capacity: int) -> n
 
 
 Plan = list[tuple[int, list[tuple[int, int]]]]
-# Parts of the fitted repeats that are tried; what they leave is packed by best fit.
-FIT_SHARES = (1.0, 0.9, 0.5, 0.0)
 
 
 def plan(counts: np.ndarray, capacity: int) -> Plan:
     """``(repeats, [(length, how many of it), …])`` for each pattern used.
 
     ``counts[l]`` is the number of pieces of length l; the plan holds each once.
-    The fitted repeats are used in several shares, and the plan of fewest
-    sequences is kept: where pieces of one length are few, best fit may do better
-    with more of them.
+    The plan of fewest sequences is kept: fitting all patterns at once is best
+    unless lengths are spread so evenly that short pieces must be saved for long ones.
     """
+    least = -(-int(counts @ np.arange(capacity + 1)) // capacity)
+    best: Plan | None = None
+    for order in ORDERS:
+        used = _fitted(counts, capacity, order)
+        if best is None or _sequences(used) < _sequences(best):
+            best = used
+        if _sequences(best) == least:
+            break
+    return best
+
+
+def _sequences(used: Plan) -> int:
+    return sum(times for times, _ in used)
+
+
+def _fitted(counts: np.ndarray, capacity: int, order: list[tuple[float, float, int]]) -> Plan:
+    """Patterns are enumerated, fitted and rounded again on what the rounds before
+    left, until none that a step allows is left; best fit packs the residuals."""
     left = counts.astype(np.int64).copy()
     left[0] = 0
-    full: Plan = [(int(left[capacity]), [(capacity, 1)])] if left[capacity] else []
+    used: Plan = [(int(left[capacity]), [(capacity, 1)])] if left[capacity] else []
     left[capacity] = 0
-    patterns = _patterns(left, capacity)
-    fitted = _least_squares(patterns, left, capacity) if len(patterns) else np.zeros(0)
-    plans = [_rounded(left.copy(), patterns, fitted * share, capacity) for share in FIT_SHARES]
-    return full + min(plans, key=lambda p: sum(times for times, _ in p))
+    for longest, waste, most in order:
+        over = int(longest * capacity)
+        while left[over + 1 :].any():
+            patterns = _patterns(left, capacity)
+            allowed = (patterns[:, 0] > over) & ((patterns > 0).sum(1) <= most)
+            patterns = patterns[allowed & (patterns.sum(1) >= capacity * (1 - waste))]
+            placed = _rounded(left, patterns, _least_squares(patterns, left, capacity)) if len(patterns) else []
+            if not placed:
+                break
+            used += placed
+    return used + _best_fit(left, capacity)
+
+
+def _rounded(left: np.ndarray, patterns: np.ndarray, fitted: np.ndarray) -> Plan:
+    """Whole repeats of the patterns, taken from ``left``: the fitted repeats rounded
+    down, then one more of each pattern whose rest is at least half the greatest rest,
+    as far as pieces last; those of the longest pieces first, the hardest to place."""
+    used: Plan = []
+    whole = np.floor(fitted)
+    rest = fitted - whole
+    more = (rest > 0) & (rest >= rest.max() / 2)
+    order = np.lexsort((-fitted, -patterns.sum(1), -patterns[:, 0]))
+    for repeats in (whole.astype(np.int64), more.astype(np.int64)):
+        for j in order[repeats[order] > 0]:
+            lengths, many = np.unique(patterns[j][patterns[j] > 0], return_counts=True)
+            times = int(min(repeats[j], (left[lengths] // many).min()))
+            if times > 0:
+                left[lengths] -= times * many
+                used.append((times, [(int(a), int(b)) for a, b in zip(lengths[::-1], many[::-1], strict=True)]))
+    return used
 
 
-def _rounded(left: np.ndarray, patterns: np.ndarray, fitted: np.ndarray, capacity: int) -> Plan:
-    """Whole repeats of the patterns, best filled first, then the residuals."""
+def _best_fit(left: np.ndarray, capacity: int) -> Plan:
+    """Sequences filled with the longest piece that still fits, in bulk; empties ``left``."""
     used: Plan = []
-    repeats = np.floor(fitted).astype(np.int64)
-    wanted = np.flatnonzero((repeats > 0) & (patterns.sum(1) >= capacity - capacity // 100))
-    for j in wanted[np.argsort(-patterns[wanted].sum(1), kind="stable")]:
-        lengths, many = np.unique(patterns[j][patterns[j] > 0], return_counts=True)
-        times = int(min(repeats[j], (left[lengths] // many).min()))
-        if times > 0:
-            left[lengths] -= times * many
-            used.append((times, [(int(a), int(b)) for a, b in zip(lengths[::-1], many[::-1], strict=True)]))
-
-    # Residuals: fill each sequence with the longest piece that still fits, in bulk.
     while left.any():
         space, runs = capacity, []
         longest = int(np.flatnonzero(left)[-1])
