@@ -28,9 +28,9 @@ from pyspark.sql import functions as F
 
 from lokora.llm.common import pick, stage
 
-# Words a worker remembers with their ids.  Over it only those of the batch at hand
-# stay.  Workers outlive a stage: all memories of a process count.
-REMEMBERED_WORDS = 400_000
+# Words a worker remembers with their ids in each of two generations: a full memory
+# becomes the older one, from which words that occur again return.
+REMEMBERED_WORDS = 300_000
 REMEMBERED_CHARS = 64
 # New words in one call of the tokenizer.
 WORDS_AT_ONCE = 1_000
@@ -79,6 +79,7 @@ class WordTokens:
         self.by_word = normal == self.NORMAL and splits[0].get("pattern") == {"Regex": self.SPLIT}
         self.mark, self.mark_id = self._mark()
         self.words: dict[str, bytes] = {"": b""}
+        self.older: dict[str, bytes] = {}
 
     def _mark(self) -> tuple[str, int]:
         """A Greek letter that is one token, so that no Latin word has its id; "" if there is none."""
@@ -114,8 +115,11 @@ class WordTokens:
         split = [text.replace("\n", " ").split(" ") for text in texts]
         seen = set().union(*split)
         if len(self.words) > REMEMBERED_WORDS:
-            self.words = {"": b""} | {w: self.words[w] for w in seen if w in self.words}
+            self.older, self.words = self.words, {"": b""}
         new = seen.difference(self.words)
+        again = new.intersection(self.older)
+        self.words.update((w, self.older[w]) for w in again)
+        new -= again
         latin = [w for w in new if max(w) < self.LATIN]
         other = list(new.difference(latin))
         self.words.update(zip(latin, self._encoded_latin(latin), strict=True))
