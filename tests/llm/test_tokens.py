@@ -1,6 +1,7 @@
 """Byte-level encoding and packing against the public libraries."""
 
 import hashlib
+import json
 import zlib
 
 import numpy as np
@@ -112,6 +113,37 @@ def test_plan_is_near_the_bound():
     assert sequences <= 1.015 * (counts @ np.arange(2049)) / 2048 + 2  # the optimum is 1.013 at least
 
 
+def test_most_pieces_are_placed_by_patterns(monkeypatch):
+    rng = np.random.default_rng(3)
+    counts = np.bincount(np.clip(rng.lognormal(6, 1, 5000), 1, 2048).astype(int), minlength=2049)
+    residuals, best_fit = [], packing._best_fit
+
+    def seen(left, capacity):
+        residuals.append(int(left.sum()))
+        return best_fit(left, capacity)
+
+    monkeypatch.setattr(packing, "_best_fit", seen)
+    sequences = sum(times for times, _ in packing.plan(counts, 2048))
+    assert residuals[0] < 0.1 * counts.sum()
+    assert sequences <= 1.005 * (counts @ np.arange(2049)) / 2048 + 1
+
+
+def test_other_rules_take_no_text_apart(tmp_path):
+    joins = bpe.Codec(CODEC.ranks, r"[a-z]+ ?|.|\n")
+    assert CODEC.splits_at_blanks and not joins.splits_at_blanks
+    want = b"".join(bpe.little_endian(joins.encode_match(m.encode())) for m in ["two ", "words"])
+    assert joins.encode("two words") == want
+    rules = json.loads(TOKENIZER.to_str())
+    rules["normalizer"] = None
+    path = tmp_path / "cased.json"
+    path.write_text(json.dumps(rules))
+    by = packing.WordTokens(str(path))
+    assert not by.by_word
+    text = "Words of Two"
+    got = np.frombuffer(b"".join(by.encode([text])), "<u4").tolist()
+    assert got == Tokenizer.from_file(str(path)).encode(text, add_special_tokens=False).ids
+
+
 TOKENIZER = Tokenizer.from_file(WORD_TOKENIZER)
 TOKENIZER.encode_special_tokens = True
 
