@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 from lokora.llm import langid, neardup, packing, substrings
 from lokora.llm.common import Rows, pick, prepare, stage
 
-# A text is rejected only where no language can be told: it has no letter, or even
-# the best language is hardly likely.  Short and mixed texts score higher.
+# A text is rejected where no language can be told: it has no letter, or even the best
+# language is hardly likely.  With two families of two languages no text with a letter
+# scores below 0.25, so that only texts without letters go; with more, others may.
 LEAST_SCORE = 0.2
 CAPACITY = 2048
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
