@@ -33,13 +33,11 @@ MERGE_BATCH = 64
 
 # A dictionary up to this many bytes is broadcast; a larger one is joined.
 MAX_BROADCAST_BYTES = 16 << 20
-# Merge rounds between two writes of the word-type table.
-ROUNDS_PER_STAGE = 12
 # Pairs that the driver looks at in a round.
-LOOK = 20_000
-# Symbols of the words that one task merges on its own: bounds its memory.
+LOOK = 50_000
+# Symbols that one task merges on its own: bounds its memory.
 LOCAL_SYMBOLS = 2_000_000
-# Words remembered per task while segmenting.
+# Words, or parts of words, remembered per task.
 CACHE_WORDS = 200_000
 
 
@@ -83,45 +81,6 @@ def pair_counts(state: DataFrame, *more: Column) -> DataFrame:
     )
 
 
-def _take_batch(leading: Sequence, batch: int, made: set[str], complete: bool) -> list[tuple[str, str]]:
-    """The leading pairs that can be merged in one round with the same outcome.
-
-    Merging (a, b) changes only pairs that end in a or start with b, and a pair
-    it creates is never more frequent than the one it came from.  So the next
-    pair keeps its count and its turn unless it, or a pair of equal count, meets
-    a chosen pair that way or involves a symbol just created.  A merge that
-    yields a symbol made before may raise other pairs: it ends the round.
-    ``complete`` tells that ``leading`` holds all pairs there are.
-    """
-    chosen: list[tuple[str, str]] = []
-    starts: set[str] = set()
-    ends: set[str] = set()
-    created: set[str] = set()
-
-    def meets(pair) -> bool:
-        left, right = pair.left, pair.right
-        return (
-            left in ends
-            or right in starts
-            or bool(created & {left, right})
-            or left + right in starts | ends | created
-        )
-
-    for row in leading:
-        if chosen:
-            if not complete and row.cnt == leading[-1].cnt:
-                break  # pairs of equal count may lie beyond the list
-            if any(meets(rival) for rival in leading if rival.cnt == row.cnt):
-                break
-        chosen.append((row.left, row.right))
-        starts.add(row.left)
-        ends.add(row.right)
-        created.add(row.left + row.right)
-        if len(chosen) == batch or row.left + row.right in made:
-            break
-    return chosen
-
-
 def _join_pairs(symbols: list[str], pairs: set[tuple[str, str]]) -> list[str]:
     """One left-to-right pass that joins every listed pair."""
     out: list[str] = []
@@ -144,10 +103,12 @@ class _Larger(tuple):
 
 
 class _Merger:
-    """Merges of some words, with the counts of their pairs kept up to date.
+    """Merges of some words, or parts of words, with their pair counts kept up to date.
 
-    The words hold every occurrence of the pairs that are more frequent than
-    ``floor``; other pairs may also occur elsewhere, ``floor`` times at most.
+    They hold every occurrence of the pairs that are more frequent than ``floor``;
+    other pairs may also occur elsewhere, ``floor`` times at most.  A new pair holds
+    one of the first pairs at its seam.  Where all its occurrences have the same one,
+    they are all here, or they are ``floor`` at most.
     """
 
     def __init__(self, words: Sequence[str], counts: Sequence[int], floor: int, made: set[str]) -> None:
@@ -161,8 +122,11 @@ class _Merger:
                 self.holders[pair].add(i)
         self.heap = [(-n, _Larger(p)) for p, n in self.totals.items()]
         heapify(self.heap)
-        # Symbols made once more: elsewhere they may stand beside the same symbols.
-        self.again: set[str] = set()
+        # First symbols that a made symbol may start and end with; several where it
+        # was made in several ways, so that its pairs have several seams.
+        self.starts: dict[str, set[str]] = {}
+        self.ends: dict[str, set[str]] = {}
+        self.most_starts = self.most_ends = 1
         self.unsure: list[tuple[int, _Larger]] = []
 
     def _best(self, heap: list[tuple[int, _Larger]]) -> tuple[int, tuple[str, str]] | None:
@@ -173,21 +137,40 @@ class _Merger:
             heappop(heap)
         return None
 
+    def _most_unsure(self) -> int:
+        """How often a pair with several seams may occur at most."""
+        while self.unsure:
+            bound, pair = self.unsure[0]
+            n = self.totals.get(tuple(pair), 0)
+            now = -n - (self._seams(pair) - 1) * self.floor
+            if n and now == bound:
+                return -bound
+            heappop(self.unsure)  # ``_count`` has pushed the pair as it is now
+        return 0
+
+    def _seams(self, pair: tuple[str, str]) -> int:
+        return len(self.ends.get(pair[0], "1")) * len(self.starts.get(pair[1], "1"))
+
     def next(self, min_count: int) -> tuple[str, str] | None:
         """The pair to merge, if it is certain that no other one comes first."""
         best = self._best(self.heap)
-        if best is None or best[0] <= self.floor or best[0] < min_count:
+        # A pair of which nothing is here may have ``floor`` occurrences at each seam.
+        if best is None or best[0] <= self.floor * self.most_ends * self.most_starts or best[0] < min_count:
             return None
-        unsure = self._best(self.unsure)
-        if unsure is not None and unsure[0] + self.floor >= best[0]:
+        if self._most_unsure() >= best[0]:
             return None
         return best[1]
 
     def merge(self, pair: tuple[str, str]) -> None:
         """Join a pair in the words that hold it; only their pairs are counted anew."""
         symbol = pair[0] + pair[1]
-        if symbol in self.made and self.floor > 0:
-            self.again.add(symbol)
+        again = self.floor > 0 and symbol in self.made
+        if self.floor > 0:
+            old = {symbol} if again else set()
+            self.starts[symbol] = self.starts.get(symbol, old) | self.starts.get(pair[0], {pair[0]})
+            self.ends[symbol] = self.ends.get(symbol, old) | self.ends.get(pair[1], {pair[1]})
+            self.most_starts = max(self.most_starts, len(self.starts[symbol]))
+            self.most_ends = max(self.most_ends, len(self.ends[symbol]))
         self.made.add(symbol)
         changed: dict[tuple[str, str], int] = defaultdict(int)
         for i in self.holders.pop(pair):
@@ -205,6 +188,10 @@ class _Merger:
             if n:
                 self._count(p, self.totals[p] + n)
         self.totals.pop(pair, None)
+        if again:
+            for p, n in self.totals.items():
+                if symbol in p and (seams := self._seams(p)) > 1:
+                    heappush(self.unsure, (-n - (seams - 1) * self.floor, _Larger(p)))
 
     def _count(self, pair: tuple[str, str], n: int) -> None:
         if n <= 0:
@@ -212,44 +199,52 @@ class _Merger:
             return
         self.totals[pair] = n
         heappush(self.heap, (-n, _Larger(pair)))
-        if self.again and not self.again.isdisjoint(pair):
-            heappush(self.unsure, (-n, _Larger(pair)))
-
+        if self.floor > 0 and (seams := self._seams(pair)) > 1:
+            heappush(self.unsure, (-n - (seams - 1) * self.floor, _Larger(pair)))
 
-_LOCAL = "rank int, left string, right string, token string, cnt bigint, symbols string"
 
-
-def _local_round(words: DataFrame, floor: int, min_count: int, most: int, made: set[str]) -> DataFrame:
-    """One task merges ``words`` (bounded by ``LOCAL_SYMBOLS``): rows of merges and of words."""
+def _local_round(parts: DataFrame, floor: int, min_count: int, most: int, made: set[str]) -> list[tuple[str, str]]:
+    """One task merges ``parts`` (bounded by ``LOCAL_SYMBOLS``); the merges in order."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("token")
+        group = group.sort_values("symbols")
         merger = _Merger(group["symbols"], group["cnt"], floor, made)
-        out = []
+        out: list[tuple[int, str, str]] = []
         while len(out) < most and (pair := merger.next(min_count)):
             merger.merge(pair)
-            out.append((len(out), *pair, None, None, None))
-        out += [
-            (None, None, None, token, n, " ".join(w))
-            for token, n, w in zip(group["token"], merger.counts, merger.words, strict=True)
-        ]
-        columns = [c.split()[0] for c in _LOCAL.split(", ")]
-        return pd.DataFrame(out, columns=columns).astype({"rank": "Int32", "cnt": "Int64"})
-
-    return words.withColumn("_one", F.lit(0)).groupBy("_one").applyInPandas(run, _LOCAL)
-
-
-def _tracked(leading: Sequence, complete: bool, most: int, min_count: int) -> tuple[int, list]:
-    """The most frequent pairs whose words have ``most`` symbols together at most, and the
-    count that no other pair exceeds."""
-    load, n = 0, 0
-    while n < len(leading) and load + leading[n].load <= most:
-        load += leading[n].load
-        n += 1
-    if n == len(leading) and complete:
-        return min_count - 1, list(leading)
-    floor = leading[min(n, len(leading) - 1)].cnt
-    return floor, [row for row in leading[:n] if row.cnt > floor]
+            out.append((len(out), *pair))
+        return pd.DataFrame(out, columns=["rank", "left", "right"]).astype({"rank": "int32"})
+
+    found = parts.withColumn("_one", F.lit(0)).groupBy("_one").applyInPandas(run, "rank int, left string, right string")
+    return [(r.left, r.right) for r in sorted(found.collect(), key=lambda r: r.rank)]
+
+
+def _counted(found: dict[str, int]) -> pd.DataFrame:
+    return pd.DataFrame({"symbols": list(found), "cnt": list(found.values())}).astype({"symbols": object, "cnt": "int64"})
+
+
+def _parts(state: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
+    """``(symbols, cnt)``: the runs of words in which each pair is one of ``pairs``."""
+    wanted = set(pairs)
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found: dict[str, int] = defaultdict(int)
+        for batch in batches:
+            for word, n in zip(batch["symbols"], batch["cnt"], strict=True):
+                symbols = word.split(" ")
+                start = 0
+                for i in range(1, len(symbols) + 1):
+                    if i == len(symbols) or (symbols[i - 1], symbols[i]) not in wanted:
+                        if i - start > 1:
+                            found[" ".join(symbols[start:i])] += n
+                        start = i
+            if len(found) > CACHE_WORDS:
+                yield _counted(found)
+                found.clear()
+        yield _counted(found)
+
+    cuts = state.select("symbols", "cnt").mapInPandas(cut, "symbols string, cnt bigint")
+    return cuts.groupBy("symbols").agg(F.sum("cnt").alias("cnt"))
 
 
 def learn_subwords(
@@ -265,94 +260,84 @@ def learn_subwords(
     pair; the outcome does not depend on ``batch`` and ``local_symbols``.
 
     The corpus is read once, for ``counts``; the driver sees leading pairs and merges.
-    Pairs are counted over the word-type table.  Where the words that hold the
-    leading pairs have at most ``local_symbols`` symbols, one task gets these words
-    and merges, keeping its pair counts up to date, until a pair that other words
-    may hold as often has its turn: the more merges have been made, the fewer words
-    hold a pair, and the more merges a round makes.  Where even the first pair is
-    in too many words, a distributed round merges up to ``batch`` leading pairs, as
-    many as leave the outcome unchanged.
+    A round counts the pairs of the word-type table, and cuts the words wherever a
+    pair is none of the leading ones: what is left are short runs, most of them in
+    many words, that are counted in the tasks.  At most ``local_symbols`` symbols of
+    them go to one task, which merges and keeps its pair counts up to date until a
+    pair that is cut elsewhere may have its turn.  Then all words are merged that far.
+    ``batch`` is the number of leading pairs of the first round; it doubles as long as
+    the runs are few.
     """
     spark = counts.sparkSession
     state = stage_table(spread(start_symbols(counts), "token"), "subword-state")
-    pending: list[set[tuple[str, str]]] = []
     merges: list[tuple[str, str]] = []
     made: set[str] = set()
-    close = 4 * batch + 1
-    look = max(LOOK, close)
+    lead = batch
     while len(merges) < num_merges:
-        now = _apply_rounds(state, pending)
+        most = num_merges - len(merges)
+        symbols = state.agg(F.sum(F.size(F.split("symbols", " ")))).first()[0] or 0
+        if symbols <= local_symbols:
+            merges.extend(_local_round(state.select("symbols", "cnt"), 0, min_count, most, made))
+            break
         leading = (
-            pair_counts(now, F.sum("size").alias("load"))
+            pair_counts(state)
             .filter(F.col("cnt") >= min_count)
             .orderBy(F.desc("cnt"), F.desc("left"), F.desc("right"))
-            .limit(look)
+            .limit(LOOK)
             .collect()
         )
         if not leading:
             break
-        symbols = now.agg(F.sum(F.size(F.split("symbols", " ")))).first()[0]
-        whole = symbols <= local_symbols
-        floor, tracked = _tracked(leading, len(leading) < look, local_symbols, min_count)
-        if whole or tracked:
-            if pending:
-                state, pending = stage_table(spread(now, "token"), "subword-state"), []
-            touched = state if whole else _holding(state, [(row.left, row.right) for row in tracked])
-            most = num_merges - len(merges)
-            floor = 0 if whole else floor
-            done = stage_table(_local_round(touched.select("token", "cnt", "symbols"), floor, min_count, most, made), "merged")
-            new = [(r.left, r.right) for r in done.filter("rank is not null").orderBy("rank").collect()]
-            if whole:
-                merges.extend(new)
+        # The first pair is certain, whatever follows.
+        new = [(leading[0].left, leading[0].right)]
+        shrunk = False
+        while lead > 1:
+            whole = lead >= len(leading) and len(leading) < LOOK
+            floor = min_count - 1 if whole else leading[min(lead, len(leading) - 1)].cnt
+            tracked = [(row.left, row.right) for row in leading[:lead] if row.cnt > floor]
+            if not tracked:  # as many pairs are equally frequent
+                if shrunk or lead >= len(leading):
+                    break
+                lead *= 2
+                continue
+            parts = stage_table(_parts(state, tracked), "subword-parts")
+            size = parts.agg(F.sum(F.size(F.split("symbols", " ")))).first()[0]
+            if size <= local_symbols:
+                new = _local_round(parts, floor, min_count, most, made)
+                if size <= local_symbols // 4:
+                    lead = min(lead * 2, LOOK)
                 break
-            words = done.filter("rank is null").select("token", "cnt", "symbols")
-            rest = state.join(words.select("token"), "token", "left_anti")
-            joined = rest.select("token", "cnt", "symbols").union(words.filter(F.col("symbols").contains(" ")))
-            state = stage_table(spread(joined, "token"), "subword-state")
-        else:
-            new = _take_batch(leading[:close], min(batch, num_merges - len(merges)), made, len(leading) < close)
-            pending.append(set(new))
-            if len(pending) == ROUNDS_PER_STAGE:
-                state, pending = stage_table(spread(_apply_rounds(state, pending), "token"), "subword-state"), []
+            lead, shrunk = lead // 2, True
+        lead = max(lead, 2)
+        state = stage_table(_apply_merges(state, new), "subword-state")
         merges.extend(new)
         made.update(left + right for left, right in new)
     rows = [(rank, left, right) for rank, (left, right) in enumerate(merges)]
     return spark.createDataFrame(rows, "rank int, left string, right string")
 
 
-def _holding(state: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
-    """The words that hold one of the pairs (at most ``LOOK`` of them)."""
-    wanted = state.sparkSession.createDataFrame(pairs, "left string, right string")
-    s = F.split("symbols", " ")
-    zipped = F.arrays_zip(
-        F.slice(s, F.lit(1), F.size(s) - 1).alias("l"), F.slice(s, F.lit(2), F.size(s) - 1).alias("r")
-    )
-    held = state.filter(F.size(s) > 1).select("token", F.inline_outer(zipped).alias("left", "right"))
-    found = held.join(F.broadcast(wanted), ["left", "right"], "left_semi").select("token").distinct()
-    return state.join(found, "token", "left_semi")
-
-
-def _apply_rounds(state: DataFrame, rounds: list[set[tuple[str, str]]]) -> DataFrame:
-    """The word-type table after some rounds of merges, one-symbol words left out."""
-    if not rounds:
-        return state
+def _merge_in_order(symbols: list[str], ranks: dict[tuple[str, str], int]) -> list[str]:
+    """The listed pairs joined one after the other; a pair's turn comes once."""
+    last = -1
+    while len(symbols) > 1:
+        turns = [r for p in zip(symbols, symbols[1:]) if (r := ranks.get(p, -1)) > last]
+        if not turns:
+            break
+        last = min(turns)
+        symbols = _join_pairs(symbols, {p for p in zip(symbols, symbols[1:]) if ranks.get(p) == last})
+    return symbols
 
-    # Most words hold none of a round's pairs: a plain substring test tells.
-    marks = [(pairs, [f"{left} {right}" for left, right in pairs]) for pairs in rounds]
 
-    def merged(word: str) -> str:
-        for pairs, texts in marks:
-            if any(text in word for text in texts):
-                word = " ".join(_join_pairs(word.split(" "), pairs))
-        return word
+def _apply_merges(state: DataFrame, merges: Sequence[tuple[str, str]]) -> DataFrame:
+    """The word-type table after some merges, one-symbol words left out."""
+    ranks = {pair: rank for rank, pair in enumerate(merges)}
 
     @F.pandas_udf("string")
-    def join_rounds(words: pd.Series) -> pd.Series:
-        return words.map(merged)
+    def join(words: pd.Series) -> pd.Series:
+        return words.map(lambda word: " ".join(_merge_in_order(word.split(" "), ranks)))
 
-    return state.withColumn("symbols", join_rounds("symbols")).filter(
-        F.col("symbols").contains(" ")
-    )
+    joined = state.withColumn("symbols", join("symbols"))
+    return joined.filter(F.col("symbols").contains(" "))
 
 
 def _segment(word: str, ranks: dict[tuple[str, str], int]) -> str:

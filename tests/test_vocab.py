@@ -134,3 +134,44 @@ def test_tokenise(spark, lang, text, expected):
 def test_detokenise(spark):
     df = spark.createDataFrame([("Don &apos;t open ( 3 , 5 ) files , please .",)], "t string")
     assert df.select(K.detokenise(F.col("t"), "en")).first()[0] == "Don't open (3, 5) files, please."
+
+
+@pytest.mark.parametrize("share", [0.1, 0.3, 0.6, 0.9])
+def test_rounds_with_parts_of_words(share):
+    """A round on the runs of the leading pairs makes merges of the whole, and at least one."""
+    for seed in range(80):
+        words = random_words(seed, ["aab", "abcde", "ab", "aabc"][seed % 4], 60, [12, 200][seed % 2])
+        state = {w: [*w[:-1], w[-1] + V.WORD_END] for w in words}
+        want, made, done = brute_merges(words, 10**6), set(), 0
+        while done < len(want):
+            totals = Counter()
+            for w, s in state.items():
+                for p in zip(s, s[1:]):
+                    totals[p] += words[w]
+            ranked = sorted(totals.values(), reverse=True)
+            floor = min(ranked[int(len(ranked) * share * 0.5)], ranked[0] - 1)
+            runs = Counter()
+            for w, s in state.items():
+                start = 0
+                for i in range(1, len(s) + 1):
+                    if i == len(s) or totals[s[i - 1], s[i]] <= floor:
+                        if i - start > 1:
+                            runs[" ".join(s[start:i])] += words[w]
+                        start = i
+            merger = V._Merger(list(runs), list(runs.values()), floor, made)
+            new = []
+            while pair := merger.next(2):
+                merger.merge(pair)
+                new.append(pair)
+            assert new and new == want[done : done + len(new)], (seed, done)
+            done += len(new)
+            made |= {a + b for a, b in new}
+            ranks = {pair: r for r, pair in enumerate(new)}
+            state = {w: V._merge_in_order(s, ranks) for w, s in state.items()}
+
+
+def test_parts_join_equal_runs_of_many_words(spark):
+    """What one task merges is counted by run, not by word: it is small where words are many."""
+    rows = [(f"{a}{b}xy", 1, f"{a} {b} x y</w>") for a in "abcdefgh" for b in "abcdefgh"]
+    df = spark.createDataFrame(rows, "token string, cnt bigint, symbols string")
+    assert [tuple(r) for r in V._parts(df, [("x", "y</w>")]).collect()] == [("x y</w>", 64)]
