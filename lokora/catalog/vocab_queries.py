@@ -204,7 +204,7 @@ found as (
 
 
 def _encoded(spark: SparkSession, sf: str) -> DataFrame:
-    tok = _tokenised(spark, sf)
+    tok = stage_table(_tokenised(spark, sf), "tokenised")
     side = B.build_dictionary(B.token_counts(tok, "src"))
     return B.encode_corpus(tok, "tgt", side, ["filepath", "pos"])
 

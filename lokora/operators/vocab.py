@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from lokora.functions.tokens import words
 from lokora.operators.ordering import global_index
-from lokora.session import broadcast_if_small, spread, stage_table
+from lokora.session import spread, stage_table
 
 # Ship the helpers below with their UDFs, so workers need no installed package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -396,21 +396,47 @@ def encode_corpus(
     """Token ids in order, per row of ``df`` (``key`` is its unique key).
 
     Rows are placed by key first and keep that place through the token join, so
-    tokens go back to their row without a second shuffle.
+    tokens go back to their row without a second shuffle.  Of a dictionary over
+    ``max_broadcast`` bytes the frequent tokens are sent to every task, and only the
+    other tokens of the text move to be looked up.
     """
-    key = list(key)
-    placed = df.select(*key, column).repartition(*key)
-    tokens = placed.select(*key, F.posexplode_outer(words(F.col(column))).alias("_pos", "token"))
+    # As one value, so that rows with a null in their key join too.
+    row = F.struct(*key).alias("_row")
+    placed = df.select(row, F.col(column).alias("_line")).repartition("_row")
+    tokens = placed.select("_row", F.posexplode_outer(words(F.col("_line"))).alias("_pos", "token"))
     ids = dictionary.select("token", F.col("id").cast("int").alias("_id"))
-    looked_up = tokens.join(broadcast_if_small(ids, max_broadcast), "token", "left")
-    entry = F.when(
-        F.col("_pos").isNotNull(), F.struct("_pos", F.coalesce("_id", F.lit(UNKNOWN_ID)).alias("_id"))
-    )
-    ordered = looked_up.groupBy(*key).agg(F.array_sort(F.collect_list(entry)).alias("_e"))
-    encoded = F.col("_e._id")
+    frequent = _first_ids(ids, max_broadcast)
+    looked_up = tokens.join(F.broadcast(ids if frequent is None else frequent), "token", "left")
+
+    def listed(rows: DataFrame, entry: Column, name: str) -> DataFrame:
+        return rows.groupBy("_row").agg(F.collect_list(entry).alias(name))
+
+    place = F.col("_pos").isNotNull()
+    found = F.struct("_pos", F.coalesce("_id", F.lit(UNKNOWN_ID)).alias("_id"))
+    if frequent is None:
+        ordered = listed(looked_up, F.when(place, found), "_e")
+        entries = F.col("_e")
+    else:
+        # Only tokens that are not frequent are looked up by a shuffle.
+        rare = looked_up.filter(place & F.col("_id").isNull()).select("_row", "_pos", "token")
+        others = listed(rare.join(ids, "token", "left"), found, "_o")
+        ordered = listed(looked_up, F.when(place & F.col("_id").isNotNull(), found), "_e").join(others, "_row", "left")
+        entries = F.when(F.col("_o").isNull(), F.col("_e")).otherwise(F.concat("_e", "_o"))
+    encoded = F.array_sort(entries)["_id"]
     if eos:
         encoded = F.concat(encoded, F.array(F.lit(EOS_ID)))
-    return ordered.select(*key, encoded.alias(out))
+    return ordered.select(*[F.col("_row")[k].alias(k) for k in key], encoded.alias(out))
+
+
+def _first_ids(ids: DataFrame, max_bytes: int) -> DataFrame | None:
+    """The lowest ids, those of the most frequent tokens, as far as ``max_bytes`` go; none
+    where all tokens are that few."""
+    # A token takes two words of a row and its bytes.
+    row = F.octet_length("token") + 16
+    n, size = ids.agg(F.count(F.lit(1)), F.sum(row.cast("long"))).first()
+    if (size or 0) <= max_bytes:
+        return None
+    return ids.filter(F.col("_id") < len(RESERVED) + max_bytes * n // size)
 
 
 def oov_report(encoded: DataFrame, by: Sequence[str], column: str = "ids") -> DataFrame:

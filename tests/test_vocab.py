@@ -175,3 +175,18 @@ def test_parts_join_equal_runs_of_many_words(spark):
     rows = [(f"{a}{b}xy", 1, f"{a} {b} x y</w>") for a in "abcdefgh" for b in "abcdefgh"]
     df = spark.createDataFrame(rows, "token string, cnt bigint, symbols string")
     assert [tuple(r) for r in V._parts(df, [("x", "y</w>")]).collect()] == [("x y</w>", 64)]
+
+
+def test_only_rare_tokens_move_to_be_looked_up(spark):
+    """A dictionary too large to broadcast: frequent tokens are found where they are."""
+    df = spark.range(50).select(
+        F.expr("nullif(id, 49)").alias("id"), F.expr("concat('a a b c w', id, ' zz')").alias("line")
+    )
+    d = V.build_dictionary(V.token_counts(df.filter("id < 40")))
+    size = d.agg(F.sum(F.octet_length("token") + 16)).first()[0]
+    got = V.encode_corpus(df, "line", d, ["id"], max_broadcast=size // 2)
+    text = got._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin [token" in text and "isnull(_id" in text
+    ids = {r.token: r.id for r in d.collect()}
+    for r in got.collect():
+        assert r.ids == [ids.get(w, 3) for w in f"a a b c w{49 if r.id is None else r.id} zz".split()]
