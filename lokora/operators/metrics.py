@@ -6,11 +6,14 @@ import math
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lokora.functions import distance
 from lokora.functions.moves import move_blocks
-from lokora.functions.once import let, with_columns_once
+from lokora.functions.ngrams import clipped_counts
+from lokora.functions.once import with_columns_once
 from lokora.functions.tokens import tokens_13a
 from lokora.session import spread
 
@@ -19,9 +22,6 @@ BLEU_ORDER = 4
 SCORE_DIGITS = 4
 # ---------------------------------------------------------------------------
 
-# Each band is four times as wide: the cost is about the distance times the length.
-EDIT_BANDS = (16, 64, 256, 1024, 4096, 16384)
-
 
 def align_hypotheses(
     hypotheses: DataFrame,
@@ -77,63 +77,48 @@ def ngram_matches(
     """Per group and n: clipped matches, hypothesis n-grams and reference n-grams.
 
     ``key`` identifies a row inside its group.  Rows are placed by their key
-    before they are taken apart: the n-grams, many times the size of the text,
-    are counted where they arise and only sums leave the task.
+    before their n-grams, many times the size of the text, are counted row by row,
+    without being taken apart; only sums leave the task.
     """
     by, key = list(by), list(key)
     row = [*by, *key]
     placed = spread(pairs.select(*row, "hyp", "ref"), *row)
-    sided = placed.select(*row, tokens(F.col("hyp")).alias("h"), tokens(F.col("ref")).alias("r"))
-    listed = sided.select(
-        *row, _ngrams(F.col("h"), order).alias("h"), _ngrams(F.col("r"), order).alias("r")
-    )
-    grams = listed.select(
-        *row, F.size("h").alias("_nh"), F.posexplode_outer(F.concat("h", "r")).alias("_i", "gram")
-    ).filter(F.col("gram").isNotNull())
-    # Tokens hold no blank, so the blanks of an n-gram tell its n.
-    n = F.length("gram") - F.length(F.replace("gram", F.lit(" "), F.lit(""))) + 1
-    counted = grams.groupBy(*row, "gram").agg(
-        F.count_if(F.col("_i") < F.col("_nh")).alias("h"),
-        F.count_if(F.col("_i") >= F.col("_nh")).alias("r"),
-    )
-    return counted.groupBy(*by, n.alias("n")).agg(
-        F.sum(F.least("h", "r")).alias("matches"),
+    sided = with_columns_once(placed.select(*row, tokens(F.col("hyp")).alias("h"), tokens(F.col("ref")).alias("r")), {
+        "_n": _counts("h", "r", order)
+    })
+    numbers = [F.get("_n", F.lit(k * order) + F.col("n") - 1) for k in range(3)]
+    listed = sided.select(*by, "_n", F.explode(F.sequence(F.lit(1), F.lit(order))).alias("n"))
+    counted = listed.select(*by, "n", *[c.alias(name) for c, name in zip(numbers, "mhr", strict=True)])
+    return counted.filter((F.col("h") > 0) | (F.col("r") > 0)).groupBy(*by, "n").agg(
+        F.sum("m").alias("matches"),
         F.sum("h").alias("hyp_ngrams"),
         F.sum("r").alias("ref_ngrams"),
     )
 
 
-def _ngrams(tokens: Column, order: int) -> Column:
-    """All n-grams up to ``order``; each n extends the (n-1)-grams by one token."""
-    lists = [tokens]
-    for n in range(2, order + 1):
-        size = F.greatest(F.size(tokens) - (n - 1), F.lit(0))
-        lists.append(
-            F.zip_with(
-                F.slice(lists[-1], F.lit(1), size),
-                F.slice(tokens, F.lit(n), size),
-                lambda gram, token: F.concat(gram, F.lit(" "), token),
-            )
-        )
-    return F.concat(*lists)
+def _counts(left: str, right: str, order: int) -> Column:
+    """The numbers of ``clipped_counts`` of two token lists, one behind the other."""
 
+    @F.arrow_udf("array<bigint>")
+    def count(left: pa.Array, right: pa.Array) -> pa.Array:
+        numbers = clipped_counts(left, right, order)
+        offsets = pa.array(range(0, numbers.size + 1, 3 * order), pa.int32())
+        return pa.ListArray.from_arrays(offsets, pa.array(numbers.ravel()))
 
-def edit_distance(left: Column, right: Column) -> Column:
-    """Exact edit distance; close texts are settled in a narrow band first.
+    return count(left, right)
 
-    A band of width t costs t times the length instead of its square, and answers
-    only when the distance is at most t.
-    """
-    distance = F.levenshtein(left, right)
-    for band in sorted(EDIT_BANDS, reverse=True):
-        distance = _within_band(left, right, band, distance)
-    return distance
 
+def edit_distance(left: Column, right: Column) -> Column:
+    """Exact edit distance in characters."""
 
-def _within_band(left: Column, right: Column, band: int, otherwise: Column) -> Column:
-    return let(
-        F.levenshtein(left, right, band), lambda d: F.when(d >= 0, d).otherwise(otherwise)
-    )
+    @F.pandas_udf("int")
+    def distances(lefts: pd.Series, rights: pd.Series) -> pd.Series:
+        return pd.Series([
+            None if a is None or b is None else distance.edit_distance(a, b)
+            for a, b in zip(lefts, rights, strict=True)
+        ], dtype="Int32")
+
+    return distances(left, right)
 
 
 def corpus_bleu(
@@ -182,22 +167,27 @@ def corpus_bleu(
     )
 
 
-def _moved(hyp: str, ref: str) -> Column:
-    """The hypothesis after its block moves; nothing where there are none."""
+def _edits(hyp: str, ref: str) -> Column:
+    """Character edits, block moves and their cost, as ``with_edits`` has them."""
 
-    @F.pandas_udf("moved string, moves int, cost double")
-    def search(rows: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("edits int, moves int, move_cost double")
+    def measure(rows: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for hyps, refs in rows:
             out = []
             for hyp, ref in zip(hyps, refs, strict=True):
-                moved: list[list[str]] = []
-                if hyp is not None and ref is not None and hyp != ref:
-                    words, moved = move_blocks(hyp.split(" "), ref.split(" "))
-                cost = sum(sum(map(len, run)) / len(run) for run in moved)
-                out.append((" ".join(words) if moved else None, len(moved), cost))
-            yield pd.DataFrame(out, columns=["moved", "moves", "cost"])
+                if hyp is None or ref is None:
+                    out.append((None, 0, 0.0))
+                    continue
+                best = (distance.edit_distance(hyp, ref), 0, 0.0)
+                words, moved = move_blocks(hyp.split(" "), ref.split(" ")) if best[0] else ([], [])
+                if moved:
+                    after = distance.edit_distance(" ".join(words), ref)
+                    cost = sum(sum(map(len, run)) / len(run) for run in moved)
+                    best = (after, len(moved), cost) if after + cost < best[0] else best
+                out.append(best)
+            yield pd.DataFrame(out, columns=["edits", "moves", "move_cost"]).astype({"edits": "Int32"})
 
-    return search(hyp, ref)
+    return measure(hyp, ref)
 
 
 def with_edits(pairs: DataFrame) -> DataFrame:
@@ -207,16 +197,8 @@ def with_edits(pairs: DataFrame) -> DataFrame:
     is left after the moves is counted in characters.  Where that is not cheaper
     than to edit the text as it is, nothing is moved.
     """
-    searched = with_columns_once(pairs, {"_m": _moved("hyp", "ref")})
-    after = F.when(F.col("_m.moves") > 0, edit_distance(F.col("_m.moved"), F.col("ref")))
-    measured = with_columns_once(searched, {"_plain": edit_distance(F.col("hyp"), F.col("ref")), "_after": after})
-    cheaper = F.coalesce(F.col("_after") + F.col("_m.cost") < F.col("_plain"), F.lit(False))
-    return measured.select(
-        *pairs.columns,
-        F.when(cheaper, F.col("_after")).otherwise(F.col("_plain")).alias("edits"),
-        F.when(cheaper, F.col("_m.moves")).otherwise(0).alias("moves"),
-        F.when(cheaper, F.col("_m.cost")).otherwise(0.0).alias("move_cost"),
-    )
+    measured = with_columns_once(pairs, {"_e": _edits("hyp", "ref")})
+    return measured.select(*pairs.columns, "_e.*")
 
 
 def character_edit_rate(

@@ -1,5 +1,6 @@
 import math
 import random
+import time
 from collections import Counter
 from pathlib import Path
 
@@ -7,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lokora.catalog import vocab_queries
+from lokora.functions import distance
 from lokora.functions.moves import move_blocks
 from lokora.functions.tokens import words
 from lokora.operators import metrics as M
@@ -165,6 +167,22 @@ def test_ngrams_are_counted_where_rows_are(spark):
     assert plan.count("Exchange hashpartitioning") == 2
 
 
+def test_ngrams_stay_where_a_group_column_is_fixed(spark):
+    """A constant among the group columns brings no exchange of the n-grams back."""
+    df = spark.createDataFrame(sample(), SCHEMA).withColumn("seed", F.lit(2))
+    counts = M.ngram_matches(df, ["g", "seed"], ["row_id"])
+    assert counts._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 2
+    plain = M.ngram_matches(df, ["g"], ["row_id"])
+    assert sorted(map(tuple, counts.drop("seed").collect())) == sorted(map(tuple, plain.collect()))
+
+
+def test_ngrams_of_missing_and_empty_texts(spark):
+    rows = [("a", 0, None, "x y"), ("a", 1, "x", ""), ("b", 2, "", None), ("c", 3, "x x y", "x y y")]
+    got = {(r.g, r.n): tuple(r)[2:] for r in M.ngram_matches(spark.createDataFrame(rows, SCHEMA), ["g"], ["row_id"]).collect()}
+    want = {("a", 1): (0, 1, 2), ("a", 2): (0, 0, 1), ("c", 1): (2, 3, 3), ("c", 2): (1, 2, 2), ("c", 3): (0, 1, 1)}
+    assert got == want
+
+
 def test_edit_rate(spark):
     rows = sample()
     got = {r.g: r for r in M.character_edit_rate(spark.createDataFrame(rows, SCHEMA), ["g"]).collect()}
@@ -206,6 +224,35 @@ def test_edit_distance_beyond_the_bands(spark):
     assert got == [brute_edits(a, b) for a, b in rows]
 
 
+def test_edit_distance_both_ways_as_brute_force():
+    """Diagonals and columns of bits give the same distance, also over long equal runs."""
+    rng = random.Random(6)
+    for turn in range(300):
+        letters = "abcdü\U0001f600"[: rng.randint(1, 6)]
+        a = "".join(rng.choice(letters) for _ in range(rng.randint(0, 90)))
+        b = list(a) if turn % 3 else [rng.choice(letters) for _ in range(rng.randint(0, 90))]
+        for _ in range(rng.randint(0, 6)):
+            i = rng.randint(0, len(b))
+            b[i : i + rng.randint(0, 2)] = rng.choice(["", "a", "bü"])
+        b = "".join(b)
+        want = brute_edits(a, b)
+        assert distance.edit_distance(a, b) == want, (a, b)
+        assert not a or distance._by_columns(a, b) == want, (a, b)
+        assert distance._by_diagonals(a, b, want) == want, (a, b)
+        assert distance._by_diagonals(a, b, want - 1) is None, (a, b)
+
+
+def test_distance_of_long_texts_is_no_table():
+    """Some ten thousand characters that have little in common: no cell for each pair of them."""
+    rng = random.Random(7)
+    text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    a, b = text(30_000), text(29_000)
+    start = time.process_time()
+    far = distance.edit_distance(a, b)
+    assert 1_000 < far < 30_000 and distance.edit_distance(b, a) == far
+    assert time.process_time() - start < 30
+
+
 def test_hypothesis_lines(spark):
     df = spark.createDataFrame([("S-0\tx",), ("H-0\t-0.3\tein Tag",), ("P-0\t-1",)], "value string")
     assert [tuple(r) for r in hypothesis_lines(df).collect()] == [(0, -0.3, "ein Tag")]
