@@ -16,6 +16,8 @@ from __future__ import annotations
 
 import json
 import os
+import re
+import unicodedata
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -28,12 +30,14 @@ from pyspark.sql import functions as F
 
 from lokora.llm.common import pick, stage
 
-# Words a worker remembers with their ids in each of two generations: a full memory
-# becomes the older one, from which words that occur again return.
-REMEMBERED_WORDS = 300_000
+# Parts of words a worker remembers with their ids in each of two generations: a full memory
+# becomes the older one, from which parts that occur again return.
+REMEMBERED_WORDS = 200_000
 REMEMBERED_CHARS = 64
-# New words in one call of the tokenizer.
+# New parts in one call of the tokenizer.
 WORDS_AT_ONCE = 1_000
+# Characters of texts taken apart at once, but for a longer text: bounds memory.
+CHARS_AT_ONCE = 1 << 20
 # Parts of the space left that are tried for the middle lengths of a pattern of three and four.
 MIDDLE_CHOICES = [(8,), (4, 4)]
 PATTERN_PIECES = 4
@@ -54,21 +58,24 @@ PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 class WordTokens:
     """Ids of whole texts by a tokenizer that never joins across a blank or line end.
 
-    Words are remembered with their ids.  New words of Latin script go to the
-    tokenizer many in one string, with a mark between them that has an id of its
-    own; all others one by one.  A tokenizer that splits by other rules sees
-    whole texts.
+    Latin text is taken apart by the tokenizer's own rules, and its parts are remembered
+    with their ids.  New parts go to the tokenizer's model many in one string, where the end
+    of each shows in its last token.  Words with any other character go to the whole
+    tokenizer.  A tokenizer that splits by other rules sees whole texts.
     """
 
-    # Rules under which words may be taken apart: composing, one blank for white
-    # space, lower-casing, then this split.  Fixed values.
+    # Rules under which texts may be taken apart: composing, one blank for white
+    # space, lower-casing, then this split and one letter for each byte.  Fixed values.
     NORMAL = ["NFC", "Replace", "Lowercase"]
     SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-    LATIN = "\u0250"  # below: letters that composing and lower-casing keep one by one
+    BYTES = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": False}
+    BLANK = " \n\t\x0b\f\r"
+    # Below: characters that composing keeps, and lower-casing changes one by one.
+    LATIN = 0x250
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs one task per core
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
@@ -76,60 +83,102 @@ class WordTokens:
             rules = json.load(file)
         normal = [r["type"] for r in (rules["normalizer"] or {}).get("normalizers", [])]
         splits = (rules["pre_tokenizer"] or {}).get("pretokenizers", [{}])
-        self.by_word = normal == self.NORMAL and splits[0].get("pattern") == {"Regex": self.SPLIT}
-        self.mark, self.mark_id = self._mark()
-        self.words: dict[str, bytes] = {"": b""}
+        model, vocab, letters = rules["model"], self.tokenizer.get_vocab(), _byte_letters()
+        suffix = model.get("end_of_word_suffix")
+        self.by_word = (
+            normal == self.NORMAL and len(splits) == 2 and splits[0].get("pattern") == {"Regex": self.SPLIT}
+            and self.BYTES.items() <= splits[1].items() and rules["post_processor"] is None
+            and bool(suffix) and not model.get("dropout") and all(c in vocab and c + suffix in vocab for c in letters)
+        )
+        self.words: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
-
-    def _mark(self) -> tuple[str, int]:
-        """A Greek letter that is one token, so that no Latin word has its id; "" if there is none."""
-        for letter in map(chr, range(0x3B1, 0x3CA)):
-            ids = self.tokenizer.encode(letter, add_special_tokens=False).ids
-            if len(ids) == 1:
-                return letter, ids[0]
-        return "", -1
+        if self.by_word:
+            self.model = Tokenizer(self.tokenizer.model)
+            self.model.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+            self.ends = np.zeros(max(vocab.values()) + 1, bool)
+            self.ends[[i for token, i in vocab.items() if token.endswith(suffix)]] = True
+            self.letters = dict(enumerate(letters))
+            self._rules()
+
+    def _rules(self) -> None:
+        """Regular expressions for parts, and for words with a character that is not plain."""
+        marks = [chr(i) for i in range(self.LATIN) if chr(i).isprintable() and chr(i) not in self.BLANK]
+        plain = [c for c in marks if len(c.lower()) == 1 and ord(c.lower()) < self.LATIN]
+        lower = {c.lower() for c in plain}
+        kinds = [re.escape("".join(sorted(c for c in lower if unicodedata.category(c)[0] == kind))) for kind in "LN"]
+        every, blank = re.escape("".join(plain)), re.escape(self.BLANK)
+        letter, number = kinds
+        self.split = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{letter}]+|[{number}]|[^{letter}{number}{blank}]+").findall
+        self.other = re.compile(rf"[^{every}{blank}]")
+        inside = re.escape(self.BLANK.strip(" \n"))
+        self.other_word = re.compile(rf"(?<![^ \n])[{every}{inside}]*+[^{every}{blank}][^ \n]*")
 
     def _encoded(self, strings: list[str]) -> Iterator[bytes]:
         for ids in self.tokenizer.encode_batch_fast(strings, add_special_tokens=False):
             yield array("I", ids.ids).tobytes()
 
-    def _encoded_latin(self, words: list[str]) -> Iterator[bytes]:
-        if not self.mark:
-            yield from self._encoded(words)
-            return
-        between = f" {self.mark} "
-        for at in range(0, len(words), WORDS_AT_ONCE):
-            some = words[at : at + WORDS_AT_ONCE]
-            ids = np.frombuffer(next(self._encoded([between.join(some)])), "<u4")
-            ends = [*(4 * np.flatnonzero(ids == self.mark_id)).tolist(), 4 * len(ids)]
+    def _encoded_parts(self, parts: list[str]) -> Iterator[bytes]:
+        for at in range(0, len(parts), WORDS_AT_ONCE):
+            joined = " ".join(parts[at : at + WORDS_AT_ONCE])
+            if not joined.isascii():
+                joined = " ".join([p.encode().decode("latin-1").translate(self.letters) for p in joined.split(" ")])
+            ids = np.array(self.model.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u4")
             data, start = ids.tobytes(), 0
-            for end in ends:
+            for end in (4 * np.flatnonzero(self.ends[ids]) + 4).tolist():
                 yield data[start:end]
-                start = end + 4
+                start = end
+
+    def _parts(self, text: str, others: set[str]) -> list[str]:
+        """The parts of a text; words with other characters are parts, and go to ``others``."""
+        if not self.other.search(text):
+            return self.split(text.lower())
+        out, start = [], 0
+        for word in self.other_word.finditer(text):
+            out += self.split(text[start : word.start()].lower())
+            out.append(word[0])
+            others.add(word[0])
+            start = word.end()
+        return out + self.split(text[start:].lower())
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         if not self.by_word:
             yield from self._encoded(texts)
             return
-        split = [text.replace("\n", " ").split(" ") for text in texts]
-        seen = set().union(*split)
+        some, chars = [], 0
+        for text in texts:
+            some.append(text)
+            chars += len(text)
+            if chars > CHARS_AT_ONCE:
+                yield from self._encoded_apart(some)
+                some, chars = [], 0
+        yield from self._encoded_apart(some)
+
+    def _encoded_apart(self, texts: list[str]) -> Iterator[bytes]:
+        others: set[str] = set()
+        split = [self._parts(text, others) for text in texts]
         if len(self.words) > REMEMBERED_WORDS:
-            self.older, self.words = self.words, {"": b""}
-        new = seen.difference(self.words)
+            self.older, self.words = self.words, {}
+        new = set().union(*split).difference(self.words)
         again = new.intersection(self.older)
         self.words.update((w, self.older[w]) for w in again)
         new -= again
-        latin = [w for w in new if max(w) < self.LATIN]
-        other = list(new.difference(latin))
-        self.words.update(zip(latin, self._encoded_latin(latin), strict=True))
+        latin, other = list(new.difference(others)), list(new & others)
+        self.words.update(zip(latin, self._encoded_parts(latin), strict=True))
         self.words.update(zip(other, self._encoded(other), strict=True))
-        for words in split:
-            yield b"".join(map(self.words.__getitem__, words))
+        for parts in split:
+            yield b"".join(map(self.words.__getitem__, parts))
         for long in [w for w in new if len(w) > REMEMBERED_CHARS]:
             del self.words[long]
 
 
+def _byte_letters() -> list[str]:
+    """The letter that stands for each byte in a byte-level vocabulary (fixed by the format)."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return [chr(b if b in plain else next(others)) for b in range(256)]
+
+
 @cache
 def word_tokens(path: str) -> WordTokens:
     """One per worker process and tokenizer."""

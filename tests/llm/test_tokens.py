@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import random
 import zlib
 
 import numpy as np
@@ -180,3 +181,27 @@ def test_op10(llm, sf):
     want = sorted((d["doc_id"], *p) for d in docs for p in pieces_of(d["text"]))
     assert sorted((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in rows) == want
     assert check_packed(rows, 2048) <= 1.01 * sum(r["length"] for r in rows) / 2048 + 1
+
+
+def test_word_tokens_of_mixed_texts_as_the_library(monkeypatch):
+    """Random texts of Latin and other characters, blanks of all kinds, in runs of a few."""
+    monkeypatch.setattr(packing, "CHARS_AT_ONCE", 100)
+    monkeypatch.setattr(packing, "REMEMBERED_WORDS", 50)
+    rng = random.Random(8)
+    some = [chr(i) for i in range(0x300)] + list("\u0301\u0307\u1e9e\u2c65\u3000\u200b\u2028Σς東京\U0001f600ﬁ")
+    words = ["don't", "I'LL", "x2", "</w>", "<|endoftext|>", "Öl-Preis", "naïve,", "E\u0301", "a]b^c\\d"]
+    texts = [
+        "".join(rng.choice([*words, " ", " ", "\n", "\t", *rng.sample(some, 6)]) for _ in range(rng.randint(0, 60)))
+        for _ in range(400)
+    ]
+    texts += [c + "a " + c + " b" + c for c in some]
+    by = packing.WordTokens(WORD_TOKENIZER)
+    for text, got in zip(texts, by.encode(texts), strict=True):
+        want = by.tokenizer.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(got, "<u4").tolist() == want, text
+
+
+def test_parts_are_remembered_not_words():
+    by = packing.WordTokens(WORD_TOKENIZER)
+    list(by.encode(["Alpha, alpha. (ALPHA) Alpha"]))
+    assert "alpha" in by.words and len(by.words) <= 5
