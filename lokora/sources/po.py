@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from lokora.functions import text as T
 from lokora.functions.once import let, with_columns_once
+from lokora.session import stage_table
 
 # --- Fixed values: the published PO line format ------------------------------
 _OBSOLETE = r"(?:#~[ \t]*)?"
@@ -173,19 +174,23 @@ def _entry_fields(rows: DataFrame) -> DataFrame:
     plural = rf"(?dm)^{_OBSOLETE}msgstr\[\d+\][ \t]*({_QUOTED}{_MORE})"
     flags = F.array_join(F.regexp_extract_all(entry, F.lit(r"(?dm)^#,(.*)$"), F.lit(1)), ",")
     has_context = entry.rlike(rf'(?dm)^{_OBSOLETE}msgctxt[ \t]*"')
+    forms = F.transform(F.regexp_extract_all(entry, F.lit(plural), F.lit(1)), _unquote)
+    flag_list = F.filter(F.transform(F.split(flags, ","), lambda f: F.trim(f)), lambda f: f != "")
+
+    def having(mark: str, value: Column, none: Column) -> Column:
+        """``value``, looked for only in entries that hold its mark at all."""
+        return F.when(entry.contains(mark), value).otherwise(none)
+
+    texts, places = F.array().cast("array<string>"), F.array().cast("array<struct<path:string,line:string>>")
     fields = {
-        "msgctxt": F.when(has_context, _field(entry, "msgctxt")),
+        "msgctxt": having("msgctxt", F.when(has_context, _field(entry, "msgctxt")), F.lit(None)),
         "msgid": _field(entry, "msgid"),
-        "msgid_plural": _field(entry, "msgid_plural"),
+        "msgid_plural": having("msgid_plural", _field(entry, "msgid_plural"), F.lit("")),
         "msgstr": _field(entry, "msgstr"),
-        "msgstr_plural": F.transform(
-            F.regexp_extract_all(entry, F.lit(plural), F.lit(1)), _unquote
-        ),
-        "flags": F.filter(
-            F.transform(F.split(flags, ","), lambda f: F.trim(f)), lambda f: f != ""
-        ),
-        "obsolete": entry.rlike(rf'(?dm)^#~[ \t]*{_KEYWORD}"'),
-        "occurrences": _occurrences(entry),
+        "msgstr_plural": having("msgstr[", forms, texts),
+        "flags": having("#,", flag_list, texts),
+        "obsolete": entry.contains("#~") & entry.rlike(rf'(?dm)^#~[ \t]*{_KEYWORD}"'),
+        "occurrences": having("#:", _occurrences(entry), places),
     }
     return with_columns_once(rows, fields).select("filepath", "entry_no", *fields)
 
@@ -252,9 +257,11 @@ def po_lines_to_entries(lines: DataFrame) -> DataFrame:
     """All entries of a file given as ``(filepath, blk, ln, value)`` lines.
 
     An entry opens at a comment or keyword line other than ``msgstr`` that follows a
-    ``msgstr``.  Lines are windowed per block; what a block must know from
+    ``msgstr``.  Lines are classified, moved and windowed once, by block, and the lines of
+    an entry are put together where they are and written; what a block must know from
     earlier ones (the last keyword, how many entries were opened, whether the
-    whole file is valid UTF-8) comes from the block table, one row per block.
+    whole file is valid UTF-8) comes from the block table, one row per block.  Only
+    entries at the edge of a block meet their other parts.
     Files with an unreadable line give no rows.
     """
     keys = ["filepath", "blk"]
@@ -285,52 +292,76 @@ def po_lines_to_entries(lines: DataFrame) -> DataFrame:
             ~kind.startswith("msgstr") & previous.startswith("msgstr"), F.lit(False)
         )
 
+    # Parts of a block: 0 is what comes before its first keyword or comment, 1 begins there.
     in_block = Window.partitionBy(*keys).orderBy("ln")
     earlier = in_block.rowsBetween(Window.unboundedPreceding, -1)
-    kinded = rows.withColumn("_prev", F.last("_kind", ignorenulls=True).over(earlier)).withColumn(
-        "_opens", opens(F.col("_kind"), F.col("_prev"))
+    upto = in_block.rowsBetween(Window.unboundedPreceding, 0)
+    previous = F.last("_kind", ignorenulls=True).over(earlier)
+    begun = F.coalesce("_kind", "_prev").isNotNull().cast("int")
+    numbered = (
+        rows.withColumn("value", F.when(F.col("_used"), F.col("value"))).drop("_used")
+        .withColumn("_prev", previous)
+        .withColumn("_part", F.sum(opens(F.col("_kind"), F.col("_prev")).cast("int")).over(upto) + begun)
     )
     known = F.when(F.col("_kind").isNotNull(), F.col("ln"))
-    in_file = Window.partitionBy("filepath")
-    before = in_file.orderBy("blk").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = (
-        kinded.groupBy(*keys)
-        .agg(
+    used = F.when(F.col("value").isNotNull(), F.struct("ln", "value"))
+    parts = stage_table(
+        numbered.groupBy(*keys, "_part").agg(
+            F.array_join(F.array_sort(F.collect_list(used))["value"], "\n").alias("text"),
             F.min_by("_kind", known).alias("_first"),
             F.max_by("_kind", known).alias("_last"),
-            F.count_if("_opens").alias("_opened"),
+            F.bool_and("_utf8").alias("_utf8"),
+            F.bool_or("_bad").alias("_bad"),
+        ),
+        "po-parts",
+    )
+    in_file = Window.partitionBy("filepath")
+    by_block = in_file.orderBy("blk")
+    before = by_block.rowsBetween(Window.unboundedPreceding, -1)
+    # Written too, so that its size is known where it is joined.
+    blocks = stage_table(
+        parts.groupBy(*keys)
+        .agg(
+            F.max(F.when(F.col("_part") == 1, F.col("_first"))).alias("_first"),
+            F.max_by("_last", "_part").alias("_last"),
+            F.min("_part").alias("_least"),
+            F.max("_part").alias("_most"),
             F.bool_and("_utf8").alias("_utf8_block"),
             F.bool_or("_bad").alias("_bad_block"),
         )
         .withColumn("_carry", F.last("_last", ignorenulls=True).over(before))
-        .withColumn("_first_opens", opens(F.col("_first"), F.col("_carry")))
+        .withColumn("_first_opens", opens(F.col("_first"), F.col("_carry")).cast("int"))
         .select(
             *keys,
             "_first_opens",
+            "_most",
+            ((F.col("_least") == 0) | F.lag("blk").over(by_block).isNotNull()).alias("_continued"),
+            F.lead("blk").over(by_block).isNotNull().alias("_continues"),
             F.coalesce(
-                F.sum(F.col("_opened") + F.col("_first_opens").cast("int")).over(before), F.lit(0)
+                F.sum(F.greatest(F.col("_most") - 1, F.lit(0)) + F.col("_first_opens")).over(before), F.lit(0)
             ).alias("_before"),
             F.min("_utf8_block").over(in_file).alias("_utf8_file"),
             F.max("_bad_block").over(in_file).alias("_bad_file"),
-        )
+        ),
+        "po-blocks",
     )
-    first = F.col("_kind").isNotNull() & F.col("_prev").isNull() & F.col("_first_opens")
-    opened = (F.col("_opens") | first).cast("int")
-    upto = in_block.rowsBetween(Window.unboundedPreceding, 0)
-    text = F.when(F.col("_utf8_file"), value).otherwise(
-        F.decode(value.cast("binary"), "ISO-8859-1")
+    part = F.col("_part")
+    placed = parts.select(*keys, "_part", "text").join(blocks, keys).filter(~F.col("_bad_file")).filter("text <> ''")
+    placed = placed.withColumn(
+        "entry_no", F.col("_before") + F.greatest(part - 1, F.lit(0)) + F.when(part > 0, F.col("_first_opens")).otherwise(0)
     )
-    entries = (
-        kinded.join(blocks, keys)
-        .filter(~F.col("_bad_file"))
-        .withColumn("entry_no", F.col("_before") + F.sum(opened).over(upto))
-        .filter("_used")
-        .groupBy("filepath", "entry_no")
-        .agg(F.array_sort(F.collect_list(F.struct("blk", "ln", text.alias("text")))).alias("_l"))
+    at_edge = (F.col("_continued") & (part <= 1)) | (F.col("_continues") & (part == F.col("_most")))
+    joined = (
+        placed.filter(at_edge).groupBy("filepath", "entry_no")
+        .agg(
+            F.array_join(F.array_sort(F.collect_list(F.struct("blk", "_part", "text")))["text"], "\n").alias("text"),
+            F.bool_and("_utf8_file").alias("_utf8_file"),
+        )
     )
-    entries = with_columns_once(
-        entries, {"entry": _tidy(F.array_join(F.col("_l.text"), "\n"))}
-    ).filter(F.col("entry").rlike(rf"(?dm){_MSGSTR}"))
+    columns = ["filepath", "entry_no", "text", "_utf8_file"]
+    whole = placed.filter(~at_edge).select(*columns).union(joined.select(*columns))
+    text = F.when(F.col("_utf8_file"), F.col("text")).otherwise(F.decode(F.col("text").cast("binary"), "ISO-8859-1"))
+    entries = with_columns_once(whole, {"entry": _tidy(text)}).filter(F.col("entry").rlike(rf"(?dm){_MSGSTR}"))
     return _entry_fields(entries)
 
 

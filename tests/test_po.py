@@ -192,3 +192,21 @@ def test_forms_agree_on_odd_files(spark, tmp_path):
     named = {r.filepath for r in problems.collect()} | {r.filepath for r in entries.collect()}
     # Every file is in the entries or in the quarantine, under its real name.
     assert {n.partition("/my dir/")[2] for n in named} == {f"100%+done/{f.name}" for f in root.iterdir()}
+
+
+def test_lines_are_moved_once(spark):
+    """Classified lines are read back as parts of entries; only parts at the edge of a block are
+    grouped again."""
+    df = files(spark, *[PO * 3 + f'\n#: x{i}\nmsgid "n{i}"\nmsgstr "m{i}"\n' for i in range(6)])
+    entries = po.po_lines_to_entries(po.po_lines(df, 5))
+    plan = entries._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and plan.count("collect_list") <= 1
+    assert pairs(entries) == pairs(po.parse_po_entries(df))
+
+
+def test_an_entry_over_many_blocks(spark):
+    """Comments, then strings over several blocks, without a keyword in some of them."""
+    more = "".join(f'"part {i} "\n' for i in range(9))
+    content = f'# one\n#: a.c:1\n# two\nmsgid ""\n{more}msgstr ""\n{more}# next\nmsgid "b"\nmsgstr "c"\n'
+    for block_lines in (1, 2, 3, 4, 7, 50):
+        assert len(both_ways(spark, content, block_lines)) == 2
