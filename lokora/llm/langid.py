@@ -16,7 +16,7 @@ does not know are families of their own.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 from itertools import combinations
 
@@ -67,9 +67,16 @@ def features(text: str) -> np.ndarray:
     return vector / np.float32(max(np.sqrt(vector @ vector), 1e-9))
 
 
+def with_bias(vectors: Sequence[bytes]) -> np.ndarray:
+    """Half-precision vectors as rows of one float32 matrix, with a last column of ones."""
+    x = np.ones((len(vectors), (1 << BITS) + 1), np.float32)
+    for row, vector in zip(x, vectors, strict=True):
+        row[:-1] = np.frombuffer(vector, np.float16)
+    return x
+
+
 def softmax_regression(x: np.ndarray, label: np.ndarray, classes: int, steps: int = 300) -> np.ndarray:
-    """Weights (features + 1, classes) by accelerated gradient descent."""
-    x = np.hstack([x, np.ones((len(x), 1), np.float32)])
+    """Weights (features + 1, classes) of rows ``with_bias`` by accelerated gradient descent."""
     goal = np.eye(classes, dtype=np.float32)[label]
     share = np.maximum(goal.sum(0), 1.0)
     weight = (1.0 / (classes * share))[label][:, None].astype(np.float32)  # classes count alike
@@ -88,9 +95,8 @@ def _softmax(z: np.ndarray) -> np.ndarray:
 
 
 def linear_svm(x: np.ndarray, y: np.ndarray, cost: float = 10.0, epochs: int = 30) -> np.ndarray:
-    """Weights and bias of a linear support vector machine (y in -1, 1) by dual
-    coordinate descent."""
-    x = np.hstack([x, np.ones((len(x), 1), np.float32)])
+    """Weights and bias of a linear support vector machine (y in -1, 1) on rows ``with_bias``
+    by dual coordinate descent."""
     square = np.einsum("ij,ij->i", x, x)
     alpha, w = np.zeros(len(x)), np.zeros(x.shape[1], np.float32)
     order = np.random.default_rng(7)
@@ -186,8 +192,11 @@ def fit(rows: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     family_index = {lang: names.index(FAMILY_OF.get(lang, lang)) for lang in counts}
 
     def train(key: tuple[str], group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["lang", "doc_id"])
-        x = np.stack([np.frombuffer(v, np.float16).astype(np.float32) for v in group["vector"]])
+        # One matrix beside the vectors as they came: nothing of their size is copied again.
+        order = group[["lang", "doc_id"]].reset_index(drop=True).sort_values(["lang", "doc_id"])
+        vectors = group["vector"].to_numpy()
+        x, group = with_bias([vectors[i] for i in order.index]), order
+        del vectors
         if key[0] == "":
             w = softmax_regression(x, group["lang"].map(family_index).to_numpy(), len(names))
         else:
