@@ -11,6 +11,7 @@ import pytest
 import xxhash
 
 from lokora.llm import fingerprints, neardup, substrings
+from lokora.llm.common import stage
 from lokora.llm.components import components
 from lokora.llm.queries import QUERIES
 
@@ -347,3 +348,16 @@ def test_op1(llm, sf):
     texts = {r["doc_id"]: r["text"] for r in pq.read_table(f"{sf}/documents.parquet").to_pylist()}
     want = brute_dedup(texts)
     assert {r["doc_id"]: r["text"] for r in QUERIES["op1_substring_dedup"](llm, sf).collect()} == want
+
+
+def test_signatures_for_bands_are_computed_once(docs, monkeypatch):
+    plans = {}
+
+    def recorded(df, name, *by):
+        plans[name] = df._jdf.queryExecution().optimizedPlan().toString()
+        return stage(df, name, *by)
+
+    monkeypatch.setattr(fingerprints, "stage", recorded)
+    rows = fingerprints.similar_documents(docs).collect()
+    assert plans["bands"].count("MapInPandas") == 1 and "MapInPandas" not in plans["band-pairs"]
+    assert {(r.doc_id, r.near_id) for r in rows} >= {(12, 8)}
