@@ -22,9 +22,11 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lokora.functions.once import with_columns_once
 from lokora.llm.common import pick
 
 # Languages by family (ISO 639-1).
@@ -149,6 +151,21 @@ class Model:
         return langs, scores
 
 
+def vectors(rows: DataFrame) -> DataFrame:
+    """``rows`` whose text has a letter, with its ``vector``.
+
+    Each is computed once: a filter on it below a second computation takes a second Python
+    worker for each task, and an executor keeps its workers, with what they remember, for
+    whatever runs next.
+    """
+
+    @F.pandas_udf("binary")
+    def vector(text: pd.Series) -> pd.Series:
+        return pd.Series([features(t).astype(np.float16).tobytes() if has_letter(t) else None for t in text], dtype=object)
+
+    return with_columns_once(rows, {"vector": vector("text")}).filter("vector is not null")
+
+
 def fit(rows: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     """A model from ``(doc_id, text, lang)`` rows.
 
@@ -175,9 +192,11 @@ def fit(rows: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
 
     spark = rows.sparkSession
     million = 1_000_000
+    langs = sorted(counts)
+    share = [min(million, -(-wanted * million // counts[lang])) for lang in langs]
+    # As an Arrow table: rows of Python would go through Python workers of their own.
     chance = spark.createDataFrame(
-        [(lang, min(million, -(-wanted * million // n)), problems[lang]) for lang, n in counts.items()],
-        "lang string, chance long, problems array<string>",
+        pa.table({"lang": langs, "chance": share, "problems": pa.array([problems[x] for x in langs], pa.list_(pa.string()))})
     )
     sample = (
         labelled.join(F.broadcast(chance), "lang")  # one row per language
@@ -185,10 +204,6 @@ def fit(rows: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
         .select("doc_id", "lang", "text", "problems")
     )
 
-    @F.pandas_udf("binary")
-    def vector(text: pd.Series) -> pd.Series:
-        return pd.Series([features(t).astype(np.float16).tobytes() if has_letter(t) else None for t in text], dtype=object)
-
     family_index = {lang: names.index(FAMILY_OF.get(lang, lang)) for lang in counts}
 
     def train(key: tuple[str], group: pd.DataFrame) -> pd.DataFrame:
@@ -204,8 +219,7 @@ def fit(rows: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
         return pd.DataFrame({"problem": [key[0]], "weights": [w.astype(np.float32).tobytes()]})
 
     trained = (
-        sample.withColumn("vector", vector("text"))
-        .filter("vector is not null")
+        vectors(sample)
         .select("doc_id", "lang", "vector", F.explode("problems").alias("problem"))
         .groupBy("problem")
         .applyInPandas(train, "problem string, weights binary")

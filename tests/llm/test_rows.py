@@ -65,6 +65,21 @@ def test_sample_is_bounded_by_language(llm):
 # --- Sharding ----------------------------------------------------------------------
 
 
+def test_training_takes_one_worker_a_task(llm, monkeypatch):
+    rows = llm.range(40).selectExpr("id as doc_id", "concat('wort word ', id) as text", "if(id % 2 = 0, 'en', 'de') as lang")
+    plans, collect = [], type(rows).collect
+
+    def noted(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return collect(df)
+
+    monkeypatch.setattr(type(rows), "collect", noted)
+    assert langid.fit(rows).pairs.keys() == {("de", "en")}
+    # Vectors are computed once, and no rows come from Python workers of another kind.
+    assert plans[-1].count("ArrowEvalPython") == 1
+    assert not any("ExistingRDD" in plan for plan in plans)
+
+
 def test_hypergeometric_law(llm):
     drawn = llm.range(20_000).select(
         sharding.hypergeometric(F.lit(50), F.lit(20), F.lit(10), sharding.unit("id", F.lit(3))).alias("h")
