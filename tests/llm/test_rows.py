@@ -9,6 +9,7 @@ from math import comb
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
@@ -245,6 +246,23 @@ def test_scores_beyond_a_long():
     assert sorted(found) == [(2**63 - 1, 1), (2**63 - 1, 2)] or (2**63 - 1, 1) in found
 
 
+def test_search_gathers_nothing_in_the_driver(llm, monkeypatch):
+    """Blocks go to every shard, which the size of their table does not show."""
+    searched = []
+    monkeypatch.setattr(balltree, "stage_few", lambda df, name: searched.append(df) or balltree.stage(df, name))
+    rows = [(i, [float(i % 7), 1.0], 0) for i in range(60)]
+    df = llm.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    assert balltree.top_k(df, F.col("vec_id") % 5 == 0, 3, shard_rows=20).count() == 36
+    plans = [df._jdf.queryExecution().executedPlan().toString() for df in searched]
+    assert len(plans) == 2 and not any("Broadcast" in plan for plan in plans)
+
+
+def test_rows_of_one_id_are_the_smallest_vector():
+    group = pd.DataFrame({"vec_id": [7, 3, 7, 3], "v": [np.array(v) for v in ([2, 1], [5, -1], [1, 9], [5, -2])]}, index=[4, 4, 8, 9])
+    ids, vectors, left = balltree._matrix(group)
+    assert (ids.tolist(), vectors.tolist(), left["vec_id"].tolist()) == ([3, 7], [[5, -2], [1, 9]], [3, 7])
+
+
 # --- Pipeline ----------------------------------------------------------------------
 
 
