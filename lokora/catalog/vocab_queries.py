@@ -281,7 +281,8 @@ def encoded_matrix(spark: SparkSession, sf: str) -> DataFrame:
     rows = matrix.filter(is_train | (F.col("eval_set") == "rnd"))
     sides = F.array(*[F.struct(F.lit(c).alias("side"), F.col(c).alias("line")) for c in ("input", "output")])
     both = rows.select("cxt_type", "direction", "split", "filepath", "pos", F.inline(sides))
-    encoded = B.encode_corpus(both, "line", dictionary, [*group, "filepath", "pos"])
+    # Context types share sentences: as outputs, and as inputs without context.
+    encoded = B.encode_corpus(both, "line", dictionary, [*group, "filepath", "pos"], near=["filepath", "pos"])
     return B.oov_report(encoded, group)
 
 

@@ -13,7 +13,6 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lokora.functions.tokens import words
 from lokora.operators.ordering import global_index
 from lokora.session import spread, stage_table
 
@@ -392,40 +391,58 @@ def encode_corpus(
     out: str = "ids",
     eos: bool = False,
     max_broadcast: int = MAX_BROADCAST_BYTES,
+    near: Sequence[str] = (),
 ) -> DataFrame:
     """Token ids in order, per row of ``df`` (``key`` is its unique key).
 
+    Among rows that agree in ``near``, some columns of the key, equal lines are
+    encoded once.
+
     Rows are placed by key first and keep that place through the token join, so
-    tokens go back to their row without a second shuffle.  Of a dictionary over
-    ``max_broadcast`` bytes the frequent tokens are sent to every task, and only the
-    other tokens of the text move to be looked up.
+    tokens go back to their row without a second shuffle.  A token carries two numbers
+    for its row, which rise as the rows are read, so that there is little to sort; only
+    the first one carries the key.  Of a dictionary over ``max_broadcast`` bytes the
+    frequent tokens are sent to every task, and only the other tokens of the text move
+    to be looked up.
     """
     # As one value, so that rows with a null in their key join too.
     row = F.struct(*key).alias("_row")
-    placed = df.select(row, F.col(column).alias("_line")).repartition("_row")
-    tokens = placed.select("_row", F.posexplode_outer(words(F.col("_line"))).alias("_pos", "token"))
+    hashed = F.xxhash64(*(near or key)).alias("_hash")
+    placed = df.select(hashed, row, F.col(column).alias("_line")).repartition("_hash")
+    if near:
+        # The rows of a line, in an order that any evaluation repeats.
+        of_line = F.sort_array(F.collect_list("_row")).alias("_row")
+        placed = placed.groupBy("_hash", *[F.col("_row")[k] for k in near], "_line").agg(of_line)
+    numbered = placed.withColumn("_no", F.monotonically_increasing_id())
+    tokens = numbered.select("_no", "_hash", "_row", F.posexplode_outer(F.split("_line", " ", -1)).alias("_pos", "token"))
     ids = dictionary.select("token", F.col("id").cast("int").alias("_id"))
     frequent = _first_ids(ids, max_broadcast)
     looked_up = tokens.join(F.broadcast(ids if frequent is None else frequent), "token", "left")
+    # Two blanks in a row, or one at an end, have no token between them.
+    place = F.col("token") != ""
+    # Position and id as one number, which sorts by position.
+    found = F.shiftleft(F.col("_pos").cast("long"), 32).bitwiseOR(F.coalesce("_id", F.lit(UNKNOWN_ID)).cast("long"))
+    own = F.when(F.coalesce("_pos", F.lit(0)) == 0, F.col("_row")).alias("_own")
 
-    def listed(rows: DataFrame, entry: Column, name: str) -> DataFrame:
-        return rows.groupBy("_row").agg(F.collect_list(entry).alias(name))
+    def by_row(entry: Column) -> DataFrame:
+        listed = looked_up.select("_no", "_hash", own, entry.alias("_e")).groupBy("_no", "_hash")
+        return listed.agg(F.first("_own", ignorenulls=True).alias("_row"), F.collect_list("_e").alias("_e"))
 
-    place = F.col("_pos").isNotNull()
-    found = F.struct("_pos", F.coalesce("_id", F.lit(UNKNOWN_ID)).alias("_id"))
     if frequent is None:
-        ordered = listed(looked_up, F.when(place, found), "_e")
+        ordered = by_row(F.when(place, found))
         entries = F.col("_e")
     else:
-        # Only tokens that are not frequent are looked up by a shuffle.
-        rare = looked_up.filter(place & F.col("_id").isNull()).select("_row", "_pos", "token")
-        others = listed(rare.join(ids, "token", "left"), found, "_o")
-        ordered = listed(looked_up, F.when(place & F.col("_id").isNotNull(), found), "_e").join(others, "_row", "left")
+        # Only tokens that are not frequent are looked up by a shuffle, and return to the place of their row.
+        rare = looked_up.filter(place & F.col("_id").isNull()).select("_hash", "_row", "_pos", "token")
+        others = rare.join(ids, "token", "left").select("_hash", "_row", found.alias("_o")).repartition("_hash")
+        others = others.groupBy("_hash", "_row").agg(F.collect_list("_o").alias("_o"))
+        ordered = by_row(F.when(place & F.col("_id").isNotNull(), found)).join(others, ["_hash", "_row"], "left")
         entries = F.when(F.col("_o").isNull(), F.col("_e")).otherwise(F.concat("_e", "_o"))
-    encoded = F.array_sort(entries)["_id"]
+    encoded = F.transform(F.sort_array(entries), lambda e: e.bitwiseAND(F.lit(0xFFFFFFFF)).cast("int"))
     if eos:
         encoded = F.concat(encoded, F.array(F.lit(EOS_ID)))
-    return ordered.select(*[F.col("_row")[k].alias(k) for k in key], encoded.alias(out))
+    rows = ordered.select(F.explode("_row") if near else F.col("_row"), encoded.alias(out)).toDF("_row", out)
+    return rows.select(*[F.col("_row")[k].alias(k) for k in key], out)
 
 
 def _first_ids(ids: DataFrame, max_bytes: int) -> DataFrame | None:

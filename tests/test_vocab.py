@@ -1,4 +1,5 @@
 import random
+import re
 from collections import Counter
 
 import pytest
@@ -190,3 +191,26 @@ def test_only_rare_tokens_move_to_be_looked_up(spark):
     ids = {r.token: r.id for r in d.collect()}
     for r in got.collect():
         assert r.ids == [ids.get(w, 3) for w in f"a a b c w{49 if r.id is None else r.id} zz".split()]
+
+
+@pytest.mark.parametrize("limit", [0, 40, 1 << 20])
+def test_equal_lines_are_encoded_once(spark, limit):
+    """The same ids as row by row, whatever part of the dictionary is broadcast."""
+    lines = ["a b  a", " c a ", None, "", " ", "zz a zz b", "a b  a", "\u00e9 c"]
+    rows = [(f, p, k, lines[((f or 0) + p + k // 3) % 8]) for f in (1, 2, None) for p in range(5) for k in range(9)]
+    df = spark.createDataFrame(rows, "f int, p int, k int, line string")
+    d = spark.createDataFrame([("a", 9, 4), ("b", 5, 5), ("c", 2, 6), ("\u00e9", 1, 7)], "token string, cnt bigint, id bigint")
+    known = {"a": 4, "b": 5, "c": 6, "\u00e9": 7}
+    want = sorted((repr((f, p, k)), [known.get(t, 3) for t in (line or "").split(" ") if t]) for f, p, k, line in rows)
+    for near in ((), ["f", "p"]):
+        got = V.encode_corpus(df, "line", d, ["k", "f", "p"], max_broadcast=limit, near=near)
+        assert got.columns == ["k", "f", "p", "ids"]
+        assert sorted((repr((r.f, r.p, r.k)), r.ids) for r in got.collect()) == want
+
+
+def test_tokens_do_not_carry_the_key(spark):
+    df = spark.createDataFrame([("file", 1, "a b")], "filepath string, pos int, line string")
+    d = spark.createDataFrame([("a", 9, 4)], "token string, cnt bigint, id bigint")
+    plan = V.encode_corpus(df, "line", d, ["filepath", "pos"])._jdf.queryExecution().executedPlan().toString()
+    keys = re.findall(r"ObjectHashAggregate\(keys=\[(.*?)\]", plan)
+    assert keys and all(re.fullmatch(r"_no#\d+L, _hash#\d+L", k) for k in keys)
