@@ -433,10 +433,15 @@ def encode_corpus(
         entries = F.col("_e")
     else:
         # Only tokens that are not frequent are looked up by a shuffle, and return to the place of their row.
-        rare = looked_up.filter(place & F.col("_id").isNull()).select("_hash", "_row", "_pos", "token")
-        others = rare.join(ids, "token", "left").select("_hash", "_row", found.alias("_o")).repartition("_hash")
-        others = others.groupBy("_hash", "_row").agg(F.collect_list("_o").alias("_o"))
-        ordered = by_row(F.when(place & F.col("_id").isNotNull(), found)).join(others, ["_hash", "_row"], "left")
+        name = (F.col("_row")[0] if near else F.col("_row")).alias("_name")
+        rare = looked_up.filter(place & F.col("_id").isNull()).select("_hash", name, "_pos", "token")
+        others = rare.join(ids, "token", "left").select("_hash", "_name", found.alias("_o")).repartition("_hash")
+        others = others.groupBy("_hash", "_name").agg(F.collect_list("_o").alias("_o"))
+        others = others.withColumnsRenamed({"_hash": "_at", "_name": "_whose"})
+        ordered = by_row(F.when(place & F.col("_id").isNotNull(), found)).withColumn("_name", name)
+        # As a second key, an equal name would move all rows again.
+        same = (F.col("_name") <= F.col("_whose")) & (F.col("_name") >= F.col("_whose"))
+        ordered = ordered.join(others, (F.col("_hash") == F.col("_at")) & same, "left")
         entries = F.when(F.col("_o").isNull(), F.col("_e")).otherwise(F.concat("_e", "_o"))
     encoded = F.transform(F.sort_array(entries), lambda e: e.bitwiseAND(F.lit(0xFFFFFFFF)).cast("int"))
     if eos:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lokora.functions import text as T
 from lokora.functions import tokens as K
 from lokora.operators import vocab as V
+from lokora.session import stage_table
 
 
 def brute_merges(words, n):
@@ -214,3 +215,18 @@ def test_tokens_do_not_carry_the_key(spark):
     plan = V.encode_corpus(df, "line", d, ["filepath", "pos"])._jdf.queryExecution().executedPlan().toString()
     keys = re.findall(r"ObjectHashAggregate\(keys=\[(.*?)\]", plan)
     assert keys and all(re.fullmatch(r"_no#\d+L, _hash#\d+L", k) for k in keys)
+
+
+@pytest.mark.parametrize("near", [(), ["f"]])
+def test_rare_tokens_return_without_moving_rows(spark, near):
+    """Rows are placed once (as read by both branches), rare tokens move to the dictionary and back."""
+    df = stage_table(spark.range(60).selectExpr("concat('f', id % 7) as f", "id as p", "'a b c' as line"), "rows")
+    d = spark.createDataFrame([("a", 9, 4), ("b", 5, 5)], "token string, cnt bigint, id bigint")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        encoded = V.encode_corpus(df, "line", d, ["f", "p"], max_broadcast=20, near=near)
+        plan = encoded._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(re.findall(r"Exchange hashpartitioning\(_hash#\d+L, \d+\)", plan)) == 3
+    assert len(re.findall(r"Exchange hashpartitioning\(token#\d+, \d+\)", plan)) == plan.count("Exchange hashpartitioning") - 3 == 2
