@@ -4,6 +4,7 @@ import re
 
 from pyspark.sql import functions as F
 
+from lokora.catalog.corpus_queries import exported_rows
 from lokora.plans.splits import contextual_rows, expand_matrix, split_matrix
 from lokora.session import stage_table
 from lokora.sinks import writers as W
@@ -59,3 +60,20 @@ def test_numbering_lines_moves_no_line(spark, tmp_path):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     parts = sorted(p for p in (tmp_path / "x").iterdir() if p.suffix == ".txt")
     assert got == [line for p in parts for line in p.read_text().splitlines()]
+
+
+def test_exported_lines_move_once(spark):
+    """Inputs, outputs and references move by the whole key, and not again for the second join."""
+    key = "cxt_type string, direction string, eval_set string, split string, row_id long"
+    inputs, outputs = (spark.createDataFrame([("none", "en-de", "rnd", "test", 0, "x")], f"{key}, {c} string") for c in ("input", "output"))
+    refs = spark.createDataFrame([("en-de", "rnd", 0, "r")], "direction string, eval_set string, row_id long, ref string")
+    usual = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = exported_rows(inputs, outputs, refs)
+        text = plan(rows)
+        assert [(r.input, r.output, r.ref) for r in rows.collect()] == [("x", "x", "r")]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", usual)
+    moves = [line for line in text.splitlines() if "Exchange hashpartitioning" in line]
+    assert text.count("SortMergeJoin") == 2 and len(moves) == 3 and all("split#" in move for move in moves)
